@@ -80,6 +80,12 @@ def with_views(body: str, ctes: str = "") -> str:
     parts = [f"{n} as ({VIEWS[n]}\n)" for n in _needed(body + ctes)]
     if ctes.strip():
         parts.append(ctes.strip().rstrip(","))
+    stripped = body.lstrip()
+    if stripped[:5].lower() == "with ":
+        # The body has CTEs of its own: append them after the adapters.
+        if not parts:
+            return body
+        return "with " + ",\n".join(parts) + ",\n" + stripped[5:]
     if not parts:
         return body
     return "with " + ",\n".join(parts) + "\n" + body

@@ -31,12 +31,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a text table by ``key`` when the scan gives fewer
+    partitions than there are cores (one unsplittable file or row group).
+
+    On a cluster with many input files the scan already has enough
+    partitions and no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pmid, version, title, content, date, file_pos, article_pos, lang, source).
 
     Title = first sentence of the document text, content = the rest.
     """
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     title = F.regexp_extract("text", TITLE_PATTERN, 0)
     return d.select(
         F.col("doc_id").alias("pmid"),
