@@ -89,15 +89,87 @@ def keyword_associations(docs: DataFrame, dictionary: DataFrame, pattern: str,
     return link_terms(toks, dictionary)
 
 
+# Tokens for association features are words (letters, digits,
+# hyphens) or single punctuation characters.
+FEATURE_TOKEN = r"[A-Za-z0-9-]+|[^\sA-Za-z0-9-]"
+PUNCT_TOKEN = r"^[^\sA-Za-z0-9-]$"
+CLASSES = ("VERB", "NOUN", "ADP", "PUNCT", "GENE")
+
+
 def association_features(sents: DataFrame, dictionary: DataFrame, pattern: str,
                          lexicon: DataFrame | None = None, id_col: str = ID) -> DataFrame:
     """Counts of word classes between each linked term and the first regex
     match of its sentence.
 
-    ``flip`` = first token whose offset is after the match start.  A term at
-    position i < flip counts tokens in (i, flip); a term at i >= flip counts
-    tokens in [flip, i).  Non-term tokens count in their lexicon class
-    (VERB/NOUN/ADP, from ``lexicon(word, class)``) or PUNCT; term tokens count
-    as GENE.  Differences of running class counts give each range in O(1).
+    ``flip`` = index of the first token whose offset is after the match
+    start.  A term at position i < flip counts tokens in (i, flip); a term at
+    i >= flip counts tokens in [flip, i).  Non-term tokens count in their
+    lexicon class (``lexicon(word, class)``, e.g. VERB/NOUN/ADP) or PUNCT;
+    term tokens count as GENE (once per token, whatever the number of
+    symbols).  Before the match only the last mention of a symbol is kept, and
+    none is kept when no token starts after the match.  Ranges are differences
+    of per-sentence prefix counts, so each term costs O(1) after one window.
     """
-    raise NotImplementedError
+    from pyspark.sql import Window
+
+    s = (sents.where(F.coalesce(F.col("sentence").rlike(pattern), F.lit(False)))
+         .withColumn("match_start", F.regexp_instr("sentence", F.lit(pattern)) - 1)
+         .withColumn("flip", F.size(F.regexp_extract_all(
+             F.substr(F.col("sentence"), F.lit(1), F.col("match_start") + 1),
+             F.lit(FEATURE_TOKEN), 0)))
+         .withColumn("_toks", F.regexp_extract_all("sentence", F.lit(FEATURE_TOKEN), 0))
+         .withColumn("n_tokens", F.size("_toks")))
+    toks = s.select(id_col, "date", "sent_pos", "sentence", "match_start", "flip", "n_tokens",
+                    F.posexplode("_toks").alias("tok_pos", "token"))
+    d = dictionary.select(F.lower("alias").alias("_alias"), "symbol").distinct()
+    guard = ~(F.col("token").rlike("^[A-Za-z]+$")
+              & ((F.col("tok_pos") == 0) | (F.col("token") == F.lower("token"))))
+    genes = (toks.where(guard).join(d, F.lower(F.col("token")) == F.col("_alias"))
+             .select(id_col, "sent_pos", "tok_pos", "symbol"))
+    is_gene = genes.select(id_col, "sent_pos", "tok_pos").distinct() \
+        .withColumn("_gene", F.lit(True))
+    if lexicon is None:
+        lexicon = default_lexicon(sents.sparkSession)
+    lex = lexicon.select(F.lower("word").alias("_w"), F.col("class").alias("_lex"))
+    t = (toks.join(is_gene, [id_col, "sent_pos", "tok_pos"], "left")
+         .join(F.broadcast(lex), F.lower(F.col("token")) == F.col("_w"), "left")
+         .withColumn("cls", F.when(F.col("_gene"), "GENE")
+                     .when(F.col("token").rlike(PUNCT_TOKEN), "PUNCT")
+                     .otherwise(F.col("_lex"))))
+    sent_w = Window.partitionBy(id_col, "sent_pos")
+    run_w = sent_w.orderBy("tok_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for c in CLASSES:
+        flag = (F.col("cls") == c).cast("int")
+        t = (t.withColumn(f"_inc_{c}", F.sum(flag).over(run_w))            # count in [0, i]
+             .withColumn(f"_flip_{c}", F.sum(F.when(F.col("tok_pos") < F.col("flip"), flag)
+                                             .otherwise(0)).over(sent_w)))  # count in [0, flip)
+    g = genes.join(t, [id_col, "sent_pos", "tok_pos"])
+    before = F.col("tok_pos") < F.col("flip")
+    out = g
+    for c in CLASSES:
+        excl = F.col(f"_inc_{c}") - (F.col("cls") == c).cast("int")       # count in [0, i)
+        out = out.withColumn(c, F.when(before, F.col(f"_flip_{c}") - F.col(f"_inc_{c}"))
+                             .otherwise(excl - F.col(f"_flip_{c}")))
+    out = out.withColumn("before", before)
+    # Before the match: nearest mention of a symbol wins; dropped if nothing follows.
+    last_before = (out.where("before").groupBy(id_col, "sent_pos", "symbol")
+                   .agg(F.max("tok_pos").alias("_last")))
+    out = (out.join(last_before, [id_col, "sent_pos", "symbol"], "left")
+           .where(~F.col("before") | ((F.col("tok_pos") == F.col("_last"))
+                                      & (F.col("flip") < F.col("n_tokens")))))
+    return out.select(id_col, "date", "sent_pos", "tok_pos", "token", "symbol", "match_start",
+                      "flip", "before", *CLASSES)
+
+
+# A small default word-class lexicon (closed classes only).
+ADPOSITIONS = ["of", "in", "on", "at", "by", "for", "with", "from", "to", "into",
+               "through", "during", "before", "after", "above", "below", "between",
+               "under", "over", "about", "against", "among", "within", "without"]
+VERBS = ["is", "are", "was", "were", "be", "been", "being", "has", "have", "had",
+         "do", "does", "did", "can", "could", "may", "might", "must", "shall",
+         "should", "will", "would"]
+
+
+def default_lexicon(spark) -> DataFrame:
+    rows = [(w, "ADP") for w in ADPOSITIONS] + [(w, "VERB") for w in VERBS]
+    return spark.createDataFrame(rows, "word string, class string")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubsift.operators.ordinals import global_ordinal
+from pubsift.operators.ordinals import global_ordinal, with_scalars
 
 ID = "pmid"
 
@@ -102,7 +102,7 @@ def assign_ids(new: DataFrame, existing: DataFrame, order, id_col: str = ID) ->
     """Consecutive ids after the current maximum, in ``order``."""
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_max"))
     out = global_ordinal(new, order, "_ord")
-    return (out.crossJoin(F.broadcast(top))  # one row: size bound is 1
+    return (with_scalars(out, top)
             .withColumn(id_col, F.col("_max") + F.col("_ord")).drop("_max", "_ord"))
 
 
@@ -202,7 +202,7 @@ def scale_range(df: DataFrame, col: str, lo: float = 20.0, hi: float = 100.0,
                 name: str = "scaled") -> DataFrame:
     """Linear map of [min, max] of ``col`` onto [lo, hi]."""
     stats = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-    return (df.crossJoin(F.broadcast(stats))  # one-row table
+    return (with_scalars(df, stats)
             .withColumn(name, F.lit(lo) + (F.col(col) - F.col("_mn")) * (hi - lo)
                         / F.nullif(F.col("_mx") - F.col("_mn"), F.lit(0)))
             .drop("_mn", "_mx"))

@@ -76,3 +76,18 @@ def running_sums(df: DataFrame, order, values: dict[str, Column],
         out = out.withColumn(k, F.coalesce(F.col(f"_o_{k}"), F.lit(0)) + F.col(f"_r_{k}"))
     drop = ["_blk", "_loc"] + [f"_{p}_{k}" for k in values for p in ("v", "o", "r")]
     return out.drop(*drop)
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table (global stats) to every row.
+
+    A broadcast hash join on a constant key: the right side is one row by
+    construction, so nothing grows with the data and no pairs are formed.
+    """
+    right = one_row.withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(right), "_one").drop("_one")
+
+
+def replicate(df: DataFrame, n: int, name: str) -> DataFrame:
+    """Copy each row ``n`` times with ``name`` = 0..n-1 (a generator, no join)."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
