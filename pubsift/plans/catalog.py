@@ -16,7 +16,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None, ctes: str = ""):
+def query(name: str, oracle: str | None = None, ctes: str = "", recursive: bool = False):
     """Register a query; ``oracle`` is the DuckDB body (adapter CTEs are added)."""
 
     def deco(fn):
@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None, ctes: str = ""):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = with_views(oracle, ctes)
+            ORACLES[name] = with_views(oracle, ctes, recursive)
         return fn
 
     return deco

@@ -75,8 +75,9 @@ def _needed(body: str) -> list[str]:
     return order
 
 
-def with_views(body: str, ctes: str = "") -> str:
+def with_views(body: str, ctes: str = "", recursive: bool = False) -> str:
     """Prefix ``body`` with the adapter views it mentions (and extra CTEs)."""
+    kw = "with recursive " if recursive else "with "
     parts = [f"{n} as ({VIEWS[n]}\n)" for n in _needed(body + ctes)]
     if ctes.strip():
         parts.append(ctes.strip().rstrip(","))
@@ -85,10 +86,10 @@ def with_views(body: str, ctes: str = "") -> str:
         # The body has CTEs of its own: append them after the adapters.
         if not parts:
             return body
-        return "with " + ",\n".join(parts) + ",\n" + stripped[5:]
+        return kw + ",\n".join(parts) + ",\n" + stripped[5:]
     if not parts:
         return body
-    return "with " + ",\n".join(parts) + "\n" + body
+    return kw + ",\n".join(parts) + "\n" + body
 
 
 def sql_list(values) -> str:
