@@ -100,3 +100,15 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def replicate(df: DataFrame, n: int, name: str) -> DataFrame:
     """Copy each row ``n`` times with ``name`` = 0..n-1 (a generator, no join)."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def expand_small(df: DataFrame, small: DataFrame) -> DataFrame:
+    """Pair each row of ``df`` with every row of ``small``, a table whose size
+    is bounded by a parameter (a top-k list, the classes of a model).
+
+    ``small`` is folded into one array row, attached with :func:`with_scalars`
+    and exploded: a broadcast of k rows and a generator, never a join of two
+    data-sized tables.
+    """
+    folded = small.agg(F.collect_list(F.struct(*small.columns)).alias("_small"))
+    return with_scalars(df, folded).select(*df.columns, F.inline("_small"))
