@@ -67,22 +67,32 @@ def global_ordinal(df: DataFrame, order, name: str = "ordinal", start: int = 1,
 
 
 def running_sums(df: DataFrame, order, values: dict[str, Column],
-                 num_partitions: int | None = None) -> DataFrame:
-    """Add inclusive running sums ``values`` (name -> column) down ``order``."""
+                 num_partitions: int | None = None, how: str = "sum") -> DataFrame:
+    """Add inclusive running aggregates ``values`` (name -> column) down
+    ``order``; ``how`` is 'sum', 'min' or 'max'."""
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     b = _blocked(df, order, num_partitions)
     for k, v in values.items():
         b = b.withColumn(f"_v_{k}", v)
-    totals = b.groupBy("_blk").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    totals = b.groupBy("_blk").agg(*[agg(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    # One row per partition: a bounded table, so a single-task window is fine.
     prev = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_blk", *[F.sum(f"_t_{k}").over(prev).alias(f"_o_{k}")
+    offsets = totals.select("_blk", *[agg(f"_t_{k}").over(prev).alias(f"_o_{k}")
                                       for k in values])
     local = Window.partitionBy("_blk").orderBy("_loc").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     for k in values:
-        b = b.withColumn(f"_r_{k}", F.sum(f"_v_{k}").over(local))
+        b = b.withColumn(f"_r_{k}", agg(f"_v_{k}").over(local))
     out = b.join(F.broadcast(offsets), "_blk", "left")
     for k in values:
-        out = out.withColumn(k, F.coalesce(F.col(f"_o_{k}"), F.lit(0)) + F.col(f"_r_{k}"))
+        o, r = F.col(f"_o_{k}"), F.col(f"_r_{k}")
+        if how == "sum":
+            comb = F.coalesce(o, F.lit(0)) + r
+        elif how == "min":
+            comb = F.least(F.coalesce(o, r), r)
+        else:
+            comb = F.greatest(F.coalesce(o, r), r)
+        out = out.withColumn(k, comb)
     drop = ["_blk", "_loc"] + [f"_{p}_{k}" for k in values for p in ("v", "o", "r")]
     return out.drop(*drop)
 

@@ -98,6 +98,22 @@ def stratum_ranks(firsts_ranked: DataFrame) -> DataFrame:
             .select("stratum_date", "symbol", "date", "rank"))
 
 
+def prefix_tests(firsts_ranked: DataFrame, nulls: DataFrame, ascending: bool = True) -> DataFrame:
+    """Every prefix of every stratum (by rank, ties together) with its size,
+    rank sum and p = share of null sums at least as extreme:
+    (stratum_date, rank, size, ranksum, p)."""
+    s = stratum_ranks(firsts_ranked.where(F.col("rank").isNotNull()))
+    order = F.col("rank").asc() if ascending else F.col("rank").desc()
+    tie = Window.partitionBy("stratum_date").orderBy(order).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    s = (s.withColumn("size", F.count(F.lit(1)).over(tie))
+         .withColumn("ranksum", F.sum("rank").over(tie)))
+    prefixes = s.select("stratum_date", "rank", "size", "ranksum").distinct()
+    return (prefixes.join(null_table(nulls), F.col("size") == F.col("n"))
+            .select("stratum_date", "rank", "size", "ranksum",
+                    _p_value(F.col("sums"), F.col("ranksum"), ascending).alias("p")))
+
+
 def stratum_prefix_test(firsts_ranked: DataFrame, nulls: DataFrame, alpha: float = 0.05,
                         ascending: bool = True) -> DataFrame:
     """Per stratum date: the largest prefix (by rank, ties together) whose rank
@@ -106,16 +122,9 @@ def stratum_prefix_test(firsts_ranked: DataFrame, nulls: DataFrame, alpha: float
     Returns (stratum_date, size, ranksum, p, known_gene) for dates with a
     significant prefix; known_gene = the symbol at position ``size``.
     """
-    s = stratum_ranks(firsts_ranked.where(F.col("rank").isNotNull()))
     order = F.col("rank").asc() if ascending else F.col("rank").desc()
-    tie = Window.partitionBy("stratum_date").orderBy(order).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    s = (s.withColumn("size", F.count(F.lit(1)).over(tie))
-         .withColumn("ranksum", F.sum("rank").over(tie)))
-    prefixes = s.select("stratum_date", "rank", "size", "ranksum").distinct()
-    tested = (prefixes.join(null_table(nulls), F.col("size") == F.col("n"))
-              .withColumn("p", _p_value(F.col("sums"), F.col("ranksum"), ascending))
-              .withColumn("fail", (F.col("p") > alpha).cast("int")))
+    tested = prefix_tests(firsts_ranked, nulls, ascending).withColumn(
+        "fail", (F.col("p") > alpha).cast("int"))
     run = Window.partitionBy("stratum_date").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     passed = tested.withColumn("_failed", F.max("fail").over(run)).where("_failed = 0")
@@ -124,6 +133,7 @@ def stratum_prefix_test(firsts_ranked: DataFrame, nulls: DataFrame, alpha: float
             .select("stratum_date", F.col("_b.size").alias("size"),
                     F.col("_b.ranksum").alias("ranksum"), F.col("_b.p").alias("p")))
     # The known gene: position ``size`` in (rank, symbol) order inside the stratum.
+    s = stratum_ranks(firsts_ranked.where(F.col("rank").isNotNull()))
     pos = Window.partitionBy("stratum_date").orderBy(order, F.col("symbol"))
     at = s.withColumn("_i", F.row_number().over(pos)).select(
         "stratum_date", "_i", F.col("symbol").alias("known_gene"))
