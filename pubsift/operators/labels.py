@@ -8,6 +8,8 @@ fits every label at once; iterative learners use Spark ML estimators.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,43 +61,63 @@ def class_rows(matrix: DataFrame, label: str = "meshid", id_col: str = ID) -> Da
 
 
 def naive_bayes_fit(bow: DataFrame, ys: DataFrame, smoothing: float = 1.0,
-                    label: str = "meshid", id_col: str = ID) -> DataFrame:
-    """Multinomial naive Bayes, one binary model per label, fitted for all
-    labels in one aggregation.  Returns (label, y, token, log_prob, log_prior)."""
-    n_docs = ys.groupBy(label, "y").agg(F.count(F.lit(1)).alias("n_c"))
-    tot_docs = ys.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    vocab = bow.select("token").distinct()
-    v = vocab.agg(F.count(F.lit(1)).alias("_v"))
-    tok_counts = (bow.join(ys, id_col).groupBy(label, "y", "token")
-                  .agg(F.sum("n").alias("n_tc")))
-    class_tot = tok_counts.groupBy(label, "y").agg(F.sum("n_tc").alias("n_tot"))
-    # Every (label, class, token) needs a probability, also for unseen pairs:
-    # the classes (two per label, labels from a top-k list) are expanded onto
-    # the vocabulary.
-    full = expand_small(vocab, n_docs.select(label, "y"))
-    out = (full.join(tok_counts, [label, "y", "token"], "left")
-           .join(class_tot, [label, "y"], "left")
-           .join(n_docs, [label, "y"]).join(tot_docs, label))
-    out = with_scalars(out, v)
-    return out.select(
-        label, "y", "token",
-        F.log((F.coalesce("n_tc", F.lit(0)) + smoothing)
-              / (F.coalesce("n_tot", F.lit(0)) + smoothing * F.col("_v"))).alias("log_prob"),
-        F.log(F.col("n_c") / F.col("n")).alias("log_prior"))
-
-
-def naive_bayes_predict(model: DataFrame, bow: DataFrame, label: str = "meshid",
-                        id_col: str = ID) -> DataFrame:
-    """(id, label, y_pred, score1, score0): argmax of log prior + sum n log p."""
-    scored = (bow.join(model, "token")
-              .groupBy(id_col, label, "y")
-              .agg(F.sum(F.col("n") * F.col("log_prob")).alias("_ll"),
-                   F.first("log_prior").alias("_lp")))
-    scored = scored.withColumn("score", F.col("_ll") + F.col("_lp"))
-    wide = scored.groupBy(id_col, label).agg(
-        F.max(F.when(F.col("y") == 1, F.col("score"))).alias("score1"),
-        F.max(F.when(F.col("y") == 0, F.col("score"))).alias("score0"))
-    return wide.withColumn(
+                    label: str = "meshid", id_col: str = ID) -> dict:
+    """Multinomial naive Bayes, one binary model per label, all labels in one
+    pass.  ``bow(id, token, n)`` and ``ys(id, label, y)`` cover the training
+    documents.
+
+    The two classes of a label split the training documents, so class-0
+    token counts are totals minus class-1 counts; only (label, token) pairs
+    seen in positive documents are stored.  Returns the model tables:
+    ``tokens(token, n_t)``, ``positive(label, token, n_t1)`` and
+    ``classes(label, n_pos, n_neg, tot1, tot0, v)``.
+    """
+    tokens = bow.groupBy("token").agg(F.sum("n").alias("n_t"))
+    pos_ids = ys.where(F.col("y") == 1).select(id_col, label)
+    positive = (bow.join(pos_ids, id_col).groupBy(label, "token")
+                .agg(F.sum("n").alias("n_t1")))
+    totals = tokens.agg(F.sum("n_t").alias("tot"), F.count(F.lit(1)).alias("v"))
+    per_label = ys.groupBy(label).agg(F.count_if(F.col("y") == 1).alias("n_pos"),
+                                      F.count_if(F.col("y") == 0).alias("n_neg"))
+    tot1 = positive.groupBy(label).agg(F.sum("n_t1").alias("tot1"))
+    classes = (with_scalars(per_label.join(tot1, label, "left"), totals)
+               .withColumn("tot1", F.coalesce("tot1", F.lit(0)))
+               .withColumn("tot0", F.col("tot") - F.col("tot1")).drop("tot"))
+    return {"tokens": tokens, "positive": positive, "classes": classes,
+            "smoothing": smoothing, "label": label}
+
+
+def naive_bayes_predict(model: dict, bow: DataFrame, id_col: str = ID) -> DataFrame:
+    """(id, label, score1, score0, y_pred) for documents with at least one
+    known token; y_pred = 1 when the positive class scores higher.
+
+    score_c = log prior_c + sum_t n_t log(count_tc + s) - N log(total_c + s V).
+    Tokens a label never saw among positives contribute log(s) to class 1 and
+    the label-free log(n_t + s) to class 0, so the per-label work is a join
+    with the sparse positive table only; the label-free part is one sum per
+    document.
+    """
+    s, label = float(model["smoothing"]), model["label"]
+    ls = F.lit(math.log(s))
+    known = bow.join(model["tokens"], "token")
+    base = known.groupBy(id_col).agg(
+        F.sum(F.col("n") * F.log(F.col("n_t") + s)).alias("_base"),
+        F.sum("n").alias("_len"))
+    sparse = (known.join(model["positive"], "token")
+              .groupBy(id_col, label).agg(
+                  F.sum(F.col("n") * (F.log(F.col("n_t1") + s) - ls)).alias("_d1"),
+                  F.sum(F.col("n") * (F.log(F.col("n_t") - F.col("n_t1") + s)
+                                      - F.log(F.col("n_t") + s))).alias("_d0")))
+    # classes: one row per label (labels come from a top-k list).
+    grid = expand_small(base, model["classes"])
+    g = grid.join(sparse, [id_col, label], "left")
+    n_docs = F.col("n_pos") + F.col("n_neg")
+    score1 = (F.log(F.col("n_pos") / n_docs) + F.col("_len") * ls + F.coalesce("_d1", F.lit(0.0))
+              - F.col("_len") * F.log(F.col("tot1") + s * F.col("v")))
+    score0 = (F.log(F.col("n_neg") / n_docs) + F.col("_base") + F.coalesce("_d0", F.lit(0.0))
+              - F.col("_len") * F.log(F.col("tot0") + s * F.col("v")))
+    out = g.select(id_col, label, score1.alias("score1"), score0.alias("score0"))
+    return out.withColumn(
         "y_pred", F.when(F.col("score0").isNull() | (F.col("score1") > F.col("score0")), 1)
         .otherwise(0))
 
