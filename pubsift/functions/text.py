@@ -120,7 +120,7 @@ def occurrence_starts(text, label) -> Column:
 def annotation_span_start(text, label, n) -> Column:
     """0-based start of the (n+1)-th occurrence of label, NULL if there is none."""
     starts = occurrence_starts(text, label)
-    return F.element_at(starts, col_of(n) + 1) - 1
+    return F.try_element_at(starts, (col_of(n) + 1).cast("int")) - 1
 
 
 def count_preceding_matches(text, label, position) -> Column:

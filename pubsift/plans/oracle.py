@@ -51,6 +51,13 @@ select event_id, ts, cast(user_id % 10 as int) as gid, cast(user_id as int) as d
                        else 'segment_annotation' end as type,
        event_type as tag, value
 from events""",
+    "gene_names": r"""
+select hgnc_id, upper(w[1]) as symbol, w[2] as name,
+       case when len(w) > 2 then array_to_string(w[3:], '|') end as alias_symbol
+from (select item_id as hgnc_id, list_filter(w0, lambda x, i: list_position(w0, x) = i) as w
+      from (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9-]+'),
+                                        lambda x: length(x) >= 7) as w0 from benchmark) a) b
+where len(w) >= 1""",
 }
 
 DEPENDS = {

@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubsift.functions.text import TOKEN_SEPARATOR
+from pubsift.functions.text import TOKEN_RUN, TOKEN_SEPARATOR
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -132,3 +132,19 @@ def annotation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("event_type") == "view", "doc_annotation")
          .otherwise("segment_annotation").alias("type"),
         F.col("event_type").alias("tag"), "value")
+
+
+def gene_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene-name table (hgnc_id, symbol, name, alias_symbol) from the benchmark
+    passages: the distinct long words of a passage in order of appearance give
+    the symbol (first, upper-cased), the name (second) and '|'-joined aliases
+    (the rest).  Words recur across passages, so aliases are shared."""
+    b = read_table(spark, sf_dir, "benchmark")
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_RUN), 0),
+                                      lambda w: F.length(w) >= MIN_TERM_LENGTH))
+    w = b.select(F.col("item_id").alias("hgnc_id"), words.alias("_w")).where(F.size("_w") >= 1)
+    return w.select(
+        "hgnc_id", F.upper(F.element_at("_w", 1)).alias("symbol"),
+        F.try_element_at("_w", F.lit(2)).alias("name"),
+        F.when(F.size("_w") > 2, F.array_join(F.slice("_w", F.lit(3), F.size("_w") - 2), "|"))
+        .alias("alias_symbol"))
