@@ -209,15 +209,15 @@ def logistic_grid(b_values, m_values, v_values) -> list[tuple[float, float, floa
     return [(float(b), float(m), float(v)) for b in b_values for m in m_values for v in v_values]
 
 
-def discovery_curve(points: DataFrame, grid: list | None = None, t: str = "t",
-                    y: str = "y") -> DataFrame:
-    """Fit y = A + (K - A) / (1 + exp(-B (t - M)))^(1/v) (C = Q = 1).
+def logistic_fits(points: DataFrame, grid: list | None = None, t: str = "t",
+                  y: str = "y") -> DataFrame:
+    """Fit y = A + (K - A) / (1 + exp(-B (t - M)))^(1/v) (C = Q = 1) at
+    every grid point: (B, M, v, A, K, sse).
 
     For each grid point (B, M, v), g(t) is fixed and y = A (1 - g) + K g is
     linear, so (A, K) and the squared error follow from sums over the points.
     The grid is a parameter list, generated onto every point; the points grow
-    with the data and are only aggregated.  Returns the best row with
-    total = A + K.
+    with the data and are only aggregated.
     """
     grid = grid if grid is not None else logistic_grid(**DEFAULT_GRID)
     grid_col = F.array(*[F.struct(F.lit(b).alias("B"), F.lit(m).alias("M"), F.lit(v).alias("v"))
@@ -242,6 +242,13 @@ def discovery_curve(points: DataFrame, grid: list | None = None, t: str = "t",
                        - 2 * F.col("K") * F.col("sgy") + F.col("A") * F.col("A") * F.col("suu")
                        + 2 * F.col("A") * F.col("K") * F.col("sug")
                        + F.col("K") * F.col("K") * F.col("sgg")))
+    return fit.select("B", "M", "v", "A", "K", "sse")
+
+
+def discovery_curve(points: DataFrame, grid: list | None = None, t: str = "t",
+                    y: str = "y") -> DataFrame:
+    """The best grid fit of :func:`logistic_fits` with total = A + K."""
+    fit = logistic_fits(points, grid, t, y)
     best = fit.agg(F.min(F.struct("sse", "B", "M", "v", "A", "K")).alias("_b"))
     return best.select(*[F.col(f"_b.{c}").alias(c) for c in ("A", "K", "B", "M", "v", "sse")],
                        (F.col("_b.A") + F.col("_b.K")).alias("total"))
