@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pubsift.operators.ordinals import global_ordinal, running_sums, with_scalars
 
@@ -94,7 +95,7 @@ def f_test_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
 
 
 def _t_p_udf():
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
         return t_test_p(t, dof)
 
@@ -102,7 +103,7 @@ def _t_p_udf():
 
 
 def _f_p_udf():
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
         return f_test_p(f, d1, d2)
 

@@ -33,5 +33,5 @@ def query(name: str, oracle: str | None = None, ctes: str = "", recursive: bool
 def load_all() -> None:
     """Import every module that registers queries."""
     from pubsift.plans import (  # noqa: F401
-        q_search, q_corpus, q_text, q_ranking, q_labels, q_embeddings, q_misc, q_sources, q_stream, q_models,
+        q_search, q_corpus, q_text, q_ranking, q_labels, q_embeddings, q_misc, q_sources, q_stream, q_models, q_extra,
     )

@@ -90,8 +90,10 @@ def ontology_classes(pages: DataFrame) -> DataFrame:
                     F.col("c.`@id`").alias("source"))
 
 
-def read_ontology_classes(spark: SparkSession, paths) -> DataFrame:
-    pages = spark.read.schema(ONTOLOGY_PAGE).option("multiLine", "true").json(paths)
+def read_ontology_classes(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
+    """Classes from stored pages: one JSON page per file (``multi_line``) or
+    one page per line."""
+    pages = spark.read.schema(ONTOLOGY_PAGE).option("multiLine", str(multi_line).lower()).json(paths)
     return ontology_classes(pages)
 
 
@@ -101,10 +103,15 @@ def read_grid_results(spark: SparkSession, root: str, sizes: DataFrame | None =
     ``sizes(corpus, size)``)."""
     df = (spark.read.options(header="true", inferSchema="true", recursiveFileLookup="true")
           .csv(root).withColumn("_path", F.col("_metadata.file_path")))
-    df = (df.withColumn("corpus", F.element_at(F.split("_path", "/"), -2))
-          .withColumn("_size", F.regexp_extract("_path", r"_(\d+)_grid", 1)))
+    # '<root>/<corpus>/<corpus>[_<size>]_grid_results.csv' (a file, or the
+    # folder Spark writes under that name).
+    m = r"/([^/]+)/([^/]*_grid_results\.csv)"
+    df = (df.withColumn("corpus", F.regexp_extract("_path", m, 1))
+          .withColumn("_fname", F.regexp_extract("_path", m, 2))
+          .withColumn("_size", F.regexp_extract(F.substr("_fname", F.length("corpus") + 2),
+                                                r"^(\d+)_grid_results", 1)))
     df = df.withColumn("size", F.when(F.col("_size") != "", F.col("_size").cast("long")))
     if sizes is not None:
         df = (df.join(sizes.select("corpus", F.col("size").alias("_full")), "corpus", "left")
               .withColumn("size", F.coalesce("size", "_full")).drop("_full"))
-    return df.where(F.col("rank_test_score") == 1).drop("_path", "_size")
+    return df.where(F.col("rank_test_score") == 1).drop("_path", "_size", "_fname")

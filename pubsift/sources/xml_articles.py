@@ -172,15 +172,21 @@ def article_locator(records: DataFrame) -> DataFrame:
                        F.col("_b.start").alias("start"), F.col("_b.length").alias("length"))
 
 
+def author_list(xml: Column) -> Column:
+    """'LastName Initials' for personal authors (trimmed), then collective
+    names, as array<string>."""
+    last = F.xpath(xml, F.lit("//AuthorList/Author/LastName/text()"))
+    ini = F.xpath(xml, F.lit("//AuthorList/Author/Initials/text()"))
+    coll = F.xpath(xml, F.lit("//AuthorList/Author/CollectiveName/text()"))
+    return F.concat(F.zip_with(last, ini, lambda l, i: F.trim(F.concat_ws(" ", l, i))),
+                    F.transform(coll, lambda c: F.trim(c)))
+
+
 def parse_article_doc(records: DataFrame) -> DataFrame:
     """Nested article document: meta{src, license, url}, abstract, id{pmid},
     author list ('LastName Initials' or CollectiveName), date (y-m-d),
     publication (journal title), title; plus its JSON text."""
-    xml = F.col("xml")
-    last = F.xpath(xml, F.lit("//AuthorList/Author/LastName/text()"))
-    ini = F.xpath(xml, F.lit("//AuthorList/Author/Initials/text()"))
-    coll = F.xpath(xml, F.lit("//AuthorList/Author/CollectiveName/text()"))
-    authors = F.concat(F.zip_with(last, ini, lambda l, i: F.trim(F.concat_ws(" ", l, i))), coll)
+    authors = author_list(F.col("xml"))
     p = parse_articles(records, keep_xml=True).withColumn("author", authors)
     doc = p.select(
         F.struct(F.lit("pubmed").alias("src"), F.lit(None).cast("string").alias("license"),
@@ -211,7 +217,9 @@ def _esc(c: Column) -> Column:
     return F.replace(c, F.lit(">"), F.lit("&gt;"))
 
 
-def render_article_xml(articles: DataFrame, mesh: DataFrame | None = None) -> DataFrame:
+def render_article_xml(articles: DataFrame, mesh: DataFrame | None = None,
+                       accessions: DataFrame | None = None,
+                       authors: DataFrame | None = None) -> DataFrame:
     """(pmid, xml): article records in dump layout, from (pmid, version,
     title, content, date[, file_pos, article_pos]).  Month is written as a
     number, abbreviation or full name depending on the pmid, to exercise the
@@ -222,6 +230,30 @@ def render_article_xml(articles: DataFrame, mesh: DataFrame | None = None) -> Da
         a = a.join(m, "pmid", "left")
     else:
         a = a.withColumn("_mesh", F.array().cast("array<string>"))
+    acc = F.lit("")
+    if accessions is not None:
+        g = accessions.groupBy("pmid").agg(F.array_sort(F.collect_set("accession")).alias("_acc"))
+        a = a.join(g, "pmid", "left")
+        acc = F.when(F.size("_acc") > 0, F.concat(
+            F.lit("<DataBankList><DataBank><AccessionNumberList>"),
+            F.array_join(F.transform("_acc", lambda x: F.concat(
+                F.lit("<AccessionNumber>"), _esc(x), F.lit("</AccessionNumber>"))), ""),
+            F.lit("</AccessionNumberList></DataBank></DataBankList>"))).otherwise(F.lit(""))
+    auth = F.lit("")
+    if authors is not None:
+        g = authors.groupBy("pmid").agg(F.array_sort(F.collect_list(
+            F.struct("pos", "last_name", "initials", "collective"))).alias("_au"))
+        a = a.join(g, "pmid", "left")
+        one = lambda x: F.concat(
+            F.lit("<Author>"),
+            F.when(x["collective"].isNotNull(), F.concat(
+                F.lit("<CollectiveName>"), _esc(x["collective"]), F.lit("</CollectiveName>")))
+            .otherwise(F.concat(F.lit("<LastName>"), _esc(x["last_name"]), F.lit("</LastName><Initials>"),
+                                _esc(x["initials"]), F.lit("</Initials>"))),
+            F.lit("</Author>"))
+        auth = F.when(F.size("_au") > 0, F.concat(F.lit("<AuthorList>"),
+                                                  F.array_join(F.transform("_au", one), ""),
+                                                  F.lit("</AuthorList>"))).otherwise(F.lit(""))
     journal = _esc(F.coalesce(F.col("source"), F.lit(""))) if "source" in a.columns else F.lit("")
     mon = F.month("date")
     abbr = F.element_at(F.array(*[F.lit(x.capitalize()) for x in MONTHS]), mon)
@@ -240,23 +272,35 @@ def render_article_xml(articles: DataFrame, mesh: DataFrame | None = None) -> Da
         F.lit("</Year><Month>"), month, F.lit("</Month><Day>"), F.dayofmonth("date").cast("string"),
         F.lit("</Day></PubDate></JournalIssue></Journal><ArticleTitle>"), _esc(F.col("title")),
         F.lit("</ArticleTitle><Abstract><AbstractText>"), _esc(F.col("content")),
-        F.lit("</AbstractText></Abstract></Article>"),
+        F.lit("</AbstractText></Abstract>"), auth, acc, F.lit("</Article>"),
         F.when(F.size("_mesh") > 0, F.concat(F.lit("<MeshHeadingList>"), heads,
                                              F.lit("</MeshHeadingList>"))).otherwise(F.lit("")),
         F.lit("</MedlineCitation></PubmedArticle>"))
     return a.select("pmid", xml.alias("xml"))
 
 
-def verify_checksums(spark: SparkSession, data_glob: str, md5_glob: str) -> DataFrame:
+def verify_checksums(spark: SparkSession, data_glob: str, md5_glob: str,
+                     manifest_key: str = "side_file") -> DataFrame:
     """(file, md5, expected, status): md5 of each file's bytes against its
-    ``.md5`` side file (hash = second whitespace token); status is 'ok',
-    'mismatch' or 'unverified' (no side file)."""
+    side file (hash = second whitespace token); status is 'ok', 'mismatch' or
+    'unverified' (no side file).
+
+    ``manifest_key`` says how a side file names its data file: 'side_file' =
+    '<data file>.md5' next to it; 'partition' = a folder ``f=<data file
+    name>`` (side files written by Spark with ``partitionBy``)."""
     data = (spark.read.format("binaryFile").load(data_glob)
             .select(F.col("path").alias("file"), F.md5("content").alias("md5")))
+    if manifest_key == "partition":
+        data = data.withColumn("_key", F.element_at(F.split("file", "/"), -1))
+        side_key = F.regexp_extract(F.col("_metadata.file_path"), r"/f=([^/]+)/[^/]+$", 1)
+    else:
+        data = data.withColumn("_key", F.regexp_replace("file", "^file:", ""))
+        side_key = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"\.md5$", ""),
+                                    "^file:", "")
     side = (spark.read.text(md5_glob).select(
-        F.regexp_replace(F.col("_metadata.file_path"), r"\.md5$", "").alias("file"),
+        side_key.alias("_key"),
         F.element_at(F.split(F.trim("value"), r"\s+"), 2).alias("expected"))
         .where(F.col("expected").isNotNull()))
-    j = data.join(side, "file", "left")
+    j = data.join(side, "_key", "left").drop("_key")
     return j.withColumn("status", F.when(F.col("expected").isNull(), "unverified")
                         .when(F.lower("expected") == F.col("md5"), "ok").otherwise("mismatch"))

@@ -26,6 +26,7 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from pubsift.sources import xml_articles as XA
 
@@ -164,7 +165,7 @@ def update_watermark(df: DataFrame, last_date: str, date: str = "date",
             .select(id_col, F.date_sub(F.current_date(), 1).alias("next_watermark")))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def well_formed_xml(xml: pd.Series) -> pd.Series:
     """True when the text parses as XML (a small per-row helper)."""
     import xml.etree.ElementTree as ET
