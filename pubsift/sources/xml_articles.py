@@ -50,8 +50,7 @@ def read_xml_records(spark: SparkSession, paths, tag: str = RECORD) -> DataFrame
     w = Window.partitionBy("file").orderBy("_mid")
     chunk_bytes = F.octet_length("value") + F.lit(len(end.encode()))
     raw = raw.withColumn("_end", F.sum(chunk_bytes).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    open_tag = f"<{tag}"
-    at = F.locate(open_tag, F.col("value"))  # 1-based, 0 = not found (file trailer)
+    at = open_tag_position(F.col("value"), tag)  # 1-based, 0 = not found (file trailer)
     recs = raw.where(at > 0)
     body = F.substr(F.col("value"), at)
     prefix_bytes = F.octet_length(F.substr(F.col("value"), F.lit(1), at - 1))
@@ -63,6 +62,12 @@ def read_xml_records(spark: SparkSession, paths, tag: str = RECORD) -> DataFrame
         (F.octet_length(body) + F.lit(len(end.encode()))).alias("length"))
 
 
+def open_tag_position(text: Column, tag: str = RECORD) -> Column:
+    """1-based position of the record's opening tag (``<tag>`` or ``<tag
+    attr..>``, not ``<tagSet>``), 0 when absent."""
+    return F.regexp_instr(text, F.lit(f"<{tag}[\\s>]"))
+
+
 def _x(xml: Column, path: str) -> Column:
     return F.xpath_string(xml, F.lit(path))
 

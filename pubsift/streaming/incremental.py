@@ -36,7 +36,7 @@ END = f"</{XA.RECORD}>"
 def _chunks_to_records(chunks: DataFrame) -> DataFrame:
     """Record rows from raw lineSep chunks of one micro-batch (whole files)."""
     w = Window.partitionBy("file").orderBy("_mid")
-    at = F.locate(f"<{XA.RECORD}", F.col("value"))
+    at = XA.open_tag_position(F.col("value"))
     c = chunks.withColumn("_mid", F.monotonically_increasing_id())
     recs = c.where(at > 0)
     return recs.select("file", "file_name", (F.row_number().over(w) - 1).alias("rec_pos"),
