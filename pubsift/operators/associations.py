@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pubsift.functions.text import raw_tokens, sentence_key, split_sentences
+from pubsift.session import materialize
 
 ID = "pmid"
 
@@ -119,8 +120,9 @@ def association_features(sents: DataFrame, dictionary: DataFrame, pattern: str,
              F.lit(FEATURE_TOKEN), 0)))
          .withColumn("_toks", F.regexp_extract_all("sentence", F.lit(FEATURE_TOKEN), 0))
          .withColumn("n_tokens", F.size("_toks")))
-    toks = s.select(id_col, "date", "sent_pos", "sentence", "match_start", "flip", "n_tokens",
-                    F.posexplode("_toks").alias("tok_pos", "token"))
+    # Matching sentences only; read by the term links and the class counts.
+    toks = materialize(s.select(id_col, "date", "sent_pos", "match_start", "flip",
+                                "n_tokens", F.posexplode("_toks").alias("tok_pos", "token")))
     d = dictionary.select(F.lower("alias").alias("_alias"), "symbol").distinct()
     guard = ~(F.col("token").rlike("^[A-Za-z]+$")
               & ((F.col("tok_pos") == 0) | (F.col("token") == F.lower("token"))))
@@ -131,11 +133,15 @@ def association_features(sents: DataFrame, dictionary: DataFrame, pattern: str,
     if lexicon is None:
         lexicon = default_lexicon(sents.sparkSession)
     lex = lexicon.select(F.lower("word").alias("_w"), F.col("class").alias("_lex"))
-    t = (toks.join(is_gene, [id_col, "sent_pos", "tok_pos"], "left")
+    # Class counts are only needed in sentences that hold a linked term.
+    with_genes = genes.select(id_col, "sent_pos").distinct()
+    t = (toks.join(with_genes, [id_col, "sent_pos"], "left_semi")
+         .join(is_gene, [id_col, "sent_pos", "tok_pos"], "left")
          .join(F.broadcast(lex), F.lower(F.col("token")) == F.col("_w"), "left")
          .withColumn("cls", F.when(F.col("_gene"), "GENE")
                      .when(F.col("token").rlike(PUNCT_TOKEN), "PUNCT")
                      .otherwise(F.col("_lex"))))
+    t = t.select(id_col, "sent_pos", "tok_pos", "flip", "cls")
     sent_w = Window.partitionBy(id_col, "sent_pos")
     run_w = sent_w.orderBy("tok_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in CLASSES:
@@ -143,7 +149,9 @@ def association_features(sents: DataFrame, dictionary: DataFrame, pattern: str,
         t = (t.withColumn(f"_inc_{c}", F.sum(flag).over(run_w))            # count in [0, i]
              .withColumn(f"_flip_{c}", F.sum(F.when(F.col("tok_pos") < F.col("flip"), flag)
                                              .otherwise(0)).over(sent_w)))  # count in [0, flip)
-    g = genes.join(t, [id_col, "sent_pos", "tok_pos"])
+    g = (genes.join(t, [id_col, "sent_pos", "tok_pos"])
+         .join(toks.select(id_col, "sent_pos", "tok_pos", "date", "token", "match_start", "n_tokens"),
+               [id_col, "sent_pos", "tok_pos"]))
     before = F.col("tok_pos") < F.col("flip")
     out = g
     for c in CLASSES:

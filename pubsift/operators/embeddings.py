@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pubsift.functions.text import cosine
 from pubsift.operators.ordinals import expand_small, global_ordinal, with_scalars
+from pubsift.session import materialize
 
 SALT_BUCKETS = 64
 
@@ -133,6 +134,7 @@ def cluster_profile(postings: DataFrame, clusters: DataFrame, weights: DataFrame
     count per cluster times idcf (``weights``), or the counts normalised to
     sum 1 (``normalise``); zeros for clusters a document does not touch.
     ``labels`` is the cluster list (k rows), expanded onto each document."""
+    postings = materialize(postings.select(id_col, "token"))  # counts and the document grid
     j = postings.select(id_col, F.col("token").alias("word")).join(clusters, "word")
     counts = j.groupBy(id_col, "label").agg(F.count(F.lit(1)).alias("n"))
     grid = expand_small(postings.select(id_col).distinct(), labels.select("label"))
@@ -249,6 +251,7 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, axes: int = 2,
          .select(gene, sample, ((F.col(value) - F.col("_mu")) / F.col("_norm")).alias("z")))
     vec = z.groupBy(gene).agg(F.array_sort(F.collect_list(F.struct(sample, "z"))).alias("_s")) \
         .select(gene, F.transform("_s", lambda e: e["z"]).alias("u"))
+    vec = materialize(vec)  # both sides of the cell join read it
     r = math.sqrt(max(2 - 2 * threshold, 0.0))
     cells = [F.floor(F.element_at("u", i + 1) / F.lit(r)).cast("long") for i in range(axes)]
     vec = vec.withColumn("_cell", F.array(*cells))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pubsift.operators.ordinals import expand_small, with_scalars
+from pubsift.session import materialize
 
 ID = "pmid"
 
@@ -72,6 +73,7 @@ def naive_bayes_fit(bow: DataFrame, ys: DataFrame, smoothing: float = 1.0,
     ``tokens(token, n_t)``, ``positive(label, token, n_t1)`` and
     ``classes(label, n_pos, n_neg, tot1, tot0, v)``.
     """
+    bow = materialize(bow)  # read by the token totals and the positive counts
     tokens = bow.groupBy("token").agg(F.sum("n").alias("n_t"))
     pos_ids = ys.where(F.col("y") == 1).select(id_col, label)
     positive = (bow.join(pos_ids, id_col).groupBy(label, "token")
@@ -99,7 +101,7 @@ def naive_bayes_predict(model: dict, bow: DataFrame, id_col: str = ID) -> DataFr
     """
     s, label = float(model["smoothing"]), model["label"]
     ls = F.lit(math.log(s))
-    known = bow.join(model["tokens"], "token")
+    known = materialize(bow.join(model["tokens"], "token"))  # two aggregates read it
     base = known.groupBy(id_col).agg(
         F.sum(F.col("n") * F.log(F.col("n_t") + s)).alias("_base"),
         F.sum("n").alias("_len"))

@@ -33,7 +33,7 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 
 
 def _blocked(df: DataFrame, order, n: int | None) -> DataFrame:
-    from pubsift.session import ensure_checkpoint_dir
+    from pubsift.session import ensure_checkpoint_dir, materialize
 
     order = _cols(order)
     ranged = df.repartitionByRange(_partitions(df, n), *order).sortWithinPartitions(*order)
@@ -44,11 +44,11 @@ def _blocked(df: DataFrame, order, n: int | None) -> DataFrame:
                .drop("_mid"))
     # The blocked rows are read twice (block sizes, block rows).  Range bounds
     # are sampled and partition ids depend on the physical plan, so the two
-    # reads must see one materialisation: a reliable checkpoint in the
-    # cluster's checkpoint folder, which also cuts the lineage so a lost
-    # executor does not recompute the whole upstream plan.
+    # reads must see one materialisation: written once under the cluster's
+    # checkpoint folder, which also cuts the lineage so a lost executor does
+    # not recompute the whole upstream plan.
     ensure_checkpoint_dir(df.sparkSession)
-    return blocked.checkpoint(eager=True)
+    return materialize(blocked)
 
 
 def global_ordinal(df: DataFrame, order, name: str = "ordinal", start: int = 1,

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pubsift.operators.ordinals import replicate, running_sums, with_scalars
+from pubsift.session import materialize
 
 
 def clean_ranked(ranked: DataFrame, gene: str = "symbol", rank: str = "rank",
@@ -123,6 +124,7 @@ def stratum_prefix_test(firsts_ranked: DataFrame, nulls: DataFrame, alpha: float
     significant prefix; known_gene = the symbol at position ``size``.
     """
     order = F.col("rank").asc() if ascending else F.col("rank").desc()
+    firsts_ranked = materialize(firsts_ranked)  # prefixes and the known gene read it
     tested = prefix_tests(firsts_ranked, nulls, ascending).withColumn(
         "fail", (F.col("p") > alpha).cast("int"))
     run = Window.partitionBy("stratum_date").orderBy(order).rowsBetween(
@@ -154,6 +156,7 @@ def enrichment_frontier(prefix: DataFrame, ranked: DataFrame, nulls: DataFrame,
     list position after the known gene whose rank crosses it.
     """
     r = ranked.select("symbol", "rank", "pos")
+    prefix = materialize(prefix)  # thresholds and the output read it
     nt = null_table(nulls)
     m = F.floor(F.lit(alpha) * F.size("sums")).cast("int")
     cut = (F.element_at("sums", m + 1) if ascending

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pubsift.functions.text import split_sentences, tokenize
 from pubsift.operators.ordinals import global_ordinal, with_scalars
+from pubsift.session import materialize
 
 ID = "pmid"
 # Fixed value: the phrase delimiter (U+00B7, middle dot).
@@ -53,7 +54,9 @@ def tfidf(bow: DataFrame, idf: DataFrame | None = None, id_col: str = ID) -> Dat
 
     Pass the training ``idf`` to transform test documents with training
     document frequencies (unknown tokens drop out)."""
-    idf = idf if idf is not None else idf_table(bow, id_col)
+    if idf is None:
+        bow = materialize(bow)  # read by the idf aggregate and by the weighting
+        idf = idf_table(bow, id_col)
     w = bow.join(idf, "token").withColumn("_w", F.col("n") * F.col("idf"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return (w.join(norm, id_col)
@@ -111,6 +114,7 @@ def preprocess(tokens: DataFrame, passes: int = 1, min_count: int = 30,
     tokens and the list of phrase tables (re-applied to new documents by
     :func:`apply_preprocessing`)."""
     models = []
+    tokens = materialize(tokens)  # read by phrase scoring and by merging
     for _ in range(passes):
         ph = phrase_scores(tokens, min_count, threshold, id_col)
         models.append(ph)

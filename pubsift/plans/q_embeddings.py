@@ -206,7 +206,9 @@ g as (select d.pmid, l.label from (select distinct pmid from stoks) d,
 select g.pmid, g.label, round(coalesce(c.n, 0) * coalesce(w.idcf, 0), 6) as value
 from g left join c using (pmid, label) left join w using (label)""", ctes=SQL_STOKS)
 def q_cluster_profile(spark, sf_dir):
-    toks = X.sentence_token_table(T.articles(spark, sf_dir))
+    from pubsift.session import materialize
+
+    toks = materialize(X.sentence_token_table(T.articles(spark, sf_dir)).select("pmid", "token"))
     cl = _token_clusters(toks.select("token").distinct())
     labels = cl.select("label").distinct()
     return normalize(EM.cluster_profile(toks, cl, EM.idcf(toks, cl), labels))
@@ -216,7 +218,9 @@ def q_cluster_profile(spark, sf_dir):
 select g.pmid, g.label, round(coalesce(c.n / sum(c.n) over (partition by g.pmid), 0), 6) as value
 from g left join c using (pmid, label)""", ctes=SQL_STOKS)
 def q_cluster_profile_norm(spark, sf_dir):
-    toks = X.sentence_token_table(T.articles(spark, sf_dir))
+    from pubsift.session import materialize
+
+    toks = materialize(X.sentence_token_table(T.articles(spark, sf_dir)).select("pmid", "token"))
     cl = _token_clusters(toks.select("token").distinct())
     labels = cl.select("label").distinct()
     return normalize(EM.cluster_profile(toks, cl, None, labels, normalise=True))

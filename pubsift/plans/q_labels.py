@@ -70,7 +70,9 @@ def _setup(spark, sf_dir):
 
 def _nb(spark, sf_dir):
     arts, mesh, top, ys = _setup(spark, sf_dir)
-    bow = X.bag_of_words(X.sentence_token_table(arts))
+    from pubsift.session import materialize
+
+    bow = materialize(X.bag_of_words(X.sentence_token_table(arts)))  # train and test read it
     split = C.train_test_split(arts.select("pmid"), 0.25, SEED)
     tr = split.where("split = 'train'").select("pmid")
     te = split.where("split = 'test'").select("pmid")

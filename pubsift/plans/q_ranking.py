@@ -77,7 +77,9 @@ def _firsts_ranked(spark, sf_dir):
 
 
 def _nulls(spark, sf_dir):
-    return R.null_rank_sums(T.ranked(spark, sf_dir), N_PERMS, SEED)
+    from pubsift.session import materialize
+
+    return materialize(R.null_rank_sums(T.ranked(spark, sf_dir), N_PERMS, SEED))
 
 
 def _prefix(spark, sf_dir):

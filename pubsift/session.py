@@ -68,3 +68,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df):
+    """Write an intermediate that several branches of a plan read to Parquet
+    under the checkpoint folder and read it back.
+
+    Every consumer then scans the written files instead of re-running the
+    upstream plan (tokenising, joins), the lineage is cut (a lost executor
+    re-reads files, it does not recompute), and the read is columnar with
+    pruning.  The folder is shared storage on a cluster.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"mat-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
