@@ -252,6 +252,7 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, axes: int = 2,
     vec = z.groupBy(gene).agg(F.array_sort(F.collect_list(F.struct(sample, "z"))).alias("_s")) \
         .select(gene, F.transform("_s", lambda e: e["z"]).alias("u"))
     vec = materialize(vec)  # both sides of the cell join read it
+    dim = vec.select(F.size("u")).first()[0]  # one number: the sample count
     r = math.sqrt(max(2 - 2 * threshold, 0.0))
     cells = [F.floor(F.element_at("u", i + 1) / F.lit(r)).cast("long") for i in range(axes)]
     vec = vec.withColumn("_cell", F.array(*cells))
@@ -261,11 +262,21 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, axes: int = 2,
                           F.col("_cell"), off, lambda c, o: c + o))).alias("_cell"))
     right = vec.select(F.col(gene).alias("gene_b"), F.col("u").alias("ub"), "_cell")
     cand = left.join(right, "_cell").where(F.col("gene_a") < F.col("gene_b"))
-    corr = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
+    corr = dot_fixed("ua", "ub", dim)
     return (cand.select("gene_a", "gene_b", corr.alias("correlation"))
             .where(F.col("correlation") >= threshold))
 
 
+def dot_fixed(a: str, b: str, dim: int):
+    """Dot product of two arrays of a known length, written out element by
+    element so it compiles into whole-stage code (no lambda per element)."""
+    terms = [F.col(a)[i] * F.col(b)[i] for i in range(dim)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
 def _neighbour_offsets(axes: int):
     combos = [[]]
     for _ in range(axes):

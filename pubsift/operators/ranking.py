@@ -110,9 +110,33 @@ def prefix_tests(firsts_ranked: DataFrame, nulls: DataFrame, ascending: bool = T
     s = (s.withColumn("size", F.count(F.lit(1)).over(tie))
          .withColumn("ranksum", F.sum("rank").over(tie)))
     prefixes = s.select("stratum_date", "rank", "size", "ranksum").distinct()
-    return (prefixes.join(null_table(nulls), F.col("size") == F.col("n"))
-            .select("stratum_date", "rank", "size", "ranksum",
-                    _p_value(F.col("sums"), F.col("ranksum"), ascending).alias("p")))
+    return null_p_values(prefixes, nulls, ascending)
+
+
+def null_p_values(observed: DataFrame, nulls: DataFrame, ascending: bool = True) -> DataFrame:
+    """Add p = share of null sums of the same size at least as extreme as
+    ``ranksum`` (<= when ascending, >= otherwise).
+
+    Observations and null sums of one size are sorted together (nulls before
+    observations on ties) and a running count of null rows gives, for each
+    observation, the number of null sums not beyond it — a window per size
+    over N null rows plus that size's observations, with no per-row array
+    scan."""
+    key = [c for c in observed.columns]
+    obs = observed.select(F.struct(*key).alias("_o"), F.col("size").alias("n"),
+                          F.col("ranksum").cast("double").alias("_v"), F.lit(1).alias("_kind"))
+    nul = nulls.select(F.lit(None).cast(obs.schema["_o"].dataType).alias("_o"), "n",
+                       F.col("null_sum").cast("double").alias("_v"), F.lit(0).alias("_kind"))
+    both = obs.unionByName(nul)
+    order = [F.col("_v").asc(), F.col("_kind").asc()] if ascending else \
+        [F.col("_v").desc(), F.col("_kind").asc()]
+    w = Window.partitionBy("n").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = Window.partitionBy("n")
+    counted = (both.withColumn("_c", F.sum(1 - F.col("_kind")).over(w))
+               .withColumn("_N", F.sum(1 - F.col("_kind")).over(total)))
+    return (counted.where(F.col("_kind") == 1)
+            .select(*[F.col(f"_o.{c}").alias(c) for c in key],
+                    (F.col("_c") / F.col("_N")).alias("p")))
 
 
 def stratum_prefix_test(firsts_ranked: DataFrame, nulls: DataFrame, alpha: float = 0.05,

@@ -69,7 +69,9 @@ def phrase_scores(tokens: DataFrame, min_count: int = 30, threshold: float = 10.
     score = (n_ab - min_count) * V / (n_a * n_b) above ``threshold``
     (V = number of distinct tokens)."""
     w = Window.partitionBy(id_col, "sent_pos").orderBy("tok_pos")
-    pairs = (tokens.withColumn("b", F.lead("token").over(w))
+    with_next = tokens if "next" in tokens.columns else \
+        tokens.withColumn("next", F.lead("token").over(w))
+    pairs = (with_next.withColumnRenamed("next", "b")
              .where(F.col("b").isNotNull())
              .groupBy(F.col("token").alias("a"), "b").agg(F.count(F.lit(1)).alias("n_ab"))
              .where(F.col("n_ab") >= min_count))
@@ -92,7 +94,9 @@ def merge_phrases(tokens: DataFrame, phrases: DataFrame, id_col: str = ID) -> Da
     sent = Window.partitionBy(id_col, "sent_pos").orderBy("tok_pos")
     p = phrases.select(F.col("a").alias("token"), F.col("b").alias("_next"),
                        F.lit(1).alias("_m"))
-    t = (tokens.withColumn("_next", F.lead("token").over(sent))
+    with_next = tokens if "next" in tokens.columns else \
+        tokens.withColumn("next", F.lead("token").over(sent))
+    t = (with_next.withColumnRenamed("next", "_next")
          .join(p, ["token", "_next"], "left")
          .withColumn("_m", F.coalesce("_m", F.lit(0))))
     t = t.withColumn("_run_m", F.sum("_m").over(sent.rowsBetween(Window.unboundedPreceding, 0)))
@@ -114,8 +118,10 @@ def preprocess(tokens: DataFrame, passes: int = 1, min_count: int = 30,
     tokens and the list of phrase tables (re-applied to new documents by
     :func:`apply_preprocessing`)."""
     models = []
-    tokens = materialize(tokens)  # read by phrase scoring and by merging
+    sent = Window.partitionBy(id_col, "sent_pos").orderBy("tok_pos")
     for _ in range(passes):
+        # Read by phrase scoring and by merging; the next token is computed once.
+        tokens = materialize(tokens.withColumn("next", F.lead("token").over(sent)))
         ph = phrase_scores(tokens, min_count, threshold, id_col)
         models.append(ph)
         tokens = merge_phrases(tokens, ph, id_col)
