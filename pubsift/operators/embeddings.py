@@ -231,18 +231,22 @@ def projection_quality(projected: DataFrame, target: DataFrame, control: DataFra
 
 
 # ------------------------------------------------------------------ graphs
-def correlation_edges(expr: DataFrame, threshold: float = 0.7, axes: int = 2,
+def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int = 512,
                       gene: str = "gene", sample: str = "sample", value: str = "value") -> DataFrame:
     """Gene pairs with Pearson correlation >= threshold (no self edges, each
     unordered pair once, gene_a < gene_b).
 
-    Correlation is the dot product of z-normalised unit vectors u, v, and
-    corr >= c  <=>  |u - v| <= r = sqrt(2 - 2c).  Projections on any axis
-    shrink distances, so a qualifying pair lies in neighbouring cells of a
-    grid of width r on the first ``axes`` coordinates: one side is copied
-    to its 3^axes neighbour cells and joined on the cell key, then filtered
-    exactly.  No pair outside neighbouring cells is ever formed.
+    Genes are z-normalised (mean 0, norm 1) so correlation is a dot product,
+    and split into hash blocks of about ``block_rows`` genes.  Every pair of
+    blocks (i <= j) is one group: each gene row is copied to the groups of
+    its block, and a pandas function multiplies the two block matrices with
+    numpy and emits only the pairs at or above the threshold.  All pairs are
+    scored (inherent to the operator) but never materialised as rows, and no
+    group holds more than two blocks.
     """
+    import numpy as np
+    import pandas as pd
+
     stats = expr.groupBy(gene).agg(F.avg(value).alias("_mu"),
                                    F.sqrt(F.sum(F.col(value) * F.col(value))
                                           - F.count(F.lit(1)) * F.avg(value) * F.avg(value))
@@ -250,38 +254,41 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, axes: int = 2,
     z = (expr.join(stats, gene).where(F.col("_norm") > 0)
          .select(gene, sample, ((F.col(value) - F.col("_mu")) / F.col("_norm")).alias("z")))
     vec = z.groupBy(gene).agg(F.array_sort(F.collect_list(F.struct(sample, "z"))).alias("_s")) \
-        .select(gene, F.transform("_s", lambda e: e["z"]).alias("u"))
-    vec = materialize(vec)  # both sides of the cell join read it
-    dim = vec.select(F.size("u")).first()[0]  # one number: the sample count
-    r = math.sqrt(max(2 - 2 * threshold, 0.0))
-    cells = [F.floor(F.element_at("u", i + 1) / F.lit(r)).cast("long") for i in range(axes)]
-    vec = vec.withColumn("_cell", F.array(*cells))
-    offsets = F.array(*[F.array(*[F.lit(o) for o in combo]) for combo in _neighbour_offsets(axes)])
-    left = vec.select(F.col(gene).alias("gene_a"), F.col("u").alias("ua"),
-                      F.explode(F.transform(offsets, lambda off: F.zip_with(
-                          F.col("_cell"), off, lambda c, o: c + o))).alias("_cell"))
-    right = vec.select(F.col(gene).alias("gene_b"), F.col("u").alias("ub"), "_cell")
-    cand = left.join(right, "_cell").where(F.col("gene_a") < F.col("gene_b"))
-    corr = dot_fixed("ua", "ub", dim)
-    return (cand.select("gene_a", "gene_b", corr.alias("correlation"))
-            .where(F.col("correlation") >= threshold))
-
-
-def dot_fixed(a: str, b: str, dim: int):
-    """Dot product of two arrays of a known length, written out element by
-    element so it compiles into whole-stage code (no lambda per element)."""
-    terms = [F.col(a)[i] * F.col(b)[i] for i in range(dim)]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
-
-
-def _neighbour_offsets(axes: int):
-    combos = [[]]
-    for _ in range(axes):
-        combos = [c + [o] for c in combos for o in (-1, 0, 1)]
-    return combos
+        .select(F.col(gene).alias("gene"), F.transform("_s", lambda e: e["z"]).alias("u"))
+    vec = materialize(vec)
+    n = vec.count()  # one number: sizes the blocks
+    blocks = max(1, -(-n // block_rows))
+    b = F.pmod(F.xxhash64("gene"), F.lit(blocks))
+    partners = F.sequence(F.lit(0), F.lit(blocks - 1))
+    rows = vec.withColumn("_b", b).select(
+        "gene", "u", "_b",
+        F.explode(F.transform(partners, lambda j: F.struct(F.least(F.col("_b"), j).alias("i"),
+                                                           F.greatest(F.col("_b"), j).alias("j"))))
+        .alias("_pair"))
+    rows = rows.select("gene", "u", "_b", F.col("_pair.i").alias("_i"), F.col("_pair.j").alias("_j"))
+    cut = float(threshold)
+
+    def block_pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
+        left = pdf[pdf["_b"] == i]
+        right = pdf[pdf["_b"] == j]
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame({"gene_a": [], "gene_b": [], "correlation": []})
+        ua = np.vstack(left["u"].to_numpy())
+        ub = np.vstack(right["u"].to_numpy())
+        c = ua @ ub.T
+        ga = left["gene"].to_numpy()
+        gb = right["gene"].to_numpy()
+        ia, ib = np.nonzero(c >= cut)
+        a, bb, v = ga[ia], gb[ib], c[ia, ib]
+        if i == j:  # one block against itself: each unordered pair once
+            keep = a < bb
+            a, bb, v = a[keep], bb[keep], v[keep]
+        lo, hi = np.minimum(a, bb), np.maximum(a, bb)
+        return pd.DataFrame({"gene_a": lo, "gene_b": hi, "correlation": v})
+
+    return rows.groupBy("_i", "_j").applyInPandas(
+        block_pair, "gene_a string, gene_b string, correlation double")
 
 
 # ------------------------------------------------------------------ Spark ML
