@@ -38,9 +38,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     On a cluster with many input files the scan already has enough
     partitions and no shuffle is added.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
+        # Same partition count as shuffles, so later aggregations and joins on
+        # the id reuse this partitioning instead of moving the text again.
+        n = int(spark.conf.get("spark.sql.shuffle.partitions", str(cores)))
+        return df.repartition(max(n, cores), key)
     return df
 
 
