@@ -169,9 +169,12 @@ def anova_f(bow: DataFrame, ys: DataFrame, label: str = "meshid", id_col: str =
 
 
 def select_k_best(scores: DataFrame, k: int = 100, label: str = "meshid") -> DataFrame:
-    """Top k features per label by F (ties by token)."""
-    w = Window.partitionBy(label).orderBy(F.desc_nulls_last("f"), "token")
-    return scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    """Top k features per label by F (ties by token), salted so a label's
+    whole vocabulary never sits in one task."""
+    from pubsift.operators.embeddings import top_k_per_group
+
+    return top_k_per_group(scores, label, [F.desc_nulls_last("f"), F.asc("token")], k,
+                           "token").drop("rank")
 
 
 def rebalance_undersample(ys: DataFrame, seed: str = "42", label: str = "meshid",

@@ -20,10 +20,19 @@ from pubsift.operators.ordinals import global_ordinal, running_sums, with_scalar
 
 def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """Average rank (ties share the mean of their positions) of ``value``
-    inside ``group``: rank() + (ties - 1) / 2."""
-    w = Window.partitionBy(group).orderBy(value)
-    ties = Window.partitionBy(group, value)
-    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    inside ``group``: first position of the tie + (ties - 1) / 2.
+
+    Positions come from a distributed ordinal over (group, value) — not a
+    window over the group, which would put a whole vocabulary in one task —
+    and ties are an aggregate over (group, value) joined back."""
+    from pubsift.operators.corpus import group_ordinal
+
+    keyed = df.withColumn("_rid", F.monotonically_increasing_id())
+    pos = group_ordinal(keyed.select(group, value, "_rid"), group, [value, "_rid"], "_pos")
+    ties = pos.groupBy(group, value).agg(F.min("_pos").alias("_first"),
+                                         F.count(F.lit(1)).alias("_ties"))
+    ranked = ties.select(group, value, (F.col("_first") + (F.col("_ties") - 1) / 2.0).alias(name))
+    return df.join(ranked, [group, value])
 
 
 def rank_correlation(sims_a: DataFrame, sims_b: DataFrame) -> DataFrame:
