@@ -134,7 +134,6 @@ def cluster_profile(postings: DataFrame, clusters: DataFrame, weights: DataFrame
     count per cluster times idcf (``weights``), or the counts normalised to
     sum 1 (``normalise``); zeros for clusters a document does not touch.
     ``labels`` is the cluster list (k rows), expanded onto each document."""
-    postings = materialize(postings.select(id_col, "token"))  # counts and the document grid
     j = postings.select(id_col, F.col("token").alias("word")).join(clusters, "word")
     counts = j.groupBy(id_col, "label").agg(F.count(F.lit(1)).alias("n"))
     grid = expand_small(postings.select(id_col).distinct(), labels.select("label"))

@@ -147,17 +147,22 @@ def classification_metrics(pred: DataFrame, label: str = "meshid",
 
 def anova_f(bow: DataFrame, ys: DataFrame, label: str = "meshid", id_col: str = ID) -> DataFrame:
     """(label, token, f): one-way ANOVA F of each feature between the two
-    classes of each label, counting documents without the token as zeros."""
-    n_c = ys.groupBy(label, "y").agg(F.count(F.lit(1)).alias("n_c"))
-    wide_n = n_c.groupBy(label).agg(
-        F.sum(F.when(F.col("y") == 1, F.col("n_c")).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col("y") == 0, F.col("n_c")).otherwise(0)).alias("n0"))
-    sums = (bow.join(ys, id_col).groupBy(label, "token").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).cast("double").alias("s1"),
-        F.sum(F.when(F.col("y") == 1, F.col("n") * F.col("n")).otherwise(0)).cast("double").alias("q1"),
-        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).cast("double").alias("s0"),
-        F.sum(F.when(F.col("y") == 0, F.col("n") * F.col("n")).otherwise(0)).cast("double").alias("q0")))
-    x = sums.join(wide_n, label)
+    classes of each label, counting documents without the token as zeros.
+
+    Sparse: class-0 sums are token totals minus class-1 sums, so only the
+    positive documents are joined with the bag of words; the (label, token)
+    grid is the vocabulary expanded over the label list (a top-k table)."""
+    per_label = ys.groupBy(label).agg(F.count_if(F.col("y") == 1).alias("n1"),
+                                      F.count_if(F.col("y") == 0).alias("n0"))
+    bow = materialize(bow)  # token totals and positive sums read it
+    totals = bow.groupBy("token").agg(F.sum("n").cast("double").alias("_S"),
+                                      F.sum(F.col("n") * F.col("n")).cast("double").alias("_Q"))
+    pos = (bow.join(ys.where(F.col("y") == 1).select(id_col, label), id_col)
+           .groupBy(label, "token").agg(F.sum("n").cast("double").alias("s1"),
+                                        F.sum(F.col("n") * F.col("n")).cast("double").alias("q1")))
+    x = (expand_small(totals, per_label).join(pos, [label, "token"], "left")
+         .withColumn("s1", F.coalesce("s1", F.lit(0.0))).withColumn("q1", F.coalesce("q1", F.lit(0.0)))
+         .withColumn("s0", F.col("_S") - F.col("s1")).withColumn("q0", F.col("_Q") - F.col("q1")))
     n = F.col("n0") + F.col("n1")
     grand = (F.col("s0") + F.col("s1")) / n
     ssb = (F.col("n1") * F.pow(F.col("s1") / F.col("n1") - grand, 2)
