@@ -1,5 +1,5 @@
-"""A document collection object: one DataFrame and the verbs a user of the
-reference calls on a corpus (retrieve, process, filter).  Every verb returns
+"""A document collection object: one DataFrame and the verbs a user calls
+on a corpus (retrieve, process, filter).  Every verb returns
 a new collection; nothing is collected."""
 
 from __future__ import annotations

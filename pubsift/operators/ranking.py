@@ -225,7 +225,8 @@ def leading_edge(scores: DataFrame) -> DataFrame:
 
 
 def year_fraction(df: DataFrame, date: str = "date", name: str = "t") -> DataFrame:
-    """Epoch seconds normalised as (x - min) / max (the reference's scaling)."""
+    """Epoch seconds normalised as (x - min) / max (this exact scaling is kept:
+    the fitted curve parameters depend on it)."""
     x = F.unix_timestamp(F.col(date).cast("timestamp")).cast("double")
     stats = df.agg(F.min(x).alias("_mn"), F.max(x).alias("_mx"))
     return (with_scalars(df, stats)

@@ -1,7 +1,6 @@
 """Topical selection: postings, boolean / phrase / regex filters.
 
-The reference answers topical queries from an inverted index.  Here the
-index is a postings table ``(pmid, pos, token)`` that Spark derives from the
+Topical queries run against an index: here the index is a postings table ``(pmid, pos, token)`` that Spark derives from the
 text; a query is a small table of (entry, word index, word) broadcast into
 the postings scan, so only the hits are shuffled.
 """
@@ -94,13 +93,10 @@ def tag_documents_by_query(docs: DataFrame, queries: dict[str, dict],
     ``queries`` maps a query name to ``text_match`` keyword arguments.
     """
     groups: dict[str, list[str]] = {}
-    owners = []
     for qname, spec in queries.items():
         for kind in ("all_of", "any_of", "none_of"):
             for item in spec.get(kind, ()):
-                key = f"{kind}\u0001{qname}"
-                groups.setdefault(key, []).append(item)
-                owners.append((qname, kind))
+                groups.setdefault(f"{kind}\u0001{qname}", []).append(item)
     m = matched_entries(docs, groups, text, id_col)
     m = (m.withColumn("query", F.element_at(F.split("kind", "\u0001"), 2))
          .withColumn("kind", F.element_at(F.split("kind", "\u0001"), 1)))
