@@ -53,11 +53,17 @@ def gene_evidence(links: DataFrame, id_col: str = ID) -> DataFrame:
     """Per symbol: documents, sentences and mentions, and the first mention
     (earliest date, then id, then sentence) — all partial aggregates, so a
     symbol holding a third of all rows does not pile into one task."""
-    first = F.min(F.struct("date", id_col, "sent_pos"))
-    return (links.groupBy("symbol").agg(
-        F.count_distinct(id_col).alias("n_docs"),
-        F.count_distinct(id_col, "sent_pos").alias("n_sentences"),
-        F.count(F.lit(1)).alias("n_mentions"),
+    # Two plain aggregation levels instead of distinct counts: per (symbol,
+    # document) first, then per symbol; both combine map-side.
+    per_doc = links.groupBy("symbol", id_col).agg(
+        F.count_distinct("sent_pos").alias("_s"), F.count(F.lit(1)).alias("_m"),
+        F.min("date").alias("_d"), F.min("sent_pos").alias("_fs"))
+    first = F.min(F.struct(F.col("_d").alias("date"), F.col(id_col),
+                           F.col("_fs").alias("sent_pos")))
+    return (per_doc.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum("_s").alias("n_sentences"),
+        F.sum("_m").alias("n_mentions"),
         first.alias("_first"))
         .select("symbol", "n_docs", "n_sentences", "n_mentions",
                 F.col("_first.date").alias("first_date"),

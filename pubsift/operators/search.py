@@ -52,9 +52,11 @@ def matched_entries(docs: DataFrame, groups: dict[str, list[str]],
             .join(F.broadcast(q), F.col("token") == F.col("word"))
             .select(id_col, "entry", "kind", "n_words", "idx",
                     (F.col("pos") - F.col("idx")).alias("start")))
-    # Single words need no position check; phrases need all words at one start.
+    # A phrase matches where all its words share one start.  Inside (id,
+    # entry, start) every hit has its own idx (pos = start + idx is unique),
+    # so a plain count is the number of distinct words found.
     return (hits.groupBy(id_col, "entry", "kind", "n_words", "start")
-            .agg(F.count_distinct("idx").alias("k"))
+            .agg(F.count(F.lit(1)).alias("k"))
             .where(F.col("k") == F.col("n_words"))
             .select(id_col, "entry", "kind").distinct())
 
