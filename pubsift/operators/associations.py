@@ -119,8 +119,9 @@ def association_features(sents: DataFrame, dictionary: DataFrame, pattern: str,
     """
     from pyspark.sql import Window
 
-    s = (sents.where(F.coalesce(F.col("sentence").rlike(pattern), F.lit(False)))
-         .withColumn("match_start", F.regexp_instr("sentence", F.lit(pattern)) - 1)
+    # One regex evaluation per sentence: the match position doubles as the filter.
+    s = (sents.withColumn("match_start", F.regexp_instr("sentence", F.lit(pattern)) - 1)
+         .where(F.col("match_start") >= 0)
          .withColumn("flip", F.size(F.regexp_extract_all(
              F.substr(F.col("sentence"), F.lit(1), F.col("match_start") + 1),
              F.lit(FEATURE_TOKEN), 0)))
