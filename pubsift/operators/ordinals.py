@@ -26,17 +26,15 @@ def _cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def _blocked(df: DataFrame, order, n: int | None) -> DataFrame:
     from pubsift.session import ensure_checkpoint_dir, materialize
 
     order = _cols(order)
-    ranged = df.repartitionByRange(_partitions(df, n), *order).sortWithinPartitions(*order)
+    # Without an explicit count AQE may merge small range partitions; it
+    # only merges neighbours, so partition order stays key order, and the
+    # ids below are computed once (in the write) either way.
+    ranged = (df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)) \
+        .sortWithinPartitions(*order)
     mid = F.monotonically_increasing_id()
     blocked = (ranged.withColumn("_mid", mid)
                .withColumn("_blk", F.shiftright(F.col("_mid"), _LOCAL_BITS))
