@@ -45,13 +45,15 @@ def _chunks_to_records(chunks: DataFrame) -> DataFrame:
 
 
 def _latest(rows: DataFrame) -> DataFrame:
-    """Latest copy per pmid by (batch, file_name, article_pos); copies counted."""
+    """Latest copy per pmid by (batch, file arrival time, file name, position
+    in the file); copies counted.  Files of one micro-batch are ordered by
+    their modification time, the order in which the stream discovers them."""
+    order = ["batch", "file_time", "file_name", "article_pos"]
     payload = ["version", "title", "content", "date"]
     agg = rows.groupBy("pmid").agg(
-        F.max(F.struct("batch", "file_name", "article_pos", *payload)).alias("_w"),
+        F.max(F.struct(*order, *payload)).alias("_w"),
         F.sum("n_copies").alias("n_copies"))
-    return agg.select("pmid", *[F.col(f"_w.{c}").alias(c)
-                                for c in ["batch", "file_name", "article_pos"] + payload],
+    return agg.select("pmid", *[F.col(f"_w.{c}").alias(c) for c in order + payload],
                       "n_copies")
 
 
@@ -88,13 +90,15 @@ def incremental_upsert(spark: SparkSession, source_dir: str, state_dir: str, che
     stream = (spark.readStream.option("lineSep", END)
               .option("maxFilesPerTrigger", max_files_per_trigger).text(source_dir)
               .select("value", F.col("_metadata.file_path").alias("file"),
-                      F.col("_metadata.file_name").alias("file_name")))
+                      F.col("_metadata.file_name").alias("file_name"),
+                      F.col("_metadata.file_modification_time").alias("file_time")))
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        recs = XA.parse_articles(_chunks_to_records(batch))
+        times = batch.select("file", "file_time").distinct()  # one row per file
+        recs = XA.parse_articles(_chunks_to_records(batch)).join(times, "file")
         rows = (recs.where("has_title and has_abstract")
                 .select("pmid", "version", "title", F.col("abstract").alias("content"), "date",
-                        F.lit(epoch).alias("batch"), F.col("file").alias("file_name"),
+                        F.lit(epoch).alias("batch"), "file_time", F.col("file").alias("file_name"),
                         F.col("rec_pos").cast("int").alias("article_pos"),
                         F.lit(1).cast("long").alias("n_copies")))
         prev = _read_latest_snapshot(spark, state_dir)
