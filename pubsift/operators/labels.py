@@ -62,7 +62,8 @@ def class_rows(matrix: DataFrame, label: str = "meshid", id_col: str = ID) -> Da
 
 
 def naive_bayes_fit(bow: DataFrame, ys: DataFrame, smoothing: float = 1.0,
-                    label: str = "meshid", id_col: str = ID) -> dict:
+                    label: str = "meshid", id_col: str = ID,
+                    materialize_input: bool = True) -> dict:
     """Multinomial naive Bayes, one binary model per label, all labels in one
     pass.  ``bow(id, token, n)`` and ``ys(id, label, y)`` cover the training
     documents.
@@ -73,7 +74,8 @@ def naive_bayes_fit(bow: DataFrame, ys: DataFrame, smoothing: float = 1.0,
     ``tokens(token, n_t)``, ``positive(label, token, n_t1)`` and
     ``classes(label, n_pos, n_neg, tot1, tot0, v)``.
     """
-    bow = materialize(bow)  # read by the token totals and the positive counts
+    if materialize_input:  # read by the token totals and the positive counts
+        bow = materialize(bow)
     tokens = bow.groupBy("token").agg(F.sum("n").alias("n_t"))
     pos_ids = ys.where(F.col("y") == 1).select(id_col, label)
     positive = (bow.join(pos_ids, id_col).groupBy(label, "token")
