@@ -109,7 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, n_features: int = N_FEATURES,
         max_per_class: int = MAX_PER_CLASS) -> Model:
     rows = training_rows(docs, labels)
     text = F.col("text").cast("string").alias("text")
-    counts = slot_counts(docs.select("doc_id", text).join(rows, "doc_id"))
+    # Texts meet their labels in a shuffle join at every size: the labels grow
+    # with the corpus, so a plan that broadcasts a small table would not last.
+    counts = slot_counts(docs.select("doc_id", text).join(rows.hint("merge"), "doc_id"))
     counts = counts.where((F.col("neg") > 0) | (F.col("pos") > 0))
     ws = Workspace(docs.sparkSession, "toxicity")
     counts = ws.put(counts, "counts")
