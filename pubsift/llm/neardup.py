@@ -134,7 +134,9 @@ def components(links: DataFrame, ws: Workspace, tag: str) -> DataFrame:
     def star(pairs: DataFrame, keep) -> DataFrame:
         """Link ``v`` of each ``(u, v)`` to the least of u and u's neighbours; the
         minimum is combined map-side, the join may split a hot ``u``."""
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        # Written, so that both sides of the join are plain exchanges, which
+        # adaptive execution may split.
+        low = ws.put(pairs.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-low")
         m = F.least("u", "m")
         joined = pairs.join(low, "u")
         return (joined.where(keep).select(F.greatest("v", m).alias("u"), F.least("v", m).alias("v"))
@@ -259,7 +261,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, block: int = BLOCK_SHI
               .unionByName(rest.select("node")).distinct())
     reps = nodes.select("node", F.col("rep").alias("doc_id")).join(wanted, "node", "left_semi").select("doc_id").distinct()
     sets = ws.put(data.join(reps, "doc_id", "left_semi").select(full_set("data").alias("p")).select("p.*")
-                  .where(F.length("shingles") > 0).dropDuplicates(["node"]), "sets")
+                  .dropDuplicates(["node"]), "sets").where(F.length("shingles") > 0)
 
     links = (star.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
              .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
@@ -283,7 +285,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, block: int = BLOCK_SHI
 
     rows = prints.join(comp, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
-    least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
+    rows = ws.put(rows, "rows")
+    least = ws.put(rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return (rows.join(least, "root", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"))
