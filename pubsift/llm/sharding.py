@@ -43,10 +43,11 @@ def describe(docs: DataFrame) -> DataFrame:
                        F.unhex(F.sha2(data, 256)).alias("grp"))
 
 
-def positions(rows: DataFrame, by: list[str], buckets: int) -> DataFrame:
+def positions(rows: DataFrame, by: list[str], buckets: int, salt: int) -> DataFrame:
     """Add ``_pos``, 0, 1, ... within ``by``: offsets per hash bucket, and a row
-    number inside a bucket.  Needs a unique ``rid``."""
-    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("rid"), F.lit(buckets)))
+    number inside a bucket.  Needs a unique ``rid``; ``salt`` sets the buckets apart
+    from what else was decided by a hash of it."""
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("rid", F.lit(salt)), F.lit(buckets)))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # One row per bucket: ROWS_PER_BUCKET times fewer than the documents.
     offsets = (dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -144,7 +145,7 @@ def assign_shards(spark: SparkSession, docs: DataFrame, n_shards: int = N_SHARDS
     settled, room = propagate(linked, capacity, ws)
     settled = ws.put(settled, "settled")
     # Whatever is not settled fills the room left, shard after shard.
-    loose = positions(base.select("rid").join(settled, "rid", "left_anti"), [], buckets)
+    loose = positions(base.select("rid").join(settled, "rid", "left_anti"), [], buckets, salt=101)
     shard, edges, total = F.lit(None).cast("int"), [], 0
     for s in sorted(room):
         total += room[s]
@@ -152,6 +153,6 @@ def assign_shards(spark: SparkSession, docs: DataFrame, n_shards: int = N_SHARDS
     for s, end in reversed(edges):
         shard = F.when(F.col("_pos") < end, F.lit(s)).otherwise(shard)
     placed = ws.put(settled.unionByName(loose.select("rid", shard.cast("int").alias("shard"))), "placed")
-    rows = positions(base.select("rid", "doc_id", "size", "text_crc32").join(placed, "rid"), ["shard"], buckets)
+    rows = positions(base.select("rid", "doc_id", "size", "text_crc32").join(placed, "rid"), ["shard"], buckets, salt=102)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
                        F.col("_pos").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
