@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pubsift.llm.common import letter_words
+from pubsift.llm.common import Workspace, letter_words
 
 # Phrases that name a license (all grams on one diagonal).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -86,6 +86,8 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # A set of template positions is bounded by the template.
     diagonals = votes.groupBy("key", "template", "label", "phrase", "grams", "k", "diagonal").agg(
         F.collect_set("t").alias("ts"), F.min("p").alias("first"), F.max("p").alias("last"))
+    # Read twice below; far fewer rows than words.
+    diagonals = Workspace(spark, "licenses").put(diagonals, "diagonals")
     # Phrases need every gram on one diagonal; each diagonal is its own span.
     whole = diagonals.where(F.col("phrase") & (F.size("ts") == F.col("grams"))).select(
         "key", "template", "label", "phrase", F.col("first").alias("first_word"),
