@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pubsift.llm.common import as_bytes, frame
 
 MAX_DOCS_PER_CLASS = 1500
-MAX_LINES = 64
+MAX_LINES = 24
 MIN_CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 L2 = 2e-3
-STEPS = 250
+STEPS = 120
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -247,28 +247,38 @@ def _fit_chain(x: np.ndarray, y: np.ndarray, there: np.ndarray, chained: bool) -
     scale = max(1, there.sum())
     flat = x.reshape(-1, k)
     for it in range(1, STEPS + 1):
-        e = (flat @ emit.astype(np.float32)).reshape(n, length, 2).astype(float)
-        fwd, bwd = np.zeros((n, length, 2)), np.zeros((n, length, 2))
-        fwd[:, 0] = start + e[:, 0]
-        for t in range(1, length):
-            s = fwd[:, t - 1][:, :, None] + step + e[:, t][:, None, :]
-            fwd[:, t] = np.where(both[:, t - 1][:, None], np.logaddexp(s[:, 0], s[:, 1]), fwd[:, t - 1])
-        for t in range(length - 2, -1, -1):
-            s = step + (e[:, t + 1] + bwd[:, t + 1])[:, None, :]
-            bwd[:, t] = np.where(both[:, t][:, None], np.logaddexp(s[..., 0], s[..., 1]), 0.0)
-        z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
-        node = np.exp(fwd + bwd - z[:, None, None]) * there[..., None]
-        pair = np.exp(fwd[:, :-1, :, None] + step + (e[:, 1:] + bwd[:, 1:])[:, :, None, :]
-                      - z[:, None, None, None]) * both[..., None, None]
-        grad = np.concatenate([
-            ((flat.T @ (node - gold).reshape(-1, 2).astype(np.float32)) / scale + L2 * emit).ravel(),
-            (node[:, 0] - gold[:, 0]).sum(axis=0) / scale + L2 * start,
-            ((pair.sum(axis=(0, 1)) - gold_step) / scale + L2 * step).ravel()])
         if not chained:
-            grad[2 * k:] = 0
+            z = flat @ emit.astype(np.float32)
+            p = np.exp(z - np.logaddexp(z[:, :1], z[:, 1:])).reshape(n, length, 2) * there[..., None]
+            grad = np.zeros(2 * k + 6)
+            grad[:2 * k] = (flat.T @ (p - gold).reshape(-1, 2).astype(np.float32) / scale + L2 * emit).ravel()
+        else:
+            grad = _chain_gradient(x, flat, gold, gold_step, there, both, emit, start, step, scale)
         moment, square = 0.9 * moment + 0.1 * grad, 0.999 * square + 0.001 * grad ** 2
         delta = 0.1 * (moment / (1 - 0.9 ** it)) / (np.sqrt(square / (1 - 0.999 ** it)) + 1e-9)
         emit -= delta[:2 * k].reshape(k, 2)
         start -= delta[2 * k:2 * k + 2]
         step -= delta[2 * k + 2:].reshape(2, 2)
     return Chain(emit, start, step)
+
+
+def _chain_gradient(x, flat, gold, gold_step, there, both, emit, start, step, scale) -> np.ndarray:
+    """Expected minus observed feature counts, by forward-backward over the batch."""
+    n, length, _ = x.shape
+    e = (flat @ emit.astype(np.float32)).reshape(n, length, 2).astype(float)
+    fwd, bwd = np.zeros((n, length, 2)), np.zeros((n, length, 2))
+    fwd[:, 0] = start + e[:, 0]
+    for t in range(1, length):
+        s = fwd[:, t - 1][:, :, None] + step + e[:, t][:, None, :]
+        fwd[:, t] = np.where(both[:, t - 1][:, None], np.logaddexp(s[:, 0], s[:, 1]), fwd[:, t - 1])
+    for t in range(length - 2, -1, -1):
+        s = step + (e[:, t + 1] + bwd[:, t + 1])[:, None, :]
+        bwd[:, t] = np.where(both[:, t][:, None], np.logaddexp(s[..., 0], s[..., 1]), 0.0)
+    z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
+    node = np.exp(fwd + bwd - z[:, None, None]) * there[..., None]
+    pair = np.exp(fwd[:, :-1, :, None] + step + (e[:, 1:] + bwd[:, 1:])[:, :, None, :]
+                  - z[:, None, None, None]) * both[..., None, None]
+    return np.concatenate([
+        ((flat.T @ (node - gold).reshape(-1, 2).astype(np.float32)) / scale + L2 * emit).ravel(),
+        (node[:, 0] - gold[:, 0]).sum(axis=0) / scale + L2 * start,
+        ((pair.sum(axis=(0, 1)) - gold_step) / scale + L2 * step).ravel()])
