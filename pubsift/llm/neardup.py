@@ -51,7 +51,7 @@ _WORDS: dict[bytes, int] = {}           # per worker: hashes of words seen latel
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     known, out = _WORDS.get, []
     for w in words:
@@ -203,13 +203,13 @@ def _join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"]).astype(object)
 
 
-def _block_rows(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+def _block_rows(members: DataFrame, sets: DataFrame, block: int, ws: Workspace) -> DataFrame:
     """Rows of the block pairs ``(bucket, kind, i, j)`` that cover every pair of
     members in different components of a bucket.  ``members``: (bucket, node, n, comp)."""
     per_comp = members.groupBy("bucket", "comp").agg(F.sum("n").alias("s"))
-    per_bucket = (per_comp.groupBy("bucket").agg(
+    per_bucket = ws.put(per_comp.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("s", "comp")).alias("major"),
-        F.max("s").alias("major_s"), F.sum("s").alias("all_s")).where("comps > 1"))
+        F.max("s").alias("major_s"), F.sum("s").alias("all_s")).where("comps > 1"), "unsettled")
     up = lambda c: F.ceil(c / block).cast("int")
     rows = members.join(per_bucket, "bucket").withColumn("is_major", F.col("comp") == F.col("major"))
     rows = (rows.withColumn("small", F.col("all_s") <= 2 * block)
@@ -243,8 +243,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, block: int = BLOCK_SHI
     nodes = ws.put(prints.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     buckets = bucket_rows(nodes)
-    centers = (buckets.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last"),
-                                             F.count(F.lit(1)).alias("members")).where("center < last"))
+    # Written before the join (as other aggregates below), so that adaptive
+    # execution may split a hot bucket.
+    centers = ws.put(buckets.groupBy("bucket").agg(
+        F.min("node").alias("center"), F.max("node").alias("last"),
+        F.count(F.lit(1)).alias("members")).where("center < last"), "centers")
     members = ws.put(buckets.join(centers.select("bucket", "center", "members"), "bucket")
                      .where(F.col("node") != F.col("center")), "members")
 
@@ -270,7 +273,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, block: int = BLOCK_SHI
     comp = ws.put(components(links, ws, "first"), "comp")
     placed = rest.join(comp, "node", "left").select(
         "bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
-    more = _block_rows(placed, sets, block).groupBy("bucket", "unit").applyInPandas(
+    more = _block_rows(placed, sets, block, ws).groupBy("bucket", "unit").applyInPandas(
         lambda pdf: _join_blocks(pdf), "u binary, v binary")
     more = ws.put(more, "more")
     if not more.isEmpty():
