@@ -112,6 +112,7 @@ def propagate(linked: DataFrame, capacity: dict[int, int], ws: Workspace) -> tup
                          (F.pmod(F.xxhash64("grp"), F.lit(len(is_open))) + 1).cast("int")))
         labels = (free.groupBy("grp", vote.alias("v")).agg(F.count(F.lit(1)).alias("c"))
                   .groupBy("grp").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("target")))
+        labels = ws.put(labels, f"labels{level}")
         size_class = F.least(F.floor(F.log2(F.col("n_grp"))), F.lit(SIZE_CLASSES - 1))
         cand = (free.join(labels, "grp")
                 .withColumn("gb", (size_class * GROUP_BUCKETS + F.pmod(F.xxhash64("grp"), F.lit(GROUP_BUCKETS))).cast("long"))
@@ -140,7 +141,9 @@ def assign_shards(spark: SparkSession, docs: DataFrame, n_shards: int = N_SHARDS
     n = base.count()
     buckets = max(16, -(-n // rows_per_bucket))
     capacity = {s: n // n_shards + (s < n % n_shards) for s in range(n_shards)}
-    groups = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n_grp")).where("n_grp > 1")
+    # Written, so that both sides of the join are plain exchanges, which adaptive
+    # execution may split at a hot group.
+    groups = ws.put(base.groupBy("grp").agg(F.count(F.lit(1)).alias("n_grp")).where("n_grp > 1"), "groups")
     linked = base.select("rid", "grp").join(groups, "grp").select("rid", "grp", "n_grp")
     settled, room = propagate(linked, capacity, ws)
     settled = ws.put(settled, "settled")
