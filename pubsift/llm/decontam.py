@@ -113,22 +113,28 @@ def scanner(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW,
 
     @F.pandas_udf(RESULT)
     def scan(texts: pd.Series) -> pd.DataFrame:
-        words = [letter_words(bytes(t)) for t in texts]
-        hits: dict[int, list] = defaultdict(list)
+        # The words of one text are held at a time.
+        sizes, hits = np.zeros(len(texts), dtype=np.int64), defaultdict(list)
         for i, block in enumerate(sent):
             auto = _automaton(f"{key}-{i}", block.value)
-            for row, w in enumerate(words):
-                if w:
-                    hits[row] += _matches(auto, b" " + b" ".join(w) + b" ")
+            for row, t in enumerate(texts):
+                w = letter_words(bytes(t))
+                sizes[row] = len(w)
+                if w and (found := _matches(auto, b" " + b" ".join(w) + b" ")):
+                    hits[row] += found
+        if not sent:
+            sizes = np.array([len(letter_words(bytes(t))) for t in texts], dtype=np.int64)
         out = []
-        for row, w in enumerate(words):
-            hit, items = np.zeros(len(w), dtype=bool), set()
-            for first, k, ids in hits.get(row, ()):
+        for row, size in enumerate(sizes.tolist()):
+            if row not in hits:
+                out.append((size, 0, 0, [], []))
+                continue
+            hit, items = np.zeros(size, dtype=bool), set()
+            for first, k, ids in hits[row]:
                 hit[first:first + k] = True
                 items.update(ids)
-            n = int(hit.sum())
-            where = _spans(bytes(texts.iloc[row]), hit) if n and spans else []
-            out.append((len(w), n, len(items), sorted(items),
+            where = _spans(bytes(texts.iloc[row]), hit) if spans else []
+            out.append((size, int(hit.sum()), len(items), sorted(items),
                         [{"start": a, "end": b} for a, b in where]))
         return frame(out, _FIELDS)
 
