@@ -88,19 +88,22 @@ def digest_chunks(chunks: DataFrame) -> DataFrame:
         run, "rec string, page_id long, payload_bytes long, payload_digest string")
 
 
-def plan_records(digests: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
+def plan_records(digests: DataFrame, ws: Workspace, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
     """One row per record: distinct ``rec`` and ``copy`` (0, 1, ... for repeats of a
     row), with ``is_revisit`` and the page of the response it refers to.
 
     The smallest page_id of a digest is the response (ties: the smallest
     ``rec``); the minimum is combined map-side, so a hot payload is no problem.
     """
-    recs = digests.groupBy("rec", "page_id", "payload_bytes", "payload_digest").agg(
-        F.count(F.lit(1)).alias("copies"))
+    # Both are written: the payloads are read for their digests once, and the
+    # join below has plain exchanges, which adaptive execution may split.
+    recs = ws.put(digests.groupBy("rec", "page_id", "payload_bytes", "payload_digest").agg(
+        F.count(F.lit(1)).alias("copies")), "records")
     first = (recs.where(F.col("payload_bytes") >= min_bytes)
              .groupBy(F.col("payload_digest").alias("_d"))
              .agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("page_id"),
                                  F.col("rec").alias("rec"))).alias("_f")))
+    first = ws.put(first, "first")
     revisit = F.col("_f").isNotNull() & ((F.col("_f.rec") != F.col("rec")) | (F.col("copy") > 0))
     return (recs.join(first, (recs.payload_digest == first._d) & (recs.payload_bytes >= min_bytes), "left")
             .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
@@ -260,6 +263,6 @@ def archive_pages(spark: SparkSession, pages: DataFrame,
     """Write every row of ``pages`` as a WARC record; returns (manifest, folder)."""
     ws = Workspace(spark, "warc")
     chunks = chunk_table(pages, chunk_bytes)
-    plan = plan_records(digest_chunks(chunks))
+    plan = plan_records(digest_chunks(chunks), ws)
     folder = ws.path("archives")
     return ws.put(write_archives(chunks, plan, folder), "manifest"), folder
