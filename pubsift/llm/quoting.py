@@ -97,6 +97,8 @@ def link_conversations(spark: SparkSession, messages: DataFrame) -> DataFrame:
     asked = quotes.select("conv_id", "h").distinct()
     first = (known.select("conv_id", "turn", F.explode("said").alias("h")).join(asked, ["conv_id", "h"], "left_semi")
              .groupBy("conv_id", "h").agg(F.min("turn").alias("source")))
+    # Written before the join, so that adaptive execution may split a hot passage.
+    first = ws.put(first, "first")
     links = quotes.join(first, ["conv_id", "h"]).where(F.col("source") < F.col("turn"))
     votes = (links.groupBy("conv_id", "turn", "level", "source")
              .agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")))
@@ -111,6 +113,7 @@ def link_conversations(spark: SparkSession, messages: DataFrame) -> DataFrame:
     # The ordinal needs non-null keys in a total order; the text travels once.
     ordered = global_ordinal(full, ["conv_id", "thread_turn", "turn", "role", "text"], "_at", start=0)
     start = ordered.groupBy("conv_id").agg(F.min("_at").alias("_first")).withColumnRenamed("conv_id", "_conv")
+    start = ws.put(start, "starts")
     return (ordered.join(start, F.col("conv_id").eqNullSafe(F.col("_conv")))
             .withColumn("position", (F.col("_at") - F.col("_first")).cast("long")).drop("_at", "_first", "_conv"))
 
