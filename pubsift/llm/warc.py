@@ -49,17 +49,18 @@ CHUNKS = ("record_id string, chunk_no long, data binary, sha256_so_far string, "
 
 
 def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``(rec, page_id, url, chunk_no, n_chunks, data)``; the chunks of a record
-    leave the scan together and in order."""
+    """``(rec, row, page_id, url, chunk_no, n_chunks, data)``; the chunks of a record
+    leave the scan together and in order.  ``row`` tells repeats of a row apart within
+    one read."""
     payload = as_bytes("html")
     rec = F.concat_ws("-", F.col("page_id").cast("string"), F.xxhash64("url", "html").cast("string"))
     n = F.greatest(F.ceil(F.length("_payload") / chunk_bytes), F.lit(1)).cast("int")
-    return (pages.select(rec.alias("rec"), F.col("page_id").cast("long").alias("page_id"),
+    return (pages.select(rec.alias("rec"), F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"),
                          F.col("url").cast("string").alias("url"), payload.alias("_payload"))
             .withColumn("n_chunks", n)
-            .select("rec", "page_id", "url", "n_chunks", "_payload",
+            .select("rec", "row", "page_id", "url", "n_chunks", "_payload",
                     F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
-            .select("rec", "page_id", "url", "chunk_no", "n_chunks",
+            .select("rec", "row", "page_id", "url", "chunk_no", "n_chunks",
                     F.substring("_payload", F.col("chunk_no") * chunk_bytes + 1,
                                 F.lit(chunk_bytes)).alias("data")))
 
@@ -89,27 +90,23 @@ def digest_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def plan_records(digests: DataFrame, ws: Workspace, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
-    """One row per record: distinct ``rec`` and ``copy`` (0, 1, ... for repeats of a
-    row), with ``is_revisit`` and the page of the response it refers to.
+    """One row per distinct ``rec``: whether it revisits, and the page of the response.
 
     The smallest page_id of a digest is the response (ties: the smallest
     ``rec``); the minimum is combined map-side, so a hot payload is no problem.
     """
     # Both are written: the payloads are read for their digests once, and the
     # join below has plain exchanges, which adaptive execution may split.
-    recs = ws.put(digests.groupBy("rec", "page_id", "payload_bytes", "payload_digest").agg(
-        F.count(F.lit(1)).alias("copies")), "records")
+    recs = ws.put(digests.distinct(), "records")
     first = (recs.where(F.col("payload_bytes") >= min_bytes)
              .groupBy(F.col("payload_digest").alias("_d"))
              .agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("page_id"),
                                  F.col("rec").alias("rec"))).alias("_f")))
     first = ws.put(first, "first")
-    revisit = F.col("_f").isNotNull() & ((F.col("_f.rec") != F.col("rec")) | (F.col("copy") > 0))
+    revisit = F.col("_f").isNotNull() & (F.col("_f.rec") != F.col("rec"))
     return (recs.join(first, (recs.payload_digest == first._d) & (recs.payload_bytes >= min_bytes), "left")
-            .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-            .select("rec", "payload_bytes", "payload_digest", "copy",
-                    revisit.alias("is_revisit"),
-                    F.when(revisit, F.col("_f.page_id")).alias("first_page")))
+            .select("rec", "payload_bytes", "payload_digest", revisit.alias("is_revisit"),
+                    F.col("_f").isNotNull().alias("shared"), F.col("_f.page_id").alias("first_page")))
 
 
 def _header(page, url, kind, refers, size, digest, length, copy) -> bytes:
@@ -136,16 +133,21 @@ def write_archives(chunks: DataFrame, plan: DataFrame, folder: str, level: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         out = gz = None
-        path, n, before = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, None
+        path, n, before, copy = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, (None, None), 0
         for b in batches:
-            for rec, page, url, no, n_chunks, data, size, digest, revisit, refers, copy in zip(
+            for rec, row, page, url, no, n_chunks, data, size, digest, revisit, shared, refers in zip(
                     *(b.column(i).to_pylist() for i in range(b.num_columns))):
-                if (rec, copy, no) == before:      # the same chunk of a repeated row
-                    continue
-                before = (rec, copy, no)
+                if (rec, row) != before:
+                    copy = copy + 1 if rec == before[0] else 0
+                    before = (rec, row)
+                if copy and shared:     # a repeat of a row refers to the first
+                    revisit = True
+                    if no:
+                        continue
+                    n_chunks = 1
                 if out is None:
                     fs.create_dir(base, recursive=True)
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)   # gzip members are our own
                 if no == 0:
                     kind = "revisit" if revisit else "response"
                     gz = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -161,19 +163,20 @@ def write_archives(chunks: DataFrame, plan: DataFrame, folder: str, level: int =
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())],
                                              ["path", "n_records"])
 
+    # Rows of one record meet in one task, in order: records are many and even.
     # A revisit has no payload block: only its first chunk row travels on.
-    planned = (chunks.join(plan, "rec")
+    planned = (chunks.repartition("rec").join(plan, "rec")
                .where(~F.col("is_revisit") | (F.col("chunk_no") == 0))
                .withColumn("n_chunks", F.when(F.col("is_revisit"), F.lit(1)).otherwise(F.col("n_chunks")))
-               .sortWithinPartitions("rec", "copy", "chunk_no"))
-    rows = planned.select("rec", "page_id", "url", "chunk_no", "n_chunks", "data", "payload_bytes",
-                          "payload_digest", "is_revisit", "first_page", "copy")
+               .sortWithinPartitions("rec", "row", "chunk_no"))
+    rows = planned.select("rec", "row", "page_id", "url", "chunk_no", "n_chunks", "data", "payload_bytes",
+                          "payload_digest", "is_revisit", "shared", "first_page")
     return rows.mapInArrow(run, MANIFEST)
 
 
 def _stream(fs, path: str, step: int) -> Iterator[tuple[bytes, bool]]:
     """Decompressed pieces of a file of gzip members; True marks a member's end."""
-    with fs.open_input_stream(path) as src:
+    with fs.open_input_stream(path, compression=None) as src:
         z, raw = zlib.decompressobj(31), src.read(step)
         while raw:
             piece = z.decompress(raw, step)
