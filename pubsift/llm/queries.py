@@ -65,4 +65,56 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_extract, op2_neardup, op3_toxicity, op4_quotes, op5_decontam, op6_licenses,
                                    op7_quality, op8_packing, op9_sharding, op10_warc)}
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TOKENS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_neardup": f"""
+with recursive words as (select doc_id, {_TOKENS} as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) as s from words),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as both
+  from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select x, y from pairs p join sizes a on a.doc_id = p.x join sizes b on b.doc_id = p.y
+  where 100 * both >= 75 * (a.n + b.n - both)),
+reach as (
+  select doc_id as root, doc_id as other from documents
+  union select r.root, l.y from reach r join links l on l.x = r.other),
+least as (select root as doc_id, min(other) as component_id from reach group by 1)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join least using (doc_id) left join sizes using (doc_id)""",
+    "op5_decontam": f"""
+with items as (select item_id, {_LETTERS} as w from benchmark),
+windows as (
+  select distinct item_id, least(13, len(w)) as k,
+    unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), i -> array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) as s
+  from items where len(w) > 0),
+docs as (select doc_id, {_LETTERS} as w from documents),
+places as (
+  select doc_id, k, unnest(range(1, len(w) - k + 2)) as i, w from docs, (select distinct k from windows) where len(w) >= k),
+found as (
+  select p.doc_id, p.i, p.k, x.item_id from places p join windows x
+  on x.k = p.k and x.s = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')),
+hits as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + k)) as j from found) group by 1),
+named as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+  from found group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hits using (doc_id) left join named using (doc_id)""",
+    "op10_warc": """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+  from pages),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, p.payload_digest,
+  case when first <> page_id then 'revisit' else 'response' end as record_type,
+  case when first <> page_id then first end as refers_to
+from p left join f on f.payload_digest = p.payload_digest and payload_bytes >= 100""",
+}
