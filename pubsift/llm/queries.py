@@ -75,7 +75,7 @@ ORACLES: dict[str, str] = {
 with recursive words as (select doc_id, {_TOKENS} as w from documents),
 shingles as (
   select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) as s from words),
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
 sizes as (select doc_id, count(*) as n from shingles group by 1),
 pairs as (
   select a.doc_id as x, b.doc_id as y, count(*) as both
@@ -93,7 +93,7 @@ from documents d join least using (doc_id) left join sizes using (doc_id)""",
 with items as (select item_id, {_LETTERS} as w from benchmark),
 windows as (
   select distinct item_id, least(13, len(w)) as k,
-    unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), i -> array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) as s
+    unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) as s
   from items where len(w) > 0),
 docs as (select doc_id, {_LETTERS} as w from documents),
 places as (
