@@ -78,11 +78,11 @@ shingles as (
     else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
 sizes as (select doc_id, count(*) as n from shingles group by 1),
 pairs as (
-  select a.doc_id as x, b.doc_id as y, count(*) as both
+  select a.doc_id as x, b.doc_id as y, count(*) as shared
   from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
 links as (
   select x, y from pairs p join sizes a on a.doc_id = p.x join sizes b on b.doc_id = p.y
-  where 100 * both >= 75 * (a.n + b.n - both)),
+  where 100 * shared >= 75 * (a.n + b.n - shared)),
 reach as (
   select doc_id as root, doc_id as other from documents
   union select r.root, l.y from reach r join links l on l.x = r.other),
