@@ -136,13 +136,14 @@ def train_test_split(df: DataFrame, fraction: float = 0.25, seed: str = "42",
     'test', the rest 'train' (per ``group`` when given)."""
     keyed = df.withColumn("_h", hash_key(seed, id_col))
     if group is None:
-        keyed = keyed.withColumn("_grp", F.lit(0))
-        group = "_grp"
-    ordered = group_ordinal(keyed, group, ["_h", id_col], "_o")
-    sizes = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    out = ordered.join(sizes, group).withColumn(
+        ordered = global_ordinal(keyed, ["_h", id_col], "_o")
+        counted = with_scalars(ordered, ordered.agg(F.count(F.lit(1)).alias("_n")))
+    else:
+        ordered = group_ordinal(keyed, group, ["_h", id_col], "_o")
+        counted = ordered.join(keyed.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), group)
+    out = counted.withColumn(
         "split", F.when(F.col("_o") <= F.ceil(F.col("_n") * fraction), "test").otherwise("train"))
-    return out.drop("_h", "_o", "_n", "_grp")
+    return out.drop("_h", "_o", "_n")
 
 
 def hash_split(df: DataFrame, fraction: float = 0.25, seed: str = "42",

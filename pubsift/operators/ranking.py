@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubsift.operators.ordinals import replicate, running_sums, with_scalars
+from pubsift.operators.ordinals import global_ordinal, replicate, running_sums, with_scalars
 from pubsift.session import materialize
 
 
@@ -33,10 +33,11 @@ def clean_ranked(ranked: DataFrame, gene: str = "symbol", rank: str = "rank",
                        F.col(f"_f.{pos}").alias("pos"))
 
 
-def attach_rank(assoc: DataFrame, ranked: DataFrame, aggregate=F.avg,
-                gene: str = "symbol", rank: str = "rank") -> DataFrame:
-    """Left join each association to ``aggregate`` over its gene's ranks
-    (the ranked table first loses NULL genes)."""
+def attach_rank(assoc: DataFrame, ranked: DataFrame, aggregate=None,
+                gene: str = "symbol", rank: str = "rank", pos: str = "pos") -> DataFrame:
+    """Left join each association to its gene's first rank in list order, or to
+    ``aggregate`` over its ranks (the ranked table first loses NULL genes)."""
+    aggregate = aggregate or (lambda r: F.min_by(r, pos))
     r = (ranked.where(F.col(gene).isNotNull()).groupBy(F.col(gene).alias("symbol"))
          .agg(aggregate(rank).alias("rank")))
     return assoc.join(r, "symbol", "left")
@@ -84,9 +85,11 @@ def _p_value(sums, observed, ascending: bool):
 
 
 def is_ascending(ranked: DataFrame) -> DataFrame:
-    """One row: true when rank never decreases in list (pos) order."""
-    nxt = ranked.select((F.col("pos") - 1).alias("pos"), F.col("rank").alias("_next"))
-    d = ranked.join(nxt, "pos").select((F.col("_next") - F.col("rank")).alias("_d"))
+    """One row: true when rank never decreases in list (pos) order; positions may
+    have gaps."""
+    n = global_ordinal(ranked.select("pos", "rank"), ["pos", "rank"], "_n")
+    nxt = n.select((F.col("_n") - 1).alias("_n"), F.col("rank").alias("_next"))
+    d = n.join(nxt, "_n").select((F.col("_next") - F.col("rank")).alias("_d"))
     return d.agg(F.coalesce(F.min(F.col("_d") >= 0), F.lit(True)).alias("ascending"))
 
 
@@ -136,7 +139,7 @@ def null_p_values(observed: DataFrame, nulls: DataFrame, ascending: bool = True)
                .withColumn("_N", F.sum(1 - F.col("_kind")).over(total)))
     return (counted.where(F.col("_kind") == 1)
             .select(*[F.col(f"_o.{c}").alias(c) for c in key],
-                    (F.col("_c") / F.col("_N")).alias("p")))
+                    F.when(F.col("_N") > 0, F.col("_c") / F.col("_N")).alias("p")))
 
 
 def stratum_prefix_test(firsts_ranked: DataFrame, nulls: DataFrame, alpha: float = 0.05,

@@ -110,10 +110,18 @@ def tag_documents_by_query(docs: DataFrame, queries: dict[str, dict],
         F.max((F.col("kind") == "any_of").cast("int")).alias("has_any"),
         F.max((F.col("kind") == "none_of").cast("int")).alias("has_none"))
         .join(F.broadcast(need), "query"))
-    return (per.where((F.col("n_all") == F.col("n_all_needed"))
-                      & ((F.col("any_needed") == 0) | (F.col("has_any") == 1))
-                      & (F.col("has_none") == 0))
-            .select("query", id_col))
+    tagged = (per.where((F.col("n_all") == F.col("n_all_needed"))
+                        & ((F.col("any_needed") == 0) | (F.col("has_any") == 1))
+                        & (F.col("has_none") == 0))
+              .select("query", id_col))
+    # A query without positive entries matches every document that none of its
+    # excluded entries hits, whether or not it has a posting.
+    open_ended = [q for q, s in queries.items() if not s.get("all_of") and not s.get("any_of")]
+    if not open_ended:
+        return tagged
+    rest = docs.select(F.explode(F.array(*[F.lit(q) for q in open_ended])).alias("query"), id_col)
+    return (tagged.where(~F.col("query").isin(open_ended))
+            .unionByName(rest.join(per.where("has_none = 1").select("query", id_col), ["query", id_col], "left_anti")))
 
 
 def filter_regex(docs: DataFrame, pattern: str, cols=("title", "content")) -> DataFrame:

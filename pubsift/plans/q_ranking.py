@@ -88,7 +88,7 @@ def _prefix(spark, sf_dir):
 
 @query("attach_rank", oracle="""
 select f.symbol, f.date, f.pmid, r.rank from firsts f
-left join (select symbol, avg(rank) as rank from ranked where symbol is not null group by symbol) r
+left join (select symbol, arg_min(rank, pos) as rank from ranked where symbol is not null group by symbol) r
 on f.symbol = r.symbol""", ctes=SQL_LINKS)
 def q_attach_rank(spark, sf_dir):
     firsts = R.first_mentions(_links(spark, sf_dir))

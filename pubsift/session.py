@@ -57,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # Local runs and tests only: a fresh folder per session.
         configured = tempfile.mkdtemp(prefix="pubsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)

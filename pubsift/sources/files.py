@@ -28,9 +28,9 @@ ARTICLE_DOC = T.StructType([
 def parse_article_json_text(texts: DataFrame, col: str = "value") -> DataFrame:
     """Article documents from dump texts made of appended JSON arrays
     ('[..][..]' seams repaired) whose items are JSON strings themselves."""
-    fixed = F.concat(F.lit("["), F.regexp_replace(F.trim(col), r"\]\s*\[", ","), F.lit("]"))
-    # The outer brackets above wrap the already bracketed text: strip one pair.
-    fixed = F.regexp_replace(F.regexp_replace(fixed, r"^\[\[", "["), r"\]\]$", "]")
+    # A seam stands between the closing and opening quotes of two items; quotes
+    # inside an item are escaped, so brackets of article text never match.
+    fixed = F.regexp_replace(F.trim(col), r'"\s*\]\s*\[\s*"', '","')
     items = texts.select(F.explode(F.from_json(fixed, T.ArrayType(T.StringType()))).alias("_item"))
     return items.select(F.from_json("_item", ARTICLE_DOC).alias("doc")).select("doc.*")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pubsift.streaming.incremental import committed_snapshots
+
 from pubsift.operators.corpus import assign_ids
 
 
@@ -52,14 +54,13 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 def id_registry_update(spark: SparkSession, path: str, downloaded: DataFrame,
                        id_col: str = "pmid") -> DataFrame:
-    """processed := existing UNION downloaded (distinct), written to ``path``
-    as a new snapshot folder; returns the new set."""
-    try:
-        existing = spark.read.parquet(path).select(id_col)
-        new = existing.union(downloaded.select(id_col)).distinct()
-        target = path.rstrip("/") + "_next"
-    except Exception:  # first run: no registry yet
-        new = downloaded.select(id_col).distinct()
-        target = path
-    new.write.mode("overwrite").parquet(target)
+    """processed := existing UNION downloaded (distinct), written as the next
+    numbered snapshot folder under ``path``; returns the new set.  Only a
+    missing or empty registry is a first run; any read error is raised."""
+    done = committed_snapshots(spark, path)
+    new = downloaded.select(id_col)
+    if done:
+        new = spark.read.parquet(f"{path}/{done[-1]}").select(id_col).union(new)
+    target = f"{path}/v{int(done[-1][1:]) + 1 if done else 0:08d}"
+    new.distinct().write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)

@@ -101,24 +101,16 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
-_RANKED: dict = {}
-
-
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked list (symbol, rank, pos): a deterministic experiment over the dictionary.
 
-    Its positions are a distributed ordinal written once under the
-    checkpoint folder; within one application the written list is reused
-    by every query over the same tables (the content is deterministic)."""
+    Its positions are a distributed ordinal, written under the checkpoint
+    folder by each query that asks for it."""
     from pubsift.operators.ordinals import global_ordinal
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _RANKED:
-        syms = dictionary(spark, sf_dir).select("symbol").distinct() \
-            .withColumn("_k", F.md5("symbol"))
-        out = global_ordinal(syms, ["_k", "symbol"], "pos")
-        _RANKED[key] = out.select("symbol", F.col("pos").cast("double").alias("rank"), "pos")
-    return _RANKED[key]
+    syms = dictionary(spark, sf_dir).select("symbol").distinct().withColumn("_k", F.md5("symbol"))
+    out = global_ordinal(syms, ["_k", "symbol"], "pos")
+    return out.select("symbol", F.col("pos").cast("double").alias("rank"), "pos")
 
 
 def embedding_a(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def month_number(m: Column) -> Column:
     names = F.create_map(*[x for i, n in enumerate(MONTHS) for x in (F.lit(n), F.lit(i + 1))])
     full = F.create_map(*[x for i, n in enumerate(MONTH_NAMES) for x in (F.lit(n), F.lit(i + 1))])
     low = F.lower(F.trim(m))
-    return F.coalesce(F.when(low.rlike("^[0-9]+$"), low.cast("int")),
+    return F.coalesce(F.when(low.rlike("^[0-9]+$"), low.try_cast("int")),
                       F.element_at(names, low), F.element_at(full, low))
 
 
@@ -100,8 +100,9 @@ def resolve_publication_date(pub_year, pub_month, pub_day, comp_year, comp_month
     DateRevised; else NULL (or 0001-01-01 with ``dummy``)."""
     py, pm, pd_ = col_of(pub_year), col_of(pub_month), col_of(pub_day)
     month = F.when(pm.isNull(), F.lit(1)).otherwise(month_number(pm))
-    day = F.coalesce(pd_.cast("int"), F.lit(1))
-    pub = F.when(month.isNotNull(), _ymd(py, month, day))
+    # A day that is no number makes the date invalid; it never ends the job.
+    day = F.when(pd_.isNull(), F.lit(1)).otherwise(pd_.try_cast("int"))
+    pub = F.when(month.isNotNull() & day.isNotNull(), _ymd(py, month, day))
     comp = _ymd(col_of(comp_year), col_of(comp_month), col_of(comp_day))
     rev = _ymd(col_of(rev_year), col_of(rev_month), col_of(rev_day))
     out = (F.when(py.isNotNull(), pub).when(col_of(comp_year).isNotNull(), comp)
@@ -178,13 +179,16 @@ def article_locator(records: DataFrame) -> DataFrame:
 
 
 def author_list(xml: Column) -> Column:
-    """'LastName Initials' for personal authors (trimmed), then collective
-    names, as array<string>."""
-    last = F.xpath(xml, F.lit("//AuthorList/Author/LastName/text()"))
-    ini = F.xpath(xml, F.lit("//AuthorList/Author/Initials/text()"))
-    coll = F.xpath(xml, F.lit("//AuthorList/Author/CollectiveName/text()"))
-    return F.concat(F.zip_with(last, ini, lambda l, i: F.trim(F.concat_ws(" ", l, i))),
-                    F.transform(coll, lambda c: F.trim(c)))
+    """'LastName Initials' of personal authors and the names of collective ones
+    (trimmed), author by author in their order, as array<string>."""
+    one = F.regexp_extract_all(xml, F.lit(r"(?s)<Author(?:\s[^>]*)?>.*?</Author>"), F.lit(0))
+
+    def name(a: Column) -> Column:
+        at = lambda tag: F.xpath_string(a, F.lit(f"/Author/{tag}"))
+        person = F.trim(F.concat_ws(" ", F.trim(at("LastName")), F.trim(at("Initials"))))
+        return F.when(F.trim(at("LastName")) != "", person).otherwise(F.trim(at("CollectiveName")))
+
+    return F.filter(F.transform(one, name), lambda n: n != "")
 
 
 def parse_article_doc(records: DataFrame) -> DataFrame:

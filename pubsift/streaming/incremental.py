@@ -57,7 +57,7 @@ def _latest(rows: DataFrame) -> DataFrame:
                       "n_copies")
 
 
-def _committed_snapshots(spark: SparkSession, state_dir: str) -> list[str]:
+def committed_snapshots(spark: SparkSession, state_dir: str) -> list[str]:
     """Names of snapshot folders with a _SUCCESS marker, via the Hadoop
     file system of the path (local, HDFS, object stores alike)."""
     jvm = spark.sparkContext._jvm
@@ -75,8 +75,10 @@ def _committed_snapshots(spark: SparkSession, state_dir: str) -> list[str]:
     return sorted(names)
 
 
-def _read_latest_snapshot(spark: SparkSession, state_dir: str) -> DataFrame | None:
-    done = _committed_snapshots(spark, state_dir)
+def _read_latest_snapshot(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame | None:
+    """The newest snapshot, or the newest of an epoch ``before`` the given one: a
+    repeated epoch must not start from its own earlier result."""
+    done = [v for v in committed_snapshots(spark, state_dir) if before is None or int(v[1:]) < before]
     if not done:
         return None
     return spark.read.parquet(os.path.join(state_dir, done[-1]))
@@ -101,7 +103,7 @@ def incremental_upsert(spark: SparkSession, source_dir: str, state_dir: str, che
                         F.lit(epoch).alias("batch"), "file_time", F.col("file").alias("file_name"),
                         F.col("rec_pos").cast("int").alias("article_pos"),
                         F.lit(1).cast("long").alias("n_copies")))
-        prev = _read_latest_snapshot(spark, state_dir)
+        prev = _read_latest_snapshot(spark, state_dir, before=epoch)
         if prev is not None:
             rows = prev.unionByName(rows)
         _latest(rows).write.mode("overwrite").parquet(os.path.join(state_dir, f"v{epoch:08d}"))
@@ -148,7 +150,7 @@ def annotation_state_stream(spark: SparkSession, source_dir: str, schema, state_
               .parquet(source_dir))
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        prev = _read_latest_snapshot(spark, state_dir)
+        prev = _read_latest_snapshot(spark, state_dir, before=epoch)
         rows = batch if prev is None else prev.unionByName(batch)
         payload = [c for c in rows.columns if c not in key and c not in ("ts", "event_id")]
         last = rows.groupBy(*key).agg(F.max(F.struct("ts", "event_id", *payload)).alias("_l"))
