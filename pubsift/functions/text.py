@@ -14,15 +14,15 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The sentence boundary and token separator patterns.  Both are
+# The sentence boundary and token patterns.  Both are
 # RE2-compatible (no look-behind) so that the DuckDB oracle reads them the
 # same way Java's regex engine does.
 SENTENCE_BOUNDARY = r"[.!?]+\s+"
-TOKEN_SEPARATOR = r"[^a-z0-9-]+"
-# Tokens are the maximal runs between separators; extracting the runs gives
-# the same list as splitting and dropping empty pieces, and is much faster
-# in Spark (the extract pattern is compiled once per task).
-TOKEN_RUN = r"[a-z0-9-]+"
+# A token is a maximal run of letters of any script, their marks, digits and
+# hyphens that holds a letter or a digit.  Runs are extracted rather than
+# split off: the extract pattern is compiled once per task.
+TOKEN_RUN = r"-*[\p{L}\p{N}][\p{L}\p{M}\p{N}-]*"
+WORD_RUN = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*"  # hyphens separate
 NUMBER_TOKEN = r"^[0-9]+$"
 
 
@@ -58,7 +58,7 @@ def raw_tokens(text) -> Column:
 def tokenize(text, stop_words: bool = True, drop_numbers: bool = True,
              split_hyphens: bool = False) -> Column:
     """Tokens in order: lower-cased, numbers and (optionally) stop words removed."""
-    pattern = r"[a-z0-9]+" if split_hyphens else TOKEN_RUN
+    pattern = WORD_RUN if split_hyphens else TOKEN_RUN
     toks = F.regexp_extract_all(F.lower(col_of(text)), F.lit(pattern), 0)
     if drop_numbers:
         # all-digit tokens (same as NUMBER_TOKEN, without a regex per token)
@@ -145,10 +145,3 @@ def pad_sequence(ids, width: int = 500) -> Column:
     n = F.size(ids)
     kept = F.when(n > width, F.slice(ids, n - width + 1, width)).otherwise(ids)
     return F.concat(kept, F.array_repeat(F.lit(0), F.lit(width) - F.size(kept)))
-
-
-def author_names(last, initials, collective) -> Column:
-    """Author strings: 'LastName Initials', or the collective name."""
-    return F.when(col_of(last).isNotNull(),
-                  F.trim(F.concat_ws(" ", col_of(last), col_of(initials)))
-                  ).otherwise(F.trim(col_of(collective)))

@@ -76,15 +76,34 @@ def preceding_matches(df: DataFrame, text: str, label: str, position: str) -> Da
 
 def render_annotations(df: DataFrame, text: str, spans_col: str, name: str = "marked") -> DataFrame:
     """Insert markup around spans: ``spans_col`` is array<struct<start, end,
-    tag>>; spans are applied from the last to the first so earlier offsets stay
-    valid."""
-    ordered = F.reverse(F.array_sort(col_of(spans_col)))
-
-    def wrap(acc, sp):
-        before = F.substr(acc, F.lit(1), sp["start"])
-        inside = F.substr(acc, sp["start"] + 1, sp["end"] - sp["start"])
-        after = F.substr(acc, sp["end"] + 1)
-        return F.concat(before, F.lit("<mark class=\""), sp["tag"], F.lit("\">"), inside,
-                        F.lit("</mark>"), after)
-
-    return df.withColumn(name, F.aggregate(ordered, col_of(text), wrap))
+    tag>>, offsets into the bare text.  Nested and touching spans keep their
+    nesting: at one place inner spans close first, closing comes before opening
+    and outer spans open first.  Of spans with equal ends the tag decides; an
+    empty span is an empty mark.  A null list or element marks nothing."""
+    spans_of = F.filter(F.coalesce(col_of(spans_col), F.array()), lambda s: s["start"].isNotNull() & s["end"].isNotNull())
+
+    def mark(at, kind, rank, tag, markup):
+        return F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"), rank.cast("long").alias("rank"),
+                        tag.alias("tag"), markup.alias("markup"))
+
+    def opening(s):
+        return F.concat(F.lit('<mark class="'), F.coalesce(s["tag"], F.lit("")), F.lit('">'))
+
+    filled = F.filter(spans_of, lambda s: s["start"] < s["end"])
+    empty = F.filter(spans_of, lambda s: s["start"] >= s["end"])
+    numbered = F.array_sort(filled)  # the place in (start, end, tag) order settles spans with equal ends
+    n = F.size(filled)
+    closes = F.transform(numbered, lambda s, i: mark(s["end"], 0, -s["start"] * (n + 1) - i,
+                                                     F.lit(""), F.lit("</mark>")))
+    opens = F.transform(numbered, lambda s, i: mark(s["start"], 1, -s["end"] * (n + 1) + i,
+                                                    F.lit(""), opening(s)))
+    hollow = F.transform(empty, lambda s: mark(s["start"], 2, F.lit(0), F.coalesce(s["tag"], F.lit("")),
+                                               F.concat(opening(s), F.lit("</mark>"))))
+    marks = F.array_sort(F.concat(closes, opens, hollow))
+    # Pieces of text between the marks, each followed by its mark.
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(marks, lambda m: m["at"]))
+    pieces = F.zip_with(starts, marks, lambda a, m: F.concat(
+        F.when(m.isNull(), F.substr(col_of(text), (a + 1).cast("int")))
+        .otherwise(F.substr(col_of(text), (a + 1).cast("int"), (m["at"] - a).cast("int"))),
+        F.coalesce(m["markup"], F.lit(""))))
+    return df.withColumn(name, F.when(col_of(text).isNotNull(), F.array_join(pieces, "")))

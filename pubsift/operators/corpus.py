@@ -28,10 +28,11 @@ def latest_version(versions: DataFrame, id_col: str = ID) -> DataFrame:
     """Newest copy of each article: greater (file_pos, article_pos) wins.
 
     ``version`` is NULL when the article was never updated (one copy), else
-    the version of the winning copy; ``warn`` marks two copies of one version.
+    the version of the winning copy; ``warn`` marks two copies of one version
+    inside one file.
     """
     w = _winner(versions, id_col, ["file_pos", "article_pos"])
-    dup_version = (versions.groupBy(id_col, "version").count()
+    dup_version = (versions.groupBy(id_col, "file_pos", "version").count()
                    .groupBy(id_col).agg(F.max(F.col("count") > 1).alias("warn")))
     return (w.withColumn("version", F.when(F.col("n_copies") > 1, F.col("version")))
             .join(dup_version, id_col))

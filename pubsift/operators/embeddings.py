@@ -241,7 +241,8 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int =
     its block, and a pandas function multiplies the two block matrices with
     numpy and emits only the pairs at or above the threshold.  All pairs are
     scored (inherent to the operator) but never materialised as rows, and no
-    group holds more than two blocks.
+    group holds more than two blocks.  A sample that a gene lacks counts as the
+    gene's mean.
     """
     import numpy as np
     import pandas as pd
@@ -252,8 +253,12 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int =
                                    .alias("_norm"))
     z = (expr.join(stats, gene).where(F.col("_norm") > 0)
          .select(gene, sample, ((F.col(value) - F.col("_mu")) / F.col("_norm")).alias("z")))
-    vec = z.groupBy(gene).agg(F.array_sort(F.collect_list(F.struct(sample, "z"))).alias("_s")) \
-        .select(F.col(gene).alias("gene"), F.transform("_s", lambda e: e["z"]).alias("u"))
+    # One list of all samples, the length of every gene's row.
+    samples = z.agg(F.collect_set(sample).alias("_all"))
+    vec = with_scalars(z.groupBy(gene).agg(F.collect_list(F.struct(F.col(sample).alias("k"), "z")).alias("_s")), samples)
+    absent = F.transform(F.array_except("_all", F.col("_s.k")), lambda k: F.struct(k.alias("k"), F.lit(0.0).alias("z")))
+    vec = vec.select(F.col(gene).alias("gene"),
+                     F.transform(F.array_sort(F.concat("_s", absent)), lambda e: e["z"]).alias("u"))
     vec = materialize(vec)
     n = vec.count()  # one number: sizes the blocks
     blocks = max(1, -(-n // block_rows))
@@ -292,13 +297,21 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int =
 
 # ------------------------------------------------------------------ Spark ML
 def word2vec(sentences: DataFrame, tokens: str = "tokens", size: int = 100,
-             min_count: int = 5, window: int = 5, seed: int = 42, max_iter: int = 1):
+             min_count: int = 5, window: int = 5, seed: int = 42, max_iter: int = 1,
+             num_partitions: int | None = None):
     """Skip-gram word2vec on sentence token arrays (Spark ML); returns the
-    model and its (word, vector array<float>) table."""
+    model and its (word, vector array<float>) table.
+
+    ``num_partitions`` tasks train side by side and their vectors are averaged
+    after each pass (default: the session's shuffle partitions); more tasks
+    need more passes.  The vocabulary's vectors fit the driver: that is Spark
+    ML's model."""
     from pyspark.ml.feature import Word2Vec
 
+    if num_partitions is None:
+        num_partitions = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w2v = Word2Vec(vectorSize=size, minCount=min_count, windowSize=window, seed=seed,
-                   inputCol=tokens, outputCol="_w2v", maxIter=max_iter)
+                   inputCol=tokens, outputCol="_w2v", maxIter=max_iter, numPartitions=num_partitions)
     model = w2v.fit(sentences)
     vecs = model.getVectors().select("word", _vector_to_floats("vector").alias("vector"))
     return model, vecs

@@ -65,8 +65,9 @@ def naive_bayes_fit(bow: DataFrame, ys: DataFrame, smoothing: float = 1.0,
                     label: str = "meshid", id_col: str = ID,
                     materialize_input: bool = True) -> dict:
     """Multinomial naive Bayes, one binary model per label, all labels in one
-    pass.  ``bow(id, token, n)`` and ``ys(id, label, y)`` cover the training
-    documents.
+    pass.  ``bow(id, token, n)`` holds the training documents, and ``ys(id,
+    label, y)`` has every one of them for every label; for labels with
+    documents or features of their own see :func:`naive_bayes_per_label`.
 
     The two classes of a label split the training documents, so class-0
     token counts are totals minus class-1 counts; only (label, token) pairs
@@ -74,6 +75,8 @@ def naive_bayes_fit(bow: DataFrame, ys: DataFrame, smoothing: float = 1.0,
     ``tokens(token, n_t)``, ``positive(label, token, n_t1)`` and
     ``classes(label, n_pos, n_neg, tot1, tot0, v)``.
     """
+    if smoothing <= 0:
+        raise ValueError("smoothing must be positive")
     if materialize_input:  # read by the token totals and the positive counts
         bow = materialize(bow)
     tokens = bow.groupBy("token").agg(F.sum("n").alias("n_t"))
@@ -91,9 +94,11 @@ def naive_bayes_fit(bow: DataFrame, ys: DataFrame, smoothing: float = 1.0,
             "smoothing": smoothing, "label": label}
 
 
-def naive_bayes_predict(model: dict, bow: DataFrame, id_col: str = ID) -> DataFrame:
-    """(id, label, score1, score0, y_pred) for documents with at least one
-    known token; y_pred = 1 when the positive class scores higher.
+def naive_bayes_predict(model: dict, bow: DataFrame, id_col: str = ID,
+                        docs: DataFrame | None = None) -> DataFrame:
+    """(id, label, score1, score0, y_pred); y_pred = 1 when the positive class
+    scores higher.  With ``docs`` every document has a row per label: one
+    without a known token is scored by the priors.
 
     score_c = log prior_c + sum_t n_t log(count_tc + s) - N log(total_c + s V).
     Tokens a label never saw among positives contribute log(s) to class 1 and
@@ -107,6 +112,9 @@ def naive_bayes_predict(model: dict, bow: DataFrame, id_col: str = ID) -> DataFr
     base = known.groupBy(id_col).agg(
         F.sum(F.col("n") * F.log(F.col("n_t") + s)).alias("_base"),
         F.sum("n").alias("_len"))
+    if docs is not None:
+        base = docs.select(id_col).distinct().join(base, id_col, "left").select(
+            id_col, F.coalesce("_base", F.lit(0.0)).alias("_base"), F.coalesce("_len", F.lit(0)).alias("_len"))
     sparse = (known.join(model["positive"], "token")
               .groupBy(id_col, label).agg(
                   F.sum(F.col("n") * (F.log(F.col("n_t1") + s) - ls)).alias("_d1"),
@@ -126,6 +134,44 @@ def naive_bayes_predict(model: dict, bow: DataFrame, id_col: str = ID) -> DataFr
         .otherwise(0))
 
 
+def naive_bayes_per_label(train: DataFrame, ys: DataFrame, features: DataFrame, test: DataFrame,
+                          docs: DataFrame, smoothing: float = 1.0, label: str = "meshid",
+                          id_col: str = ID, digits: int = 9) -> DataFrame:
+    """(id, label, y_pred) of multinomial naive Bayes models that have training
+    documents and features of their own.
+
+    ``ys(id, label, y)`` are a label's training documents, ``features(label,
+    token)`` its features, ``train`` and ``test`` bags of words, ``docs`` the
+    documents to predict.  A document without any feature of a label is scored
+    by the priors; a tie (scores equal to ``digits`` digits) or a label without
+    training documents gives 0.
+    """
+    if smoothing <= 0:
+        raise ValueError("smoothing must be positive")
+    features = materialize(features.select(label, "token"))  # read by three joins
+    counted = materialize(
+        train.join(features, "token").join(ys, [id_col, label]).groupBy(label, "token").agg(
+            F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("_n1"),
+            F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("_n0")))
+    sizes = features.groupBy(label).agg(F.count(F.lit(1)).alias("_v"))
+    totals = counted.groupBy(label).agg(F.sum("_n1").alias("_t1"), F.sum("_n0").alias("_t0"))
+    classes = materialize(
+        ys.groupBy(label).agg(F.count_if(F.col("y") == 1).alias("_d1"), F.count_if(F.col("y") == 0).alias("_d0"))
+        .join(sizes, label, "left").join(totals, label, "left").na.fill(0, ["_v", "_t1", "_t0"]))
+    s = F.lit(float(smoothing))
+    gain = (F.log((F.coalesce("_n1", F.lit(0)) + s) / (F.col("_t1") + s * F.col("_v")))
+            - F.log((F.coalesce("_n0", F.lit(0)) + s) / (F.col("_t0") + s * F.col("_v"))))
+    weights = (features.join(counted, [label, "token"], "left").join(classes, label)
+               .select(label, "token", gain.alias("_g")))
+    seen = (test.join(weights, "token").groupBy(id_col, label)
+            .agg(F.sum(F.col("n") * F.col("_g")).alias("_s")))
+    grid = expand_small(docs.select(id_col).distinct(), classes.select(label, "_d1", "_d0"))
+    diff = F.round(F.log(F.col("_d1") / F.col("_d0")) + F.coalesce("_s", F.lit(0.0)), digits)
+    sure = F.when(F.col("_d0") == 0, F.col("_d1") > 0).otherwise((F.col("_d1") > 0) & (diff > 0))
+    return (grid.join(seen, [id_col, label], "left")
+            .select(id_col, label, F.when(sure, 1).otherwise(0).alias("y_pred")))
+
+
 def classification_metrics(pred: DataFrame, label: str = "meshid",
                            truth: str = "y", guess: str = "y_pred") -> DataFrame:
     """Per label: accuracy, precision, recall, F1 and support (0/0 gives 0)."""
@@ -147,15 +193,27 @@ def classification_metrics(pred: DataFrame, label: str = "meshid",
             .select(label, "accuracy", "precision", "recall", "f1", "support"))
 
 
-def anova_f(bow: DataFrame, ys: DataFrame, label: str = "meshid", id_col: str = ID) -> DataFrame:
+def anova_f(bow: DataFrame, ys: DataFrame, label: str = "meshid", id_col: str = ID,
+            sampled: bool = False) -> DataFrame:
     """(label, token, f): one-way ANOVA F of each feature between the two
     classes of each label, counting documents without the token as zeros.
 
+    ``ys`` has every document of ``bow`` for every label, unless ``sampled``:
+    then a label has documents of its own, both classes are summed from them
+    and only the tokens they hold are scored.
+
     Sparse: class-0 sums are token totals minus class-1 sums, so only the
     positive documents are joined with the bag of words; the (label, token)
     grid is the vocabulary expanded over the label list (a top-k table)."""
     per_label = ys.groupBy(label).agg(F.count_if(F.col("y") == 1).alias("n1"),
                                       F.count_if(F.col("y") == 0).alias("n0"))
+    if sampled:
+        one, n1 = F.col("y") == 1, F.col("n").cast("double")
+        x = (bow.join(ys, id_col).groupBy(label, "token").agg(
+            F.sum(F.when(one, n1).otherwise(0.0)).alias("s1"), F.sum(F.when(one, n1 * n1).otherwise(0.0)).alias("q1"),
+            F.sum(F.when(one, 0.0).otherwise(n1)).alias("s0"), F.sum(F.when(one, 0.0).otherwise(n1 * n1)).alias("q0"))
+            .join(per_label, label))
+        return _f_of_sums(x, label)
     bow = materialize(bow)  # token totals and positive sums read it
     totals = bow.groupBy("token").agg(F.sum("n").cast("double").alias("_S"),
                                       F.sum(F.col("n") * F.col("n")).cast("double").alias("_Q"))
@@ -165,6 +223,10 @@ def anova_f(bow: DataFrame, ys: DataFrame, label: str = "meshid", id_col: str =
     x = (expand_small(totals, per_label).join(pos, [label, "token"], "left")
          .withColumn("s1", F.coalesce("s1", F.lit(0.0))).withColumn("q1", F.coalesce("q1", F.lit(0.0)))
          .withColumn("s0", F.col("_S") - F.col("s1")).withColumn("q0", F.col("_Q") - F.col("q1")))
+    return _f_of_sums(x, label)
+
+
+def _f_of_sums(x: DataFrame, label: str) -> DataFrame:
     n = F.col("n0") + F.col("n1")
     grand = (F.col("s0") + F.col("s1")) / n
     ssb = (F.col("n1") * F.pow(F.col("s1") / F.col("n1") - grand, 2)

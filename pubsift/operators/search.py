@@ -24,14 +24,15 @@ def postings(docs: DataFrame, text: str = "content", id_col: str = ID,
 
 def _query_table(spark, groups: dict[str, list[str]]) -> DataFrame:
     """(entry, kind, n_words, idx, word) for every word of every query entry."""
-    from pubsift.functions.text import TOKEN_SEPARATOR
-    import re
+    import regex
+
+    from pubsift.functions.text import TOKEN_RUN
 
     rows = []
     entry = 0
     for kind, items in groups.items():
         for item in items or []:
-            words = [w for w in re.split(TOKEN_SEPARATOR, item.lower()) if w]
+            words = regex.findall(TOKEN_RUN, item.lower())
             for i, w in enumerate(words):
                 rows.append((entry, kind, len(words), i, w))
             entry += 1

@@ -145,9 +145,10 @@ def normalise_tokens(tokens: DataFrame, lemmas: DataFrame | None) -> DataFrame:
 
 
 def pad_sequences(tokens: DataFrame, vocab: DataFrame, width: int = 500,
-                  id_col: str = ID) -> DataFrame:
+                  id_col: str = ID, docs: DataFrame | None = None) -> DataFrame:
     """(id, seq): vocabulary id + 1 per token in text order, unknown tokens
-    n + 1, the last ``width`` kept, zeros appended up to ``width``."""
+    n + 1, the last ``width`` kept, zeros appended up to ``width``.  With
+    ``docs`` every document has a row: one without tokens is all zeros."""
     n = vocab.agg(F.count(F.lit(1)).alias("_nv"))
     t = with_scalars(tokens.join(vocab.select("token", "id"), "token", "left"), n)
     t = t.withColumn("_v", F.coalesce(F.col("id") + 1, F.col("_nv") + 1).cast("int"))
@@ -155,8 +156,11 @@ def pad_sequences(tokens: DataFrame, vocab: DataFrame, width: int = 500,
         F.array_sort(F.collect_list(F.struct("sent_pos", "tok_pos", "_v"))).alias("_s"))
     from pubsift.functions.text import pad_sequence
 
-    return seqs.select(id_col, pad_sequence(F.transform("_s", lambda x: x["_v"]), width)
-                       .alias("seq"))
+    ids = F.transform("_s", lambda x: x["_v"])
+    if docs is not None:
+        seqs = docs.select(id_col).distinct().join(seqs, id_col, "left")
+        ids = F.coalesce(ids, F.array().cast("array<int>"))
+    return seqs.select(id_col, pad_sequence(ids, width).alias("seq"))
 
 
 def embedding_matrix(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:

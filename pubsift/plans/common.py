@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pubsift.functions.text import TOKEN_RUN
+
 # Fixed query parameters used by the registered queries.
 TOPIC_ALL = ["the"]
 TOPIC_ANY = ["with", "rewh", "of the"]
@@ -34,18 +36,16 @@ sents as (
   from (select pmid, date, string_split_regex(content, '[.!?]+\s+') as ss from articles) a
 )"""
 
-SQL_TOKS = r"""
+SQL_TOKS = rf"""
 toks as (
   select pmid, date, sent_pos, sentence, unnest(t) as token, unnest(range(len(t))) as tok_pos
-  from (select *, list_filter(string_split_regex(lower(sentence), '[^a-z0-9-]+'),
-                              lambda x: x <> '') as t from sents) s
+  from (select *, regexp_extract_all(lower(sentence), '{TOKEN_RUN}') as t from sents) s
 )"""
 
-SQL_POSTINGS = r"""
+SQL_POSTINGS = rf"""
 postings as (
   select pmid, unnest(t) as token, unnest(range(len(t))) as pos
-  from (select pmid, list_filter(string_split_regex(lower(content), '[^a-z0-9-]+'),
-                                 lambda x: x <> '') as t from articles) a
+  from (select pmid, regexp_extract_all(lower(content), '{TOKEN_RUN}') as t from articles) a
 )"""
 
 

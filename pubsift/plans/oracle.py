@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+from pubsift.functions.text import TOKEN_RUN
+
 VIEWS: dict[str, str] = {
     "articles": r"""
 select doc_id as pmid, 1 as version,
@@ -30,8 +32,8 @@ union all select pmid, concat('S_', source) from articles
 union all select doc_id, 'Q_high' from labels where quality = 1
 union all select doc_id, 'Q_toxic' from labels where toxic = 1""",
     "dictionary": r"""
-select distinct upper(w) as symbol, w as alias
-from (select unnest(string_split_regex(lower(text), '[^a-z0-9-]+')) as w from benchmark) t
+select distinct upper(replace(w, 'ß', 'ss')) as symbol, w as alias
+from (select unnest(regexp_extract_all(lower(text), 'TOKEN_RUN')) as w from benchmark) t
 where length(w) >= 7""",
     "ranked": r"""
 select symbol, cast(row_number() over (order by md5(symbol), symbol) as double) as rank,
@@ -52,10 +54,10 @@ select event_id, ts, cast(user_id % 10 as int) as gid, cast(user_id as int) as d
        event_type as tag, value
 from events""",
     "gene_names": r"""
-select hgnc_id, upper(w[1]) as symbol, w[2] as name,
+select hgnc_id, upper(replace(w[1], 'ß', 'ss')) as symbol, w[2] as name,
        case when len(w) > 2 then array_to_string(w[3:], '|') end as alias_symbol
 from (select item_id as hgnc_id, list_filter(w0, lambda x, i: list_position(w0, x) = i) as w
-      from (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9-]+'),
+      from (select item_id, list_filter(regexp_extract_all(lower(text), 'TOKEN_RUN'),
                                         lambda x: length(x) >= 7) as w0 from benchmark) a) b
 where len(w) >= 1""",
 }
@@ -85,7 +87,7 @@ def _needed(body: str) -> list[str]:
 def with_views(body: str, ctes: str = "", recursive: bool = False) -> str:
     """Prefix ``body`` with the adapter views it mentions (and extra CTEs)."""
     kw = "with recursive " if recursive else "with "
-    parts = [f"{n} as ({VIEWS[n]}\n)" for n in _needed(body + ctes)]
+    parts = [f"{n} as ({VIEWS[n].replace('TOKEN_RUN', TOKEN_RUN)}\n)" for n in _needed(body + ctes)]
     if ctes.strip():
         parts.append(ctes.strip().rstrip(","))
     stripped = body.lstrip()

@@ -19,7 +19,7 @@ select pmid, cast(case when n_copies > 1 then version end as bigint) as version,
 from (select *, row_number() over (partition by pmid order by file_pos desc, article_pos desc) as rn,
              count(*) over (partition by pmid) as n_copies,
              max(n_v) over (partition by pmid) > 1 as warn
-      from (select *, count(*) over (partition by pmid, version) as n_v from articles_versions) v) w
+      from (select *, count(*) over (partition by pmid, file_pos, version) as n_v from articles_versions) v) w
 where rn = 1""")
 def q_latest_version(spark, sf_dir):
     return normalize(C.latest_version(T.articles_versions(spark, sf_dir)))

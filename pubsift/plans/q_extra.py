@@ -46,7 +46,7 @@ def q_accession_numbers(spark, sf_dir):
 @query("author_names", oracle="""
 select g.hgnc_id as pmid,
        case when g.hgnc_id % 5 = 0 then 'Group ' || g.symbol
-            else g.symbol || ' ' || upper(substr(coalesce(g.name, g.symbol), 1, 1)) end as authors
+            else g.symbol || ' ' || upper(replace(substr(coalesce(g.name, g.symbol), 1, 1), 'ß', 'ss')) end as authors
 from gene_names g join articles a on a.pmid = g.hgnc_id""")
 def q_author_names(spark, sf_dir):
     g = T.gene_names(spark, sf_dir)

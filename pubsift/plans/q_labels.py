@@ -38,18 +38,18 @@ tc as (select meshid, y, token, sum(n) as n_tc from bow_tr join ys_tr using (pmi
 ct as (select meshid, y, sum(n_tc) as n_tot from tc group by meshid, y),
 model as (
   select nd.meshid, nd.y, v.token,
-         ln((coalesce(tc.n_tc, 0) + 1) / (coalesce(ct.n_tot, 0) + (select count(*) from vocab_tr))) as log_prob,
-         ln(nd.n_c / tot.n) as log_prior
+         ln((coalesce(tc.n_tc, 0) + 1) / (coalesce(ct.n_tot, 0) + (select count(*) from vocab_tr))) as log_prob
   from nd cross join vocab_tr v
   left join tc on tc.meshid = nd.meshid and tc.y = nd.y and tc.token = v.token
   left join ct on ct.meshid = nd.meshid and ct.y = nd.y
-  join tot on tot.meshid = nd.meshid
 ),
 sc as (
-  select b.pmid, m.meshid, m.y, sum(b.n * m.log_prob) + any_value(m.log_prior) as score
-  from bow b join model m using (token)
-  where b.pmid in (select pmid from split where split = 'test')
-  group by b.pmid, m.meshid, m.y
+  select s.pmid, nd.meshid, nd.y, any_value(ln(nd.n_c / tot.n)) + coalesce(sum(x.lp), 0) as score
+  from split s cross join nd join tot on tot.meshid = nd.meshid
+  left join (select b.pmid, m.meshid, m.y, b.n * m.log_prob as lp from bow b join model m using (token)) x
+    on x.pmid = s.pmid and x.meshid = nd.meshid and x.y = nd.y
+  where s.split = 'test'
+  group by s.pmid, nd.meshid, nd.y
 ),
 pred as (
   select pmid, meshid,
@@ -79,7 +79,7 @@ def _nb(spark, sf_dir):
     # bow is already written once; its training slice is a cheap re-scan.
     model = L.naive_bayes_fit(bow.join(tr, "pmid", "left_semi"), ys.join(tr, "pmid", "left_semi"),
                               materialize_input=False)
-    pred = L.naive_bayes_predict(model, bow.join(te, "pmid", "left_semi"))
+    pred = L.naive_bayes_predict(model, bow.join(te, "pmid", "left_semi"), docs=te)
     return pred, ys
 
 

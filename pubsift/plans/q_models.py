@@ -17,82 +17,132 @@ from pubsift.operators import stats as ST
 from pubsift.operators import text as X
 from pubsift.plans.catalog import query
 from pubsift.plans.common import normalize
+from pubsift.plans.q_labels import K_FEATURES, K_LABELS, SQL_LABELS
 from pubsift.plans.q_ranking import SQL_LINKS
 from pubsift.plans.q_text import SQL_STOKS
-from pubsift.session import scratch_path
+from pubsift.session import materialize, scratch_path
 from pubsift.sources import sinks as SK
 from pubsift.sources import tables as T
 
 SEED = "42"
-N_FEATURES = 1 << 12
-K_MODEL_LABELS = 3
+N_FEATURES = 1 << 18
+N_NETWORK_INPUTS = 1 << 12  # every input has a weight per hidden unit
 
 
 def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _label_data(spark, sf_dir, k=K_MODEL_LABELS):
+def _label_data(spark, sf_dir, k=K_LABELS, num_features=N_FEATURES):
     arts = T.articles(spark, sf_dir)
     mesh = T.mesh(spark, sf_dir)
     top = L.top_labels(mesh, k)
     ys = L.class_rows(L.label_matrix(arts, mesh, top))
-    feats = M.hashed_features(X.sentence_token_table(arts), N_FEATURES)
+    feats = M.hashed_features(X.sentence_token_table(arts), num_features, docs=arts)
     split = C.train_test_split(arts.select("pmid"), 0.25, SEED)
     data = ys.join(feats, "pmid").join(split, "pmid")
     labels = [r[0] for r in top.select("meshid").collect()]  # k label ids
     return data, labels
 
 
-def _per_label(spark, sf_dir, factory):
-    data, labels = _label_data(spark, sf_dir)
+def _per_label(spark, sf_dir, factory, num_features=N_FEATURES):
+    data, labels = _label_data(spark, sf_dir, num_features=num_features)
     pred = M.fit_per_label(data, labels, factory)
     return normalize(L.classification_metrics(pred))
 
 
 @query("logistic_labels")
 def q_logistic_labels(spark, sf_dir):
-    return _per_label(spark, sf_dir, M.logistic_factory(max_iter=20))
+    return _per_label(spark, sf_dir, M.logistic_factory())
 
 
 @query("linear_svm_labels")
 def q_linear_svm_labels(spark, sf_dir):
-    return _per_label(spark, sf_dir, M.linear_svm_factory(max_iter=20))
+    return _per_label(spark, sf_dir, M.linear_svm_factory())
 
 
 @query("mlp_labels")
 def q_mlp_labels(spark, sf_dir):
-    return _per_label(spark, sf_dir, M.mlp_factory(N_FEATURES, hidden=16, max_iter=50))
+    return _per_label(spark, sf_dir, M.mlp_factory(N_NETWORK_INPUTS, hidden=16, max_iter=50), N_NETWORK_INPUTS)
 
 
-@query("predict_labels")
+@query("predict_labels", oracle=f"""
+with us as (
+  select pmid, meshid, y from (
+    select t.*, row_number() over (partition by meshid, y order by md5('{SEED}' || cast(pmid as varchar)), pmid) as o,
+           min(c) over (partition by meshid) as keep
+    from ys_tr t join (select meshid, y, count(*) as c from ys_tr group by meshid, y) k using (meshid, y)) t
+  where o <= keep
+),
+sums as (
+  select meshid, token, sum(case when y = 1 then n else 0 end)::double as s1,
+         sum(case when y = 1 then n * n else 0 end)::double as q1,
+         sum(case when y = 0 then n else 0 end)::double as s0,
+         sum(case when y = 0 then n * n else 0 end)::double as q0
+  from bow join us using (pmid) group by meshid, token
+),
+w as (select meshid, sum(y) as n1, sum(1 - y) as n0 from us group by meshid),
+ss as (
+  select x.*, w.n0, w.n1,
+         w.n1 * pow(x.s1 / w.n1 - (x.s0 + x.s1) / (w.n0 + w.n1), 2)
+           + w.n0 * pow(x.s0 / w.n0 - (x.s0 + x.s1) / (w.n0 + w.n1), 2) as ssb,
+         x.q1 - x.s1 * x.s1 / w.n1 + x.q0 - x.s0 * x.s0 / w.n0 as ssw
+  from sums x join w using (meshid)
+),
+best as (
+  select meshid, token, s1, s0 from (
+    select ss.*, row_number() over (partition by meshid
+             order by case when ssw > 0 then ssb / (ssw / (n0 + n1 - 2)) end desc nulls last, token) as r
+    from ss) t where r <= {K_FEATURES}
+),
+cls as (
+  select meshid, n1, n0, sum(s1) as t1, sum(s0) as t0, count(*) as v
+  from w join best using (meshid) group by meshid, n1, n0
+),
+gains as (
+  select meshid, token, ln((s1 + 1) / (t1 + v)) - ln((s0 + 1) / (t0 + v)) as g
+  from best join cls using (meshid)
+),
+guess as (
+  select s.pmid, c.meshid,
+         case when round(ln(c.n1 / c.n0) + coalesce(sum(x.d), 0), 9) > 0 then 1 else 0 end as y_pred
+  from split s cross join cls c
+  left join (select b.pmid, g.meshid, b.n * g.g as d from bow b join gains g using (token)) x
+    on x.pmid = s.pmid and x.meshid = c.meshid
+  where s.split = 'test' group by s.pmid, c.meshid, c.n1, c.n0
+)
+select meshid, round((tp + tn) / n, 6) as accuracy,
+       round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision,
+       round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall,
+       round(case when tp > 0 then 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn)))
+                  else 0 end, 6) as f1,
+       tp + fn as support
+from (select p.meshid, count(*) as n,
+             count(*) filter (where y = 1 and y_pred = 1) as tp,
+             count(*) filter (where y = 0 and y_pred = 1) as fp,
+             count(*) filter (where y = 1 and y_pred = 0) as fn,
+             count(*) filter (where y = 0 and y_pred = 0) as tn
+      from guess p join ys using (pmid, meshid) group by p.meshid) c""", ctes=SQL_LABELS)
 def q_predict_labels(spark, sf_dir):
-    """Per label: undersample -> select k best (ANOVA F) -> naive Bayes ->
-    metrics, over the top labels, as one long prediction table."""
+    """Per label: undersample, select its k best features (ANOVA F), fit naive
+    Bayes on its own documents and features, predict every test document."""
     arts = T.articles(spark, sf_dir)
     mesh = T.mesh(spark, sf_dir)
-    ys = L.class_rows(L.label_matrix(arts, mesh, L.top_labels(mesh, 20)))
-    bow = X.bag_of_words(X.sentence_token_table(arts))
-    split = C.train_test_split(arts.select("pmid"), 0.25, SEED)
+    ys = materialize(L.class_rows(L.label_matrix(arts, mesh, L.top_labels(mesh, K_LABELS))))
+    bow = materialize(X.bag_of_words(X.sentence_token_table(arts)))
+    split = materialize(C.train_test_split(arts.select("pmid"), 0.25, SEED))
     tr = split.where("split = 'train'").select("pmid")
     te = split.where("split = 'test'").select("pmid")
-    ys_tr = L.rebalance_undersample(ys.join(tr, "pmid", "left_semi"), SEED)
-    best = L.select_k_best(L.anova_f(bow.join(tr, "pmid", "left_semi"), ys_tr), 100)
-    # Keep each label's selected features only: join on (label, token).
-    bow_tr = bow.join(ys_tr.select("pmid", "meshid"), "pmid").join(
-        best.select("meshid", "token"), ["meshid", "token"])
-    out = None
-    model = L.naive_bayes_fit(bow_tr.select("pmid", "token", "n"), ys_tr)
-    pred = L.naive_bayes_predict(model, bow.join(te, "pmid", "left_semi"))
-    pred = pred.join(ys, ["pmid", "meshid"])
-    out = L.classification_metrics(pred)
-    return normalize(out)
+    ys_tr = materialize(L.rebalance_undersample(ys.join(tr, "pmid", "left_semi"), SEED))
+    best = L.select_k_best(L.anova_f(bow, ys_tr, sampled=True), K_FEATURES)
+    pred = L.naive_bayes_per_label(bow, ys_tr, best, bow.join(te, "pmid", "left_semi"), te)
+    return normalize(L.classification_metrics(pred.join(ys, ["pmid", "meshid"])))
 
 
 @query("topics")
 def q_topics(spark, sf_dir):
-    toks = X.sentence_token_table(T.articles(spark, sf_dir))
-    _, dist = M.topics(toks, k=10, max_iter=20, num_features=N_FEATURES)
+    arts = T.articles(spark, sf_dir)
+    _, dist = M.topics(X.sentence_token_table(arts), k=10, num_features=1 << 16, docs=arts)
     return normalize(dist)
 
 
@@ -124,7 +174,10 @@ def q_sentence_classifier(spark, sf_dir):
     return normalize(acc)
 
 
-@query("rebalance_oversample")
+@query("rebalance_oversample", oracle="""
+with d as (select l.toxic as label from labels l join embeddings e on e.vec_id = l.doc_id),
+c as (select label, count(*) as n from d group by label)
+select label, (select max(n) from c) as count from c""")
 def q_rebalance_oversample(spark, sf_dir):
     arts = T.articles(spark, sf_dir)
     lab = T.read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pmid"),
@@ -135,8 +188,8 @@ def q_rebalance_oversample(spark, sf_dir):
         F.col("vec_id").alias("pmid"),
         array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     data = lab.join(e, "pmid")
-    out = M.rebalance_oversample(data, "label", k=5)
-    return out.groupBy("label").count()
+    out = M.rebalance_oversample(data, "label", "pmid", k=5)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("random_walk_embedding")

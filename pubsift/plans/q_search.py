@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pubsift.functions.text import raw_tokens, tokenize, english_stop_words
+from pubsift.functions.text import TOKEN_RUN, raw_tokens, tokenize, english_stop_words
 from pubsift.operators import associations as A
 from pubsift.operators import search as S
 from pubsift.plans.catalog import query
@@ -15,8 +15,7 @@ from pubsift.sources import tables as T
 
 
 def _joined_tokens_sql(text_col: str) -> str:
-    return (f"' ' || array_to_string(list_filter(string_split_regex(lower({text_col}), "
-            f"'[^a-z0-9-]+'), lambda x: x <> ''), ' ') || ' '")
+    return f"' ' || array_to_string(regexp_extract_all(lower({text_col}), '{TOKEN_RUN}'), ' ') || ' '"
 
 
 def _match_sql(all_of, any_of, none_of) -> str:
@@ -128,8 +127,8 @@ _STOPS = sql_list(english_stop_words())
 
 @query("tokenize", oracle=rf"""
 select pmid, len(t) as n_tokens, array_to_string(t, ' ') as tokens from (
-  select pmid, list_filter(list_filter(list_filter(
-           string_split_regex(lower(content), '[^a-z0-9-]+'), lambda x: x <> ''),
+  select pmid, list_filter(list_filter(
+           regexp_extract_all(lower(content), '{TOKEN_RUN}'),
            lambda x: not regexp_matches(x, '^[0-9]+$')),
            lambda x: not list_contains({_STOPS}, x)) as t
   from articles) a""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pubsift.functions.text import english_stop_words
+from pubsift.functions.text import TOKEN_RUN, english_stop_words
 from pubsift.operators import corpus as C
 from pubsift.operators import text as X
 from pubsift.plans.catalog import query
@@ -18,8 +18,8 @@ SQL_STOKS = SQL_SENTS + rf""",
 stoks as (
   select pmid, sent_pos, unnest(t) as token, unnest(range(len(t))) as tok_pos
   from (select pmid, sent_pos,
-               list_filter(list_filter(list_filter(
-                 string_split_regex(lower(sentence), '[^a-z0-9-]+'), lambda x: x <> ''),
+               list_filter(list_filter(
+                 regexp_extract_all(lower(sentence), '{TOKEN_RUN}'),
                  lambda x: not regexp_matches(x, '^[0-9]+$')),
                  lambda x: not list_contains({sql_list(english_stop_words())}, x)) as t
         from sents) s
@@ -103,12 +103,15 @@ def q_merge_phrases(spark, sf_dir):
 @query("pad_sequence", oracle="""
 select pmid, array_to_string(case when len(v) > 500 then v[len(v) - 499:] else v end
                              || list_resize([0], 500 - least(len(v), 500), 0), ',') as seq
-from (select s.pmid, list(coalesce(vc.id + 1, (select count(*) from vocab) + 1)
-                          order by s.sent_pos, s.tok_pos) as v
-      from stoks s left join vocab vc on vc.token = s.token group by s.pmid) x""", ctes=SQL_STOKS)
+from (select a.pmid, coalesce(any_value(y.v), []) as v from articles a left join (
+        select s.pmid, list(coalesce(vc.id + 1, (select count(*) from vocab) + 1)
+                            order by s.sent_pos, s.tok_pos) as v
+        from stoks s left join vocab vc on vc.token = s.token group by s.pmid) y using (pmid)
+      group by a.pmid) x""", ctes=SQL_STOKS)
 def q_pad_sequence(spark, sf_dir):
-    toks = _tokens(spark, sf_dir)
-    seqs = X.pad_sequences(toks, X.vocabulary(toks), 500)
+    arts = T.articles(spark, sf_dir)
+    toks = X.sentence_token_table(arts)
+    seqs = X.pad_sequences(toks, X.vocabulary(toks), 500, docs=arts)
     return seqs.select("pmid", F.array_join("seq", ",").alias("seq"))
 
 

@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubsift.functions.text import TOKEN_RUN, TOKEN_SEPARATOR
+from pubsift.functions.text import TOKEN_RUN
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -95,7 +95,7 @@ def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term dictionary (symbol, alias): long words of the benchmark passages."""
     b = read_table(spark, sf_dir, "benchmark")
-    w = b.select(F.explode(F.split(F.lower("text"), TOKEN_SEPARATOR)).alias("w"))
+    w = b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_RUN), 0)).alias("w"))
     return (w.where(F.length("w") >= MIN_TERM_LENGTH)
             .select(F.upper("w").alias("symbol"), F.col("w").alias("alias"))
             .distinct())

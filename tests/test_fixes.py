@@ -5,7 +5,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pubsift.operators import ranking, search
+from pubsift.functions.text import raw_tokens
+from pubsift.operators import annotations, corpus, embeddings, labels, models, ranking, search
 from pubsift.session import scratch_path
 from pubsift.sources import files, sinks, xml_articles
 from pubsift.streaming import incremental
@@ -66,3 +67,72 @@ def test_a_repeated_epoch_ignores_its_own_snapshot(spark):
         spark.createDataFrame([(epoch,)], "e int").write.parquet(os.path.join(state, f"v{epoch:08d}"))
     read = lambda **k: incremental._read_latest_snapshot(spark, state, **k)
     assert read().first()[0] == 2 and read(before=2).first()[0] == 1 and read(before=0) is None
+
+
+def test_tokens_of_other_scripts(spark):
+    row = spark.createDataFrame([("Über die Größe -- señor 1990-2000 – éte - x-ray", ""), (None, "")], "t string, u string")
+    got = [r[0] for r in row.select(raw_tokens("t")).collect()]
+    assert got == [["über", "die", "größe", "señor", "1990-2000", "éte", "x-ray"], None]
+
+
+def test_nested_markup(spark):
+    schema = "t string, s array<struct<start: int, end: int, tag: string>>"
+    rows = [("alpha mark", [(0, 10, "o"), (9, 10, "i")]), ("ab", [(0, 1, "x"), (1, 2, "y"), (1, 1, "e")]),
+            ("ab", [(0, 2, "x"), (0, 2, "y")]), ("ab", None), (None, [(0, 1, "x")]), ("", [])]
+    got = [r["marked"] for r in annotations.render_annotations(spark.createDataFrame(rows, schema), "t", "s").collect()]
+    assert got == ['<mark class="o">alpha mar<mark class="i">k</mark></mark>',
+                   '<mark class="x">a</mark><mark class="y"><mark class="e"></mark>b</mark>',
+                   '<mark class="x"><mark class="y">ab</mark></mark>', "ab", None, ""]
+
+
+def test_oversampled_points_lie_between_neighbours(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, 0, Vectors.dense([float(i), 5.0])) for i in range(60)] + \
+           [(100 + i, 1, Vectors.dense([float(i), 2.0 * i])) for i in range(4)] + [(200, 2, Vectors.dense([7.0, 7.0]))]
+    data = spark.createDataFrame(rows, ["pmid", "label", "features"])
+    out = models.rebalance_oversample(data, "label", "pmid", k=2).collect()
+    by = {c: [tuple(r["features"]) for r in out if r["label"] == c] for c in (0, 1, 2)}
+    assert [len(v) for v in by.values()] == [60, 60, 60]
+    assert all(abs(y - 2 * x) < 1e-9 and 0 <= x <= 3 for x, y in by[1])  # the class lies on a line
+    assert len(set(by[1])) > 40 and set(by[2]) == {(7.0, 7.0)}
+
+
+def test_a_gene_without_a_sample(spark):
+    rows = [("a", s, float(v)) for s, v in enumerate([1, 2, 3, 4])] + [("b", s, float(v)) for s, v in enumerate([2, 4, 6, 8])] \
+        + [("c", s, float(v)) for s, v in enumerate([4, 1, 5])]
+    got = embeddings.correlation_edges(spark.createDataFrame(rows, "gene string, sample int, value double"), 0.9).collect()
+    assert [(g["gene_a"], g["gene_b"]) for g in got] == [("a", "b")]
+
+
+def test_models_with_documents_and_features_of_their_own(spark):
+    bow = spark.createDataFrame([(1, "x", 3), (1, "z", 9), (2, "y", 2), (3, "x", 1), (3, "y", 7), (9, "x", 50)], "pmid long, token string, n long")
+    ys = spark.createDataFrame([(1, "A", 1), (2, "A", 0), (3, "B", 1), (1, "B", 0)], "pmid long, meshid string, y int")
+    feats = spark.createDataFrame([("A", "x"), ("A", "y"), ("B", "y"), ("B", "z")], "meshid string, token string")
+    test = spark.createDataFrame([(7, "x", 1), (8, "y", 1), (8, "z", 1)], "pmid long, token string, n long")
+    docs = spark.createDataFrame([(7,), (8,), (6,)], "pmid long")
+    got = {(r["pmid"], r["meshid"]): r["y_pred"]
+           for r in labels.naive_bayes_per_label(bow, ys, feats, test, docs).collect()}
+    # A: x 4/5 against 1/4, y 1/5 against 3/4.  B: y 8/9 against 1/11 and z 1/9 against 10/11, together 1.2 to 1.
+    assert got == {(7, "A"): 1, (8, "A"): 0, (6, "A"): 0, (7, "B"): 0, (8, "B"): 1, (6, "B"): 0}
+
+
+def test_f_scores_ignore_documents_outside_the_sample(spark):
+    ys = spark.createDataFrame([(1, "A", 1), (2, "A", 1), (3, "A", 0), (4, "A", 0)], "pmid long, meshid string, y int")
+    rows = [(1, "x", 3), (2, "x", 2), (3, "x", 1)]
+    make = lambda r: spark.createDataFrame(r, "pmid long, token string, n long")
+    one = labels.anova_f(make(rows), ys, sampled=True).collect()
+    two = labels.anova_f(make(rows + [(9, "x", 100), (8, "w", 1)]), ys, sampled=True).collect()
+    assert one == two and abs(one[0]["f"] - 8.0) < 1e-9
+
+
+def test_warning_needs_one_version_twice_in_one_file(spark):
+    rows = [(1, 1, 0, 0), (1, 1, 1, 0), (2, 1, 0, 0), (2, 1, 0, 1)]
+    got = corpus.latest_version(spark.createDataFrame(rows, "pmid long, version int, file_pos int, article_pos int")).collect()
+    assert {g["pmid"]: g["warn"] for g in got} == {1: False, 2: True}
+
+
+def test_word2vec_trains_in_several_tasks(spark):
+    sents = spark.createDataFrame([(["a", "b", "c"],)] * 40 + [(["x", "y", "z"],)] * 40, "tokens array<string>")
+    model, vecs = embeddings.word2vec(sents, size=8, min_count=1, max_iter=2)
+    assert model.getNumPartitions() > 1 and {r["word"] for r in vecs.collect()} == set("abcxyz")
