@@ -53,12 +53,12 @@ def _per_label(spark, sf_dir, factory, num_features=N_FEATURES):
 
 @query("logistic_labels")
 def q_logistic_labels(spark, sf_dir):
-    return _per_label(spark, sf_dir, M.logistic_factory())
+    return _per_label(spark, sf_dir, M.logistic_factory(max_iter=20))
 
 
 @query("linear_svm_labels")
 def q_linear_svm_labels(spark, sf_dir):
-    return _per_label(spark, sf_dir, M.linear_svm_factory())
+    return _per_label(spark, sf_dir, M.linear_svm_factory(max_iter=20))
 
 
 @query("mlp_labels")
@@ -142,7 +142,7 @@ def q_predict_labels(spark, sf_dir):
 @query("topics")
 def q_topics(spark, sf_dir):
     arts = T.articles(spark, sf_dir)
-    _, dist = M.topics(X.sentence_token_table(arts), k=10, num_features=1 << 16, docs=arts)
+    _, dist = M.topics(X.sentence_token_table(arts), k=10, max_iter=20, num_features=1 << 16, docs=arts)
     return normalize(dist)
 
 
