@@ -25,7 +25,7 @@ from pubsift.sources import sinks as SK
 from pubsift.sources import tables as T
 
 SEED = "42"
-N_FEATURES = 1 << 18
+N_FEATURES = 1 << 16
 N_NETWORK_INPUTS = 1 << 12  # every input has a weight per hidden unit
 
 
