@@ -40,15 +40,13 @@ def _label_data(spark, sf_dir, k=K_LABELS, num_features=N_FEATURES):
     ys = L.class_rows(L.label_matrix(arts, mesh, top))
     feats = M.hashed_features(X.sentence_token_table(arts), num_features, docs=arts)
     split = C.train_test_split(arts.select("pmid"), 0.25, SEED)
-    data = ys.join(feats, "pmid").join(split, "pmid")
     labels = [r[0] for r in top.select("meshid").collect()]  # k label ids
-    return data, labels
+    return feats, ys, split, labels
 
 
 def _per_label(spark, sf_dir, factory, num_features=N_FEATURES):
-    data, labels = _label_data(spark, sf_dir, num_features=num_features)
-    pred = M.fit_per_label(data, labels, factory)
-    return normalize(L.classification_metrics(pred))
+    return normalize(L.classification_metrics(
+        M.fit_per_label(*_label_data(spark, sf_dir, num_features=num_features), factory)))
 
 
 @query("logistic_labels")
@@ -150,9 +148,9 @@ def q_topics(spark, sf_dir):
 def q_grid_search(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
 
-    data, labels = _label_data(spark, sf_dir, 1)
-    train = data.where(f"meshid = '{labels[0]}' and split = 'train'").select(
-        "features", F.col("y").cast("double").alias("label"))
+    feats, ys, split, _ = _label_data(spark, sf_dir, 1)
+    train = materialize(feats.join(ys, "pmid").join(split.where("split = 'train'"), "pmid").select(
+        "features", F.col("y").cast("double").alias("label")))
     _, results = M.grid_search(train, LogisticRegression(maxIter=50),
                                {"regParam": [1e-4, 1e-2, 1.0]}, folds=4, parallelism=3)
     return normalize(results)

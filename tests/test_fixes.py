@@ -136,3 +136,24 @@ def test_word2vec_trains_in_several_tasks(spark):
     sents = spark.createDataFrame([(["a", "b", "c"],)] * 40 + [(["x", "y", "z"],)] * 40, "tokens array<string>")
     model, vecs = embeddings.word2vec(sents, size=8, min_count=1, max_iter=2)
     assert model.getNumPartitions() > 1 and {r["word"] for r in vecs.collect()} == set("abcxyz")
+
+
+def test_fit_per_label_separates_and_keeps_one_class_labels(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    feats = spark.range(40).select(F.col("id").alias("pmid"), array_to_vector(
+        F.array((F.col("id") % 2).cast("double"), F.lit(1.0))).alias("features"))
+    odd = feats.select("pmid", F.lit("odd").alias("meshid"), (F.col("pmid") % 2).cast("int").alias("y"))
+    always = feats.select("pmid", F.lit("always").alias("meshid"), F.lit(1).alias("y"))
+    part = odd.where("pmid < 35").withColumn("meshid", F.lit("part"))
+    split = feats.select("pmid", F.when(F.col("pmid") < 30, "train").otherwise("test").alias("split"))
+    labels = ["odd", "always", "part", "absent"]
+    for factory in (models.logistic_factory(max_iter=10), models.linear_svm_factory(max_iter=10),
+                    models.mlp_factory(2, hidden=4, max_iter=30), models.naive_bayes_factory()):
+        out = models.fit_per_label(feats, odd.union(always).union(part), split, labels, factory).collect()
+        assert {(r.pmid, r.meshid) for r in out} == (
+            {(i, m) for i in range(30, 40) for m in ("odd", "always")} | {(i, "part") for i in range(30, 35)})
+        assert all(r.y_pred == 1 for r in out if r.meshid == "always")
+    for factory in (models.logistic_factory(max_iter=10), models.linear_svm_factory(max_iter=10)):
+        out = models.fit_per_label(feats, odd, split, ["odd"], factory).collect()
+        assert all(r.y_pred == r.y for r in out)
