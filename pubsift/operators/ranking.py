@@ -205,6 +205,54 @@ def enrichment_frontier(prefix: DataFrame, ranked: DataFrame, nulls: DataFrame,
             .select("stratum_date", "known_gene", "frontier_gene"))
 
 
+def stratum_leading_edges(firsts_ranked: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Per stratum date, the gene at the (first) highest enrichment score of the
+    symbols seen by then: (stratum_date, edge_gene).
+
+    The score rises only at members of the set, so only they are looked at: the
+    c-th member, at place p of N, has c / n - (p - c) / (N - n), compared as the
+    integer c * (N - n) - (p - c) * n.  With every gene in the set it is the last.
+    """
+    places = global_ordinal(ranked.select("symbol", "pos"), ["pos", "symbol"], "_p")
+    members = stratum_ranks(firsts_ranked).select("stratum_date", "symbol").join(
+        places.select("symbol", "_p"), "symbol")
+    down = Window.partitionBy("stratum_date").orderBy("_p")
+    scored = with_scalars(
+        members.withColumn("_c", F.row_number().over(down))
+        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("stratum_date"))),
+        places.agg(F.max("_p").alias("_all")))
+    others = F.col("_all") - F.col("_n")
+    score = F.when(others == 0, F.col("_c")).otherwise(
+        F.col("_c") * others - (F.col("_p") - F.col("_c")) * F.col("_n"))
+    return scored.groupBy("stratum_date").agg(
+        F.max(F.struct(score.alias("_s"), (-F.col("_p")).alias("_m"), "symbol")).alias("_b")).select(
+        "stratum_date", F.col("_b.symbol").alias("edge_gene"))
+
+
+def enrichment_by_date(firsts_ranked: DataFrame, ranked: DataFrame, nulls: DataFrame, alpha: float = 0.05,
+                       ascending: bool | None = None, use_leading_edge: bool = True) -> DataFrame:
+    """(stratum_date, known_gene, frontier_gene) for every date of a first
+    mention; both genes are null where no prefix is significant.
+
+    The frontier is the leading edge of the genes known by then or, without
+    ``use_leading_edge``, the last unknown gene that keeps the prefix
+    significant (:func:`enrichment_frontier`).  ``ranked`` loses NULL and
+    repeated genes first; unless given, the direction is the list's own."""
+    ranked = materialize(clean_ranked(ranked))
+    firsts_ranked = materialize(firsts_ranked)
+    if ascending is None:
+        ascending = is_ascending(ranked).first()[0]  # one row
+    prefix = stratum_prefix_test(firsts_ranked, nulls, alpha, ascending)
+    dates = firsts_ranked.select(F.col("date").alias("stratum_date")).distinct()
+    if use_leading_edge:
+        found = prefix.select("stratum_date", "known_gene").join(
+            stratum_leading_edges(firsts_ranked, ranked), "stratum_date").withColumnRenamed(
+            "edge_gene", "frontier_gene")
+    else:
+        found = enrichment_frontier(prefix, ranked, nulls, alpha, ascending)
+    return dates.join(found, "stratum_date", "left")
+
+
 def enrichment_score(ranked: DataFrame, geneset: DataFrame) -> DataFrame:
     """(symbol, pos, in_set, es): running in-set fraction minus running
     out-of-set fraction down the list (by pos).  Ends at 0."""

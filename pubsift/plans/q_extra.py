@@ -243,7 +243,8 @@ def q_collection_api(spark, sf_dir):
     return c.process(lambda df: df.select("pmid", "date")).df
 
 
-@query("map_articles")
+@query("map_articles", oracle=r"""
+select pmid, len(regexp_extract_all(title, '\S+')) as title_words from articles""")
 def q_map_articles(spark, sf_dir):
     """A user callback in Python over article batches (mapInPandas)."""
     def words(pdf):

@@ -203,7 +203,19 @@ def q_random_walk_embedding(spark, sf_dir):
     return vecs.select("word", F.size("vector").alias("dims"))
 
 
-@query("corpus_workflow")
+@query("corpus_workflow", oracle="""
+with ct as (select a.source as corpus, s.pmid, s.token, count(*) as n
+            from stoks s join articles a using (pmid) group by 1, 2, 3),
+nd as (select corpus, count(distinct pmid) as n_docs from ct group by 1),
+df as (select corpus, token, count(*) as df from ct group by 1, 2),
+ft as (select ct.corpus, count(distinct ct.token) as n_features,
+              sum(ct.n * (ln((1 + nd.n_docs) / (1 + df.df)) + 1)) as total_weight
+       from ct join df on df.corpus = ct.corpus and df.token = ct.token join nd on nd.corpus = ct.corpus group by 1),
+tl as (select corpus, arg_max(meshid, (n, meshid)) as top_label
+       from (select a.source as corpus, m.meshid, count(*) as n from mesh m join articles a using (pmid) group by 1, 2) c
+       group by 1)
+select corpus, n_docs, n_features, round(total_weight, 6) as total_weight, top_label
+from nd join ft using (corpus) join tl using (corpus)""", ctes=SQL_STOKS)
 def q_corpus_workflow(spark, sf_dir):
     """Per corpus (source): tf-idf with the corpus's own document
     frequencies, top labels inside the corpus, label matrix size."""

@@ -138,12 +138,32 @@ with cand as (
   group by pr.stratum_date, c.pos
 ),
 ff as (select stratum_date, min(pos) as ff from cand where pc > {ALPHA} group by stratum_date)
-select pr.stratum_date, pr.known_gene, r.symbol as frontier_gene
-from prefix_result pr left join ff on ff.stratum_date = pr.stratum_date
-join ranked r on r.pos = coalesce(ff.ff - 1, (select max(pos) from ranked))""", ctes=SQL_LINKS)
+select d.stratum_date, pr.known_gene, r.symbol as frontier_gene
+from (select distinct date as stratum_date from fr) d left join prefix_result pr on pr.stratum_date = d.stratum_date
+left join ff on ff.stratum_date = pr.stratum_date
+left join ranked r on pr.known_gene is not null and r.pos = coalesce(ff.ff - 1, (select max(pos) from ranked))""",
+       ctes=SQL_LINKS)
 def q_enrichment_frontier(spark, sf_dir):
-    ranked = T.ranked(spark, sf_dir)
-    return R.enrichment_frontier(_prefix(spark, sf_dir), ranked, _nulls(spark, sf_dir), ALPHA)
+    return R.enrichment_by_date(_firsts_ranked(spark, sf_dir), T.ranked(spark, sf_dir), _nulls(spark, sf_dir), ALPHA,
+                                use_leading_edge=False)
+
+
+@query("enrichment_leading_edge", oracle="""
+with es as (
+  select s.stratum_date, r.symbol, r.pos,
+         count(*) over (partition by s.stratum_date order by r.pos) as c,
+         count(*) over (partition by s.stratum_date) as n, (select count(*) from ranked) as total
+  from strata s join ranked r on r.symbol = s.symbol
+),
+edge as (
+  select stratum_date, arg_max(symbol, (case when total = n then c else c * (total - n) - (pos - c) * n end, -pos)) as gene
+  from es group by stratum_date
+)
+select d.stratum_date, pr.known_gene, case when pr.known_gene is not null then e.gene end as frontier_gene
+from (select distinct date as stratum_date from fr) d join edge e on e.stratum_date = d.stratum_date
+left join prefix_result pr on pr.stratum_date = d.stratum_date""", ctes=SQL_LINKS)
+def q_enrichment_leading_edge(spark, sf_dir):
+    return R.enrichment_by_date(_firsts_ranked(spark, sf_dir), T.ranked(spark, sf_dir), _nulls(spark, sf_dir), ALPHA)
 
 
 @query("enrichment_score", oracle="""

@@ -157,3 +157,23 @@ def test_fit_per_label_separates_and_keeps_one_class_labels(spark):
     for factory in (models.logistic_factory(max_iter=10), models.linear_svm_factory(max_iter=10)):
         out = models.fit_per_label(feats, odd, split, ["odd"], factory).collect()
         assert all(r.y_pred == r.y for r in out)
+
+
+def test_enrichment_by_date_modes(spark):
+    """Duplicate and NULL genes, a descending list, a date without a prefix."""
+    genes = ["a", "b", None, "c", "a", "d", "e", "f", "g", "h"]
+    for sign in (1.0, -1.0):
+        ranked = spark.createDataFrame([(g, sign * (i + 1), i + 1) for i, g in enumerate(genes)],
+                                       "symbol string, rank double, pos long")
+        clean = ranking.clean_ranked(ranked)
+        firsts = spark.createDataFrame([("h", "2000-01-01"), ("a", "2001-01-01"), ("c", "2002-01-01")],
+                                       "symbol string, date string").join(clean.select("symbol", "rank"), "symbol")
+        nulls = ranking.null_rank_sums(clean, 200)
+        edge = {r.stratum_date: (r.known_gene, r.frontier_gene)
+                for r in ranking.enrichment_by_date(firsts, ranked, nulls, 0.2).collect()}
+        assert edge["2000-01-01"] == (None, None)
+        assert edge["2001-01-01"] == ("a", "a")
+        # a, then c after b: scores 1/3, 1/3 - 1/5, 2/3 - 1/5 (highest), ...
+        assert edge["2002-01-01"][1] == "c"
+        classic = ranking.enrichment_by_date(firsts, ranked, nulls, 0.2, use_leading_edge=False)
+        assert {r.stratum_date for r in classic.collect()} == set(edge)
