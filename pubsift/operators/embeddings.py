@@ -128,15 +128,17 @@ def idcf(postings: DataFrame, clusters: DataFrame, id_col: str = "pmid") -> Data
 
 
 def cluster_profile(postings: DataFrame, clusters: DataFrame, weights: DataFrame | None,
-                    labels: DataFrame, id_col: str = "pmid",
-                    normalise: bool = False) -> DataFrame:
+                    labels: DataFrame, id_col: str = "pmid", normalise: bool = False,
+                    docs: DataFrame | None = None) -> DataFrame:
     """(id, label, value) for every document and every cluster label: token
     count per cluster times idcf (``weights``), or the counts normalised to
     sum 1 (``normalise``); zeros for clusters a document does not touch.
-    ``labels`` is the cluster list (k rows), expanded onto each document."""
-    j = postings.select(id_col, F.col("token").alias("word")).join(clusters, "word")
-    counts = j.groupBy(id_col, "label").agg(F.count(F.lit(1)).alias("n"))
-    grid = expand_small(postings.select(id_col).distinct(), labels.select("label"))
+    ``labels`` is the cluster list (k rows), expanded onto each document; with
+    ``docs`` a document without tokens has zeros.  Words are counted per
+    document before they meet their clusters, so a frequent word is one row."""
+    words = postings.groupBy(id_col, F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("_k"))
+    counts = words.join(clusters, "word").groupBy(id_col, "label").agg(F.sum("_k").alias("n"))
+    grid = expand_small((postings if docs is None else docs).select(id_col).distinct(), labels.select("label"))
     g = grid.join(counts, [id_col, "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     if normalise:
         tot = counts.groupBy(id_col).agg(F.sum("n").alias("_t"))

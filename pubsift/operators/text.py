@@ -20,10 +20,12 @@ ID = "pmid"
 PHRASE_DELIMITER = "·"
 
 
-def sentence_token_table(docs: DataFrame, text: str = "content", id_col: str = ID,
+def sentence_token_table(docs: DataFrame, text: str | tuple = ("title", "content"), id_col: str = ID,
                          stop_words: bool = True) -> DataFrame:
-    """(id, sent_pos, tok_pos, token): preprocessed tokens of every sentence."""
-    s = docs.select(id_col, F.posexplode(split_sentences(text)).alias("sent_pos", "sentence"))
+    """(id, sent_pos, tok_pos, token): preprocessed tokens of every sentence of
+    the title followed by the content (a column name: of that column only)."""
+    whole = F.concat_ws(" ", *((text,) if isinstance(text, str) else text))
+    s = docs.select(id_col, F.posexplode(split_sentences(whole)).alias("sent_pos", "sentence"))
     return s.select(id_col, "sent_pos",
                     F.posexplode(tokenize("sentence", stop_words=stop_words))
                     .alias("tok_pos", "token"))

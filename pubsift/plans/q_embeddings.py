@@ -197,7 +197,7 @@ def q_idcf(spark, sf_dir):
 _PROFILE_SQL = f"""
 with c as (select pmid, {_CLUSTER_SQL} as label, count(*) as n from stoks group by 1, 2),
 w as (select {_CLUSTER_SQL} as label, 1.0 / count(distinct pmid) as idcf from stoks group by 1),
-g as (select d.pmid, l.label from (select distinct pmid from stoks) d,
+g as (select d.pmid, l.label from (select distinct pmid from articles) d,
                                  (select distinct {_CLUSTER_SQL} as label from stoks) l)
 """
 
@@ -208,10 +208,11 @@ from g left join c using (pmid, label) left join w using (label)""", ctes=SQL_ST
 def q_cluster_profile(spark, sf_dir):
     from pubsift.session import materialize
 
-    toks = materialize(X.sentence_token_table(T.articles(spark, sf_dir)).select("pmid", "token"))
+    arts = T.articles(spark, sf_dir)
+    toks = materialize(X.sentence_token_table(arts).select("pmid", "token"))
     cl = _token_clusters(toks.select("token").distinct())
     labels = cl.select("label").distinct()
-    return normalize(EM.cluster_profile(toks, cl, EM.idcf(toks, cl), labels))
+    return normalize(EM.cluster_profile(toks, cl, EM.idcf(toks, cl), labels, docs=arts))
 
 
 @query("cluster_profile_normalised", oracle=_PROFILE_SQL + """
@@ -220,10 +221,11 @@ from g left join c using (pmid, label)""", ctes=SQL_STOKS)
 def q_cluster_profile_norm(spark, sf_dir):
     from pubsift.session import materialize
 
-    toks = materialize(X.sentence_token_table(T.articles(spark, sf_dir)).select("pmid", "token"))
+    arts = T.articles(spark, sf_dir)
+    toks = materialize(X.sentence_token_table(arts).select("pmid", "token"))
     cl = _token_clusters(toks.select("token").distinct())
     labels = cl.select("label").distinct()
-    return normalize(EM.cluster_profile(toks, cl, None, labels, normalise=True))
+    return normalize(EM.cluster_profile(toks, cl, None, labels, normalise=True, docs=arts))
 
 
 # ------------------------------------------------------- model-based (rows only)

@@ -15,6 +15,10 @@ from pubsift.sources import tables as T
 MIN_COUNT, THRESHOLD = 30, 10.0
 
 SQL_STOKS = SQL_SENTS + rf""",
+psents as (
+  select pmid, unnest(ss) as sentence, unnest(range(len(ss))) as sent_pos
+  from (select pmid, string_split_regex(concat_ws(' ', title, content), '[.!?]+\s+') as ss from articles) a
+),
 stoks as (
   select pmid, sent_pos, unnest(t) as token, unnest(range(len(t))) as tok_pos
   from (select pmid, sent_pos,
@@ -22,7 +26,7 @@ stoks as (
                  regexp_extract_all(lower(sentence), '{TOKEN_RUN}'),
                  lambda x: not regexp_matches(x, '^[0-9]+$')),
                  lambda x: not list_contains({sql_list(english_stop_words())}, x)) as t
-        from sents) s
+        from psents) s
 ),
 vocab as (
   select token, row_number() over (order by token) - 1 as id,
