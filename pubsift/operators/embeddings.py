@@ -122,7 +122,7 @@ def polar_layout(df: DataFrame, value: str, order) -> DataFrame:
 def idcf(postings: DataFrame, clusters: DataFrame, id_col: str = "pmid") -> DataFrame:
     """(label, idcf): 1 / number of distinct documents containing any word of
     the cluster."""
-    j = postings.select(id_col, F.col("token").alias("word")).join(clusters, "word")
+    j = postings.select(id_col, F.col("token").alias("word")).distinct().join(clusters, "word")
     return (j.groupBy("label").agg(F.count_distinct(id_col).alias("n_docs"))
             .select("label", (1.0 / F.col("n_docs")).alias("idcf")))
 

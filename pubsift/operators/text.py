@@ -60,9 +60,8 @@ def tfidf(bow: DataFrame, idf: DataFrame | None = None, id_col: str = ID) -> Dat
         bow = materialize(bow)  # read by the idf aggregate and by the weighting
         idf = idf_table(bow, id_col)
     w = bow.join(idf, "token").withColumn("_w", F.col("n") * F.col("idf"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return (w.join(norm, id_col)
-            .select(id_col, "token", (F.col("_w") / F.col("_norm")).alias("tfidf")))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))  # one document's words
+    return w.select(id_col, "token", (F.col("_w") / norm).alias("tfidf"))
 
 
 def phrase_scores(tokens: DataFrame, min_count: int = 30, threshold: float = 10.0,
