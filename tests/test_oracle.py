@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from places import SF_SMALL
 from pubsift.sources.tables import TABLES
 
 ORACLES = E.oracle_sql()

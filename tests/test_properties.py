@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from places import SF_SMALL
 from pubsift.operators import corpus as C
 from pubsift.operators import embeddings as EM
 from pubsift.operators import ordinals as O

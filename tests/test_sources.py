@@ -8,7 +8,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import FIXTURES
+from places import FIXTURES
 from pubsift.operators import corpus as C
 from pubsift.operators import dictionary as D
 from pubsift.operators import ranking as R
