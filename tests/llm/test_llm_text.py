@@ -265,6 +265,27 @@ def test_unmarked_content_and_template():
                    for w in (f"w{n}" * 3 for n in range(6))]
 
 
+def story(n, words=60):
+    return " ".join(f"s{n}w{i}" for i in range(words))
+
+
+@pytest.mark.parametrize("tags", [("<article><div>", "</div></article>"), ("<div>", "</div>")])
+@pytest.mark.parametrize("near", [False, True])
+def test_copies_are_no_template(tags, near):
+    page = f"<html><body><span>Site of sites</span>{tags[0]}<h1>Head</h1><p>{{}}</p><p>{{}}</p>{tags[1]}</body></html>"
+    # All pages copies; and copies as nine tenths of a block that has other pages.
+    for others in (0, 4):
+        texts = [(story(0), f"copy {i if near else 0}") for i in range(44)] + [(story(i), "x") for i in range(1, 1 + others)]
+        got = wrapper.extract([page.format(*t) for t in texts])
+        assert all(g.endswith(f"{a} {b}") for g, (a, b) in zip(got, texts))
+
+
+def test_template_never_takes_a_whole_text():
+    page = "<html><body><div>One notice of the host for all of its pages</div><div class=x><p>{}</p></div></body></html>"
+    got = wrapper.extract([page.format(story(i)) for i in range(6)] + [page.format("")])
+    assert got[:6] == [story(i) for i in range(6)] and got[6] == "One notice of the host for all of its pages"
+
+
 def test_broken_pages():
     odd = [None, "", "plain text & more", "<p>a<p>b", "<article><p>cut of", "<<>>< x", "<!-- never closed <p>a</p>",
            "<script>no end", "<div>" * 3000 + "deep", "</p></div>stray", "<p a='>'>quoted", "<br/><p>x<br/>y"]
