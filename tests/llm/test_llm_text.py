@@ -275,7 +275,7 @@ def test_copies_are_no_template(tags, near):
     page = f"<html><body><span>Site of sites</span>{tags[0]}<h1>Head</h1><p>{{}}</p><p>{{}}</p>{tags[1]}</body></html>"
     # All pages copies; and copies as nine tenths of a block that has other pages.
     for others in (0, 4):
-        texts = [(story(0), f"copy {i if near else 0}") for i in range(44)] + [(story(i), "x") for i in range(1, 1 + others)]
+        texts = [(story(0), f"copy {i if near else 0}") for i in range(44)] + [(story(i), f"x{i}") for i in range(1, 1 + others)]
         got = wrapper.extract([page.format(*t) for t in texts])
         assert all(g.endswith(f"{a} {b}") for g, (a, b) in zip(got, texts))
 
@@ -286,6 +286,19 @@ def test_template_never_takes_a_whole_text():
     assert got[:6] == [story(i) for i in range(6)] and got[6] == "One notice of the host for all of its pages"
 
 
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<main>", "</main>")])
+def test_template_inside_marked_content(tags):
+    page = (f"<html><body>{tags[0]}<h1>Abstract</h1><p>Read us every day</p><p>{{0}}</p><ul><li>{{1}}</li><li>two</li></ul>"
+            "<table><tr><th>Size</th><td>{1}</td></tr></table><section><h2>Our offer</h2><p>Buy now</p></section>"
+            f"<p>{{2}}</p><h3>Owner</h3><p>All rights are reserved</p>{tags[1]}</body></html>")
+    got = wrapper.extract([page.format(story(i), f"one {i}", f"end {i}") for i in range(6)])
+    assert got == [f"Abstract {story(i)} one {i} two Size one {i} end {i}" for i in range(6)]
+    # Without other pages, or with copies only, the marks alone decide.
+    for n in (1, 6):
+        got = wrapper.extract([page.format(story(0), "one", "end")] * n)
+        assert all(g.startswith(f"Abstract Read us every day {story(0)} one two") for g in got)
+
+
 def test_broken_pages():
     odd = [None, "", "plain text & more", "<p>a<p>b", "<article><p>cut of", "<<>>< x", "<!-- never closed <p>a</p>",
            "<script>no end", "<div>" * 3000 + "deep", "</p></div>stray", "<p a='>'>quoted", "<br/><p>x<br/>y"]
