@@ -299,6 +299,19 @@ def test_template_inside_marked_content(tags):
         assert all(g.startswith(f"Abstract Read us every day {story(0)} one two") for g in got)
 
 
+@pytest.mark.parametrize("sections", [10, 60, 400])
+def test_template_of_long_flat_pages(sections):
+    def page(i):
+        n = sections + 3 * i
+        body = [f"<h2>Head {i} {k}</h2><p>{story(1000 * i + k, 8)}</p>" for k in range(n)]
+        body.insert(n // 2, "<h2>Offer of the day</h2><pre>Buy one get one</pre>")
+        return "<html><body>" + "".join(body) + "<div>All rights are reserved by the owner</div></body></html>", n
+
+    pages = [page(i) for i in range(6)]
+    for i, (text, (_, n)) in enumerate(zip(wrapper.extract([p for p, _ in pages]), pages)):
+        assert text == " ".join(f"Head {i} {k} {story(1000 * i + k, 8)}" for k in range(n))
+
+
 def test_broken_pages():
     odd = [None, "", "plain text & more", "<p>a<p>b", "<article><p>cut of", "<<>>< x", "<!-- never closed <p>a</p>",
            "<script>no end", "<div>" * 3000 + "deep", "</p></div>stray", "<p a='>'>quoted", "<br/><p>x<br/>y"]
