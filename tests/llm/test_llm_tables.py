@@ -119,6 +119,23 @@ def test_quotes(spark, rows):
     assert quoting.link_conversations(spark, rows([], "conv_id long, turn int, role string, text string, h int")).collect() == []
 
 
+def test_trimmed_and_wrapped_quotes(spark, rows):
+    said = ("The first thing to know is the order of the rows. It matters a lot. Then sort them by the key "
+            "of the group, and number them in that order. Good luck!")
+    quotes = ["> It matters a lot.", "> Then sort them by the key of the group, and number\n> them in that order.",
+              "> The first thing to know is\n> the order of the rows. It\n> matters a lot. Then sort",
+              "> sort them by the key\n> [...]\n> in that order. Good luck!", "> Good luck!",
+              "> the order of the\n> rows, which nobody said like this"]
+    data = [("c", 0, "user", "How do I number rows?"), ("c", 1, "assistant", said), ("c", 2, "user", "Some other matter.")]
+    data += [("c", 3 + i, "user", f"{q}\nAnswer number {i}") for i, q in enumerate(quotes)]
+    data += [("c", 20, "user", "> nothing of this was said before\nAnswer"), ("d", 0, "user", "> It matters a lot.\nNo.")]
+    got = quoting.link_conversations(spark, rows(data, "conv_id string, turn int, role string, text string")).collect()
+    by = {(g["conv_id"], g["turn"]): g for g in got}
+    assert len(got) == len(data) and [by["c", 3 + i]["parent_turn"] for i in range(len(quotes))] == [1] * len(quotes)
+    assert all(by["c", 3 + i]["thread_turn"] == 1 and by["c", 3 + i]["n_linked"] >= 1 for i in range(len(quotes)))
+    assert by["c", 20]["parent_turn"] is by["d", 0]["parent_turn"] is None and by["c", 20]["n_linked"] == 0
+
+
 def test_quotes_random_threads_against_brute_force(spark, rows):
     rng, data, parent = random.Random(2), [], {}
     for conv in range(6):
