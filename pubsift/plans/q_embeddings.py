@@ -248,13 +248,13 @@ def q_embedding_projection(spark, sf_dir):
 
 @query("kmeans_words")
 def q_kmeans_words(spark, sf_dir):
-    _, labels = EM.kmeans_words(T.embedding_a(spark, sf_dir), k=N_CLUSTERS)
+    _, labels = EM.kmeans_words(T.word_vectors(spark, sf_dir), k=N_CLUSTERS)
     return labels
 
 
 @query("pca_words")
 def q_pca_words(spark, sf_dir):
-    out = EM.pca_words(T.embedding_a(spark, sf_dir), 50)
+    out = EM.pca_words(T.word_vectors(spark, sf_dir), 50)
     return out.select("word", F.size("vector").alias("dims"))
 
 

@@ -113,6 +113,13 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", F.col("pos").cast("double").alias("rank"), "pos")
 
 
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a word: the input of queries on one model."""
+    return read_table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"),
+        F.col("embedding").alias("vector"), "label")
+
+
 def embedding_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     return e.where(F.col("vec_id") % 3 != 0).select(

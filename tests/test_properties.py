@@ -168,3 +168,12 @@ def test_incremental_upsert_equals_batch_latest_version(spark, tmp_path):
                                      os.path.join(base, "ckpt"), max_files_per_trigger=k)
         got = {r.pmid: (r.version, r.title, r.n_copies) for r in out.collect()}
         assert got == batch
+
+
+@pytest.mark.parametrize("name", ["kmeans_words", "pca_words"])
+def test_one_model_queries_return_every_word(spark, name):
+    from pubsift.plans import catalog
+
+    catalog.load_all()
+    want = {f"w{r[0]}" for r in T.read_table(spark, SF_SMALL, "embeddings").select("vec_id").collect()}
+    assert {r["word"] for r in catalog.QUERIES[name](spark, SF_SMALL).select("word").collect()} == want
