@@ -19,7 +19,8 @@ from pubsift.sources import tables as T
 TARGETS = ["w2", "w5", "w8", "w11", "w14"]
 K = 10
 EDGE_THRESHOLD = 0.3
-N_CLUSTERS = 10
+N_CLUSTERS = 10             # of the token buckets below, in the SQL too
+N_MEANS = 100
 
 
 def _targets(spark):
@@ -248,7 +249,7 @@ def q_embedding_projection(spark, sf_dir):
 
 @query("kmeans_words")
 def q_kmeans_words(spark, sf_dir):
-    _, labels = EM.kmeans_words(T.word_vectors(spark, sf_dir), k=N_CLUSTERS)
+    _, labels = EM.kmeans_words(T.word_vectors(spark, sf_dir), k=N_MEANS)
     return labels
 
 

@@ -148,12 +148,8 @@ def q_topics(spark, sf_dir):
 def q_grid_search(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
 
-    feats, ys, split, _ = _label_data(spark, sf_dir, 1)
-    train = materialize(feats.join(ys, "pmid").join(split.where("split = 'train'"), "pmid").select(
-        "features", F.col("y").cast("double").alias("label")))
-    _, results = M.grid_search(train, LogisticRegression(maxIter=50),
-                               {"regParam": [1e-4, 1e-2, 1.0]}, folds=4, parallelism=3)
-    return normalize(results)
+    return normalize(M.grid_search_per_label(*_label_data(spark, sf_dir), LogisticRegression(maxIter=50),
+                                             {"regParam": [1e-4, 1e-2, 1.0]}, folds=4, parallelism=3))
 
 
 @query("sentence_classifier")

@@ -177,3 +177,19 @@ def test_one_model_queries_return_every_word(spark, name):
     catalog.load_all()
     want = {f"w{r[0]}" for r in T.read_table(spark, SF_SMALL, "embeddings").select("vec_id").collect()}
     assert {r["word"] for r in catalog.QUERIES[name](spark, SF_SMALL).select("word").collect()} == want
+
+
+def test_grid_search_covers_every_label(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    from pubsift.operators import models as M
+
+    feats = spark.createDataFrame([(i, Vectors.dense([float(i % 2), float(i % 3 == 0)])) for i in range(40)], ["pmid", "features"])
+    ys = spark.createDataFrame([(i, m, int(y)) for i in range(40) for m, y in (("even", i % 2 == 0), ("third", i % 3 == 0))],
+                               "pmid long, meshid string, y int")
+    split = spark.createDataFrame([(i, "test" if i % 10 == 9 else "train") for i in range(40)], "pmid long, split string")
+    got = M.grid_search_per_label(feats, ys, split, ["even", "third"], LogisticRegression(maxIter=5),
+                                  {"regParam": [1e-4, 1.0]}, folds=2).collect()
+    assert sorted((r["meshid"], r["regParam"]) for r in got) == [(m, x) for m in ("even", "third") for x in (1e-4, 1.0)]
+    assert all(r["score"] == 1.0 for r in got)
