@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubsift.llm import (decontam, licenses, neardup, packing, quality, quoting, sharding, toxicity, warc,
-                         wrapper)
+from pubsift.llm import (counting, decontam, licenses, neardup, packing, periodic, quality, quoting, sharding, toxicity,
+                         warc, whitening, wrapper)
 from pubsift.llm.common import table
 
 
@@ -63,8 +64,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_extract, op2_neardup, op3_toxicity, op4_quotes, op5_decontam, op6_licenses,
-                                   op7_quality, op8_packing, op9_sharding, op10_warc)}
+                                   op7_quality, op8_packing, op9_sharding, op10_warc, op11_tokens, op12_runs,
+                                   op13_whitening)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LETTERS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
