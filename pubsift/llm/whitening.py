@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,36 +58,54 @@ def pack_vector(x: np.ndarray) -> bytes:
     return b"8" + x.astype("<i8").tobytes()
 
 
-def unpack_vector(key: bytes) -> np.ndarray:
-    return np.frombuffer(key, f"<i{key[:1].decode()}", offset=1).astype(np.int64)
-
-
-def _key(vector) -> bytes | None:
-    """The packed integers of a vector; None if it is unusable."""
-    if vector is None:
-        return None
-    v = np.array([np.nan if c is None else c for c in vector], np.float64)
-    return pack_vector(quantize(v)) if np.isfinite(v).all() else None
+def vector_keys(vectors: pa.Array) -> list[bytes | None]:
+    """The packed integers of the vectors of a list array; None for unusable ones."""
+    vectors = vectors.cast(pa.list_(pa.float64()))
+    ends = np.concatenate([[0], np.cumsum(vectors.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
+    flat = vectors.flatten()
+    value = flat.to_numpy(zero_copy_only=False)         # a null entry becomes nan
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(value))])
+    usable = vectors.is_valid().to_numpy(zero_copy_only=False) & (bad[ends[1:]] == bad[ends[:-1]])
+    x = quantize(np.where(np.isfinite(value), value, 0.0))
+    return [pack_vector(x[i:j]) if ok else None for i, j, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), usable.tolist())]
 
 
 def keyed(rows: DataFrame, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
     """``(vec_id, dim, key)`` of the usable rows."""
-    @F.pandas_udf("binary")
-    def vector_key(vectors: pd.Series) -> pd.Series:
-        return pd.Series([_key(v) for v in vectors], dtype=object)
 
-    v = F.col(vector).cast("array<double>")
-    return rows.select(F.col(row_id).alias("vec_id"), F.size(v).alias("dim"), vector_key(v).alias("key")).where(
-        F.col("key").isNotNull())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            keys = vector_keys(lists)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), lists.value_lengths().cast(pa.int32()), pa.array(keys, pa.binary())],
+                names=["vec_id", "dim", "key"])
+
+    picked = rows.select(F.col(row_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    id_type = picked.schema["vec_id"].dataType.simpleString()
+    return picked.mapInArrow(run, f"vec_id {id_type}, dim int, key binary").where(F.col("key").isNotNull())
 
 
 # --- sums over the fit list ---------------------------------------------------
 
+def unpack_vectors(keys: list[bytes]) -> np.ndarray:
+    """Vectors of one dimension as rows; those of one width are read together."""
+    width = np.array([k[0] for k in keys])
+    out = None
+    for kind in np.unique(width).tolist():
+        some = np.flatnonzero(width == kind)
+        raw = np.frombuffer(b"".join(keys[i] for i in some.tolist()), np.uint8).reshape(len(some), -1)
+        x = np.ascontiguousarray(raw[:, 1:]).view(f"<i{chr(kind)}")
+        out = np.empty((len(keys), x.shape[1]), np.int64) if out is None else out
+        out[some] = x
+    return out
+
+
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
         keys = batch.column("key").to_pylist()
         for i in range(0, len(keys), BATCH_ROWS):
-            yield np.array([unpack_vector(k) for k in keys[i:i + BATCH_ROWS]])
+            yield unpack_vectors(keys[i:i + BATCH_ROWS])
 
 
 def _summed(rows: DataFrame, partial, shape: tuple[int, ...], kind: str) -> np.ndarray:
@@ -251,7 +268,7 @@ class Whitener:
             for batch in batches:
                 ids, keys = batch.column("vec_id"), batch.column("key").to_pylist()
                 for i in range(0, len(keys), BATCH_ROWS):
-                    x = np.array([unpack_vector(key) for key in keys[i:i + BATCH_ROWS]])
+                    x = unpack_vectors(keys[i:i + BATCH_ROWS])
                     exactly = deviations(x)
                     white = (x - mean) @ projection
                     yield pa.RecordBatch.from_arrays([
