@@ -44,9 +44,11 @@ def link_terms(tokens: DataFrame, dictionary: DataFrame, token: str = "token",
 
 def gene_token_guard(token: str = "token", tok_pos: str = "tok_pos", raw: str = "raw"):
     """A token may be a gene only if NOT (all letters AND (sentence start OR lower case))."""
-    t = F.col(raw)
-    all_letters = t.rlike(r"^[A-Za-z]+$")
-    return ~(all_letters & ((F.col(tok_pos) == 0) | (t == F.lower(t))))
+    return may_be_gene(F.col(raw), F.col(tok_pos))
+
+
+def may_be_gene(token, position):
+    return ~(token.rlike(LETTERS_ONLY) & ((position == 0) | (token == F.lower(token))))
 
 
 def gene_evidence(links: DataFrame, id_col: str = ID) -> DataFrame:
@@ -96,84 +98,79 @@ def keyword_associations(docs: DataFrame, dictionary: DataFrame, pattern: str,
     return link_terms(toks, dictionary)
 
 
-# Tokens for association features are words (letters, digits,
-# hyphens) or single punctuation characters.
-FEATURE_TOKEN = r"[A-Za-z0-9-]+|[^\sA-Za-z0-9-]"
-PUNCT_TOKEN = r"^[^\sA-Za-z0-9-]$"
+# Tokens for association features are words (letters of any script
+# with their marks, digits, hyphens) or single punctuation characters.
+FEATURE_TOKEN = r"[\p{L}\p{M}\p{N}-]+|[^\s\p{L}\p{M}\p{N}-]"
+PUNCT_TOKEN = r"^[^\s\p{L}\p{M}\p{N}-]$"
+LETTERS_ONLY = r"^[\p{L}\p{M}]+$"
 CLASSES = ("VERB", "NOUN", "ADP", "PUNCT", "GENE")
 
 
 def association_features(sents: DataFrame, dictionary: DataFrame, pattern: str,
-                         lexicon: DataFrame | None = None, id_col: str = ID) -> DataFrame:
+                         lexicon: DataFrame | None = None, id_col: str = ID, verbed: bool = False,
+                         flush_at_end: bool = False) -> DataFrame:
     """Counts of word classes between each linked term and the first regex
     match of its sentence.
 
     ``flip`` = index of the first token whose offset is after the match
     start.  A term at position i < flip counts tokens in (i, flip); a term at
     i >= flip counts tokens in [flip, i).  Non-term tokens count in their
-    lexicon class (``lexicon(word, class)``, e.g. VERB/NOUN/ADP) or PUNCT;
-    term tokens count as GENE (once per token, whatever the number of
-    symbols).  Before the match only the last mention of a symbol is kept, and
-    none is kept when no token starts after the match.  Ranges are differences
-    of per-sentence prefix counts, so each term costs O(1) after one window.
+    lexicon class (``lexicon(word, class)``, e.g. VERB/NOUN/ADP, the least class
+    of a word listed twice) or PUNCT; term tokens count as GENE (once per token,
+    whatever the number of symbols).  Before the match only the last mention of a
+    symbol is kept, and none is kept when no token starts after the match, unless
+    ``flush_at_end``.  ``verbed`` keeps the terms with a verb in between.
+
+    A sentence stays one row with its tokens in an array.  Only tokens that may
+    be terms are exploded for the dictionary, only sentences with a hit for the
+    lexicon, and the counts are taken on slices of the sentence's class array.
+    ``(id, sent_pos)`` is unique.  Both lookups are left to AQE, which broadcasts a
+    side only if its measured size allows it.
     """
-    from pyspark.sql import Window
-
+    key = [id_col, "sent_pos"]
     # One regex evaluation per sentence: the match position doubles as the filter.
     s = (sents.withColumn("match_start", F.regexp_instr("sentence", F.lit(pattern)) - 1)
          .where(F.col("match_start") >= 0)
          .withColumn("flip", F.size(F.regexp_extract_all(
              F.substr(F.col("sentence"), F.lit(1), F.col("match_start") + 1),
              F.lit(FEATURE_TOKEN), 0)))
-         .withColumn("_toks", F.regexp_extract_all("sentence", F.lit(FEATURE_TOKEN), 0))
-         .withColumn("n_tokens", F.size("_toks")))
-    # Matching sentences only; read by the term links and the class counts.
-    toks = materialize(s.select(id_col, "date", "sent_pos", "match_start", "flip",
-                                "n_tokens", F.posexplode("_toks").alias("tok_pos", "token")))
+         .withColumn("_toks", F.regexp_extract_all("sentence", F.lit(FEATURE_TOKEN), 0)))
+    s = materialize(s.select(*key, "date", "match_start", "flip", "_toks"))
+    listed = F.transform("_toks", lambda t, i: F.struct(i.alias("tok_pos"), t.alias("token")))
+    able = s.select(*key, F.inline(F.filter(listed, lambda e: may_be_gene(e["token"], e["tok_pos"]))))
     d = dictionary.select(F.lower("alias").alias("_alias"), "symbol").distinct()
-    guard = ~(F.col("token").rlike("^[A-Za-z]+$")
-              & ((F.col("tok_pos") == 0) | (F.col("token") == F.lower("token"))))
-    genes = (toks.where(guard).join(d, F.lower(F.col("token")) == F.col("_alias"))
-             .select(id_col, "sent_pos", "tok_pos", "symbol"))
-    is_gene = genes.select(id_col, "sent_pos", "tok_pos").distinct() \
-        .withColumn("_gene", F.lit(True))
+    hits = (able.join(d, F.lower(F.col("token")) == F.col("_alias")).groupBy(*key)
+            .agg(F.collect_list(F.struct("tok_pos", "symbol")).alias("_hits")))     # within one sentence
+    found = materialize(s.join(hits, key))
     if lexicon is None:
         lexicon = default_lexicon(sents.sparkSession)
-    lex = lexicon.select(F.lower("word").alias("_w"), F.col("class").alias("_lex"))
-    # Class counts are only needed in sentences that hold a linked term.
-    with_genes = genes.select(id_col, "sent_pos").distinct()
-    t = (toks.join(with_genes, [id_col, "sent_pos"], "left_semi")
-         .join(is_gene, [id_col, "sent_pos", "tok_pos"], "left")
-         .join(F.broadcast(lex), F.lower(F.col("token")) == F.col("_w"), "left")
-         .withColumn("cls", F.when(F.col("_gene"), "GENE")
-                     .when(F.col("token").rlike(PUNCT_TOKEN), "PUNCT")
-                     .otherwise(F.col("_lex"))))
-    t = t.select(id_col, "sent_pos", "tok_pos", "flip", "cls")
-    sent_w = Window.partitionBy(id_col, "sent_pos")
-    run_w = sent_w.orderBy("tok_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for c in CLASSES:
-        flag = (F.col("cls") == c).cast("int")
-        t = (t.withColumn(f"_inc_{c}", F.sum(flag).over(run_w))            # count in [0, i]
-             .withColumn(f"_flip_{c}", F.sum(F.when(F.col("tok_pos") < F.col("flip"), flag)
-                                             .otherwise(0)).over(sent_w)))  # count in [0, flip)
-    g = (genes.join(t, [id_col, "sent_pos", "tok_pos"])
-         .join(toks.select(id_col, "sent_pos", "tok_pos", "date", "token", "match_start", "n_tokens"),
-               [id_col, "sent_pos", "tok_pos"]))
-    before = F.col("tok_pos") < F.col("flip")
-    out = g
-    for c in CLASSES:
-        excl = F.col(f"_inc_{c}") - (F.col("cls") == c).cast("int")       # count in [0, i)
-        out = out.withColumn(c, F.when(before, F.col(f"_flip_{c}") - F.col(f"_inc_{c}"))
-                             .otherwise(excl - F.col(f"_flip_{c}")))
-    out = out.withColumn("before", before)
+    lex = lexicon.groupBy(F.lower("word").alias("_w")).agg(F.min("class").alias("_c"))
+    classed = (found.select(*key, F.posexplode("_toks").alias("tok_pos", "token"))
+               .join(lex, F.lower(F.col("token")) == F.col("_w")).groupBy(*key)
+               .agg(F.collect_list(F.struct("tok_pos", "_c")).alias("_words")))
+    by_pos = F.map_from_entries(F.coalesce("_words", F.array().cast("array<struct<tok_pos:int,_c:string>>")))
+    gene_at = F.transform("_hits", lambda h: h["tok_pos"])
+    rows = (found.join(classed, key, "left").withColumn("_by", by_pos).withColumn("_genes", gene_at)
+            .withColumn("_cls", F.transform("_toks", lambda t, i: F.when(F.array_contains("_genes", i), "GENE")
+                                            .when(t.rlike(PUNCT_TOKEN), "PUNCT")
+                                            .otherwise(F.element_at("_by", i))))
+            .select(*key, "date", "match_start", "flip", "_toks", "_cls", "_hits", F.inline("_hits")))
+    pos, flip = F.col("tok_pos"), F.col("flip")
+    before = pos < flip
+    between = F.when(before, F.slice("_cls", pos + 2, flip - pos - 1)).otherwise(F.slice("_cls", flip + 1, pos - flip))
     # Before the match: nearest mention of a symbol wins; dropped if nothing follows.
-    last_before = (out.where("before").groupBy(id_col, "sent_pos", "symbol")
-                   .agg(F.max("tok_pos").alias("_last")))
-    out = (out.join(last_before, [id_col, "sent_pos", "symbol"], "left")
-           .where(~F.col("before") | ((F.col("tok_pos") == F.col("_last"))
-                                      & (F.col("flip") < F.col("n_tokens")))))
-    return out.select(id_col, "date", "sent_pos", "tok_pos", "token", "symbol", "match_start",
-                      "flip", "before", *CLASSES)
+    later = F.exists("_hits", lambda h: (h["symbol"] == F.col("symbol")) & (h["tok_pos"] > pos) & (h["tok_pos"] < flip))
+    kept = ~before | (~later & (F.lit(flush_at_end) | (flip < F.size("_toks"))))
+
+    def count_of(k):
+        return F.size(F.filter("_between", lambda c: c == k)).cast("long").alias(k)
+
+    out = rows.where(kept).withColumn("_between", between).select(
+        *key, "date", "tok_pos", F.get("_toks", pos).alias("token"), "symbol", "match_start", "flip",
+        before.alias("before"),
+        *[count_of(k) for k in CLASSES])
+    return (out.where(F.col("VERB") > 0) if verbed else out).select(
+        id_col, "date", "sent_pos", "tok_pos", "token", "symbol", "match_start", "flip", "before", *CLASSES)
 
 
 # A small default word-class lexicon (closed classes only).

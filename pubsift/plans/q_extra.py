@@ -167,11 +167,11 @@ def q_verify_checksums(spark, sf_dir):
 
 
 @query("gene_token_guard", oracle=f"""
-with am as (select pmid, sent_pos, regexp_extract_all(sentence, '[A-Za-z0-9-]+|[^\\sA-Za-z0-9-]') as tk
+with am as (select pmid, sent_pos, regexp_extract_all(sentence, {sql_str(A.FEATURE_TOKEN)}) as tk
             from sents where regexp_matches(sentence, {sql_str(ASSOC_PATTERN)})),
 ft as (select pmid, sent_pos, unnest(tk) as token, unnest(range(len(tk))) as tok_pos from am)
 select pmid, sent_pos, tok_pos, token,
-       not (regexp_matches(token, '^[A-Za-z]+$') and (tok_pos = 0 or token = lower(token))) as may_be_gene
+       not (regexp_matches(token, {sql_str(A.LETTERS_ONLY)}) and (tok_pos = 0 or token = lower(token))) as may_be_gene
 from ft""", ctes=SQL_SENTS)
 def q_gene_token_guard(spark, sf_dir):
     s = A.sentences(T.articles(spark, sf_dir)).where(F.col("sentence").rlike(ASSOC_PATTERN))

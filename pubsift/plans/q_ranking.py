@@ -260,7 +260,7 @@ ft as (
 genes as (
   select ft.pmid, ft.sent_pos, ft.tok_pos, d.symbol
   from ft join (select distinct lower(alias) as a, symbol from dictionary) d on lower(ft.token) = d.a
-  where not (regexp_matches(ft.token, '^[A-Za-z]+$') and (ft.tok_pos = 0 or ft.token = lower(ft.token)))
+  where not (regexp_matches(ft.token, {sql_str(A.LETTERS_ONLY)}) and (ft.tok_pos = 0 or ft.token = lower(ft.token)))
 ),
 lex(word, cls) as (values {_LEX}),
 t as (
@@ -296,3 +296,20 @@ where not before
 def q_association_features(spark, sf_dir):
     s = A.sentences(T.articles(spark, sf_dir))
     return normalize(A.association_features(s, T.dictionary(spark, sf_dir), ASSOC_PATTERN))
+
+
+# Every second sentence in capitals: terms pass the guard, accented ones too.
+CASED_PATTERN = r"(?i)\b(the|der|die|les|los|de|und|of)\b"
+
+
+@query("association_features_cased", oracle=_AF_SQL.replace(sql_str(ASSOC_PATTERN), sql_str(CASED_PATTERN)).replace(
+    sql_str("(?s)^(.*?)" + ASSOC_PATTERN), sql_str("(?s)^(.*?)" + CASED_PATTERN)).replace(
+    "from sents where", "from cased where"), ctes=SQL_SENTS + """,
+cased as (select pmid, date, sent_pos,
+                 case when sent_pos % 2 = 1 then upper(replace(sentence, 'ß', 'ss')) else sentence end as sentence
+          from sents)""")
+def q_association_features_cased(spark, sf_dir):
+    s = A.sentences(T.articles(spark, sf_dir))
+    s = s.withColumn("sentence", F.when(F.col("sent_pos") % 2 == 1, F.upper(F.replace("sentence", F.lit("ß"), F.lit("ss"))))
+                     .otherwise(F.col("sentence")))
+    return normalize(A.association_features(s, T.dictionary(spark, sf_dir), CASED_PATTERN))

@@ -72,3 +72,29 @@ def test_annotation_state_last_write_wins_with_delete(spark):
     ], "event_id long, ts timestamp, gid int, docid int, annot_id int, type string, tag string, value double")
     st = {r.annot_id: r.tag for r in AN.annotation_state(ev).collect()}
     assert st == {2: "x"}
+
+
+def test_accented_words_and_terms(spark):
+    # The(0) größe(1) GRÖSSE(2) wächst(3) ,(4) associated(5) ÉTÉ-2(6) naïve(7)
+    rows = _run(spark, "The größe GRÖSSE wächst, associated ÉTÉ-2 naïve",
+                [("SIZE", "grösse"), ("SUMMER", "été-2"), ("LOW", "größe"), ("N", "naïve")],
+                [("wächst", "VERB"), ("naïve", "NOUN")])
+    # flip = 6; lower-case words are no terms, accented letters no punctuation
+    assert rows == [("SIZE", 2, True, 1, 0, 0, 1, 0), ("SUMMER", 6, False, 0, 0, 0, 0, 0)]
+
+
+def test_verb_filter_and_flush_at_the_end(spark):
+    s = spark.createDataFrame([(1, datetime.date(2000, 1, 1), 0, "The MYCN binds ALK associated"),
+                               (2, datetime.date(2000, 1, 1), 0, "An ALK binds associated MYCN then")],
+                              "pmid long, date date, sent_pos int, sentence string")
+    d = spark.createDataFrame([("MYCN", "mycn"), ("ALK", "alk")], "symbol string, alias string")
+    lex = spark.createDataFrame([("binds", "VERB"), ("binds", "X")], "word string, class string")
+
+    def found(**options):
+        return sorted((r.pmid, r.symbol, r.before, r.VERB, r.GENE)
+                      for r in A.association_features(s, d, "associated", lex, **options).collect())
+
+    assert found() == [(2, "ALK", True, 1, 0), (2, "MYCN", False, 0, 0)]
+    assert found(flush_at_end=True) == [(1, "ALK", True, 0, 0), (1, "MYCN", True, 1, 1),
+                                        (2, "ALK", True, 1, 0), (2, "MYCN", False, 0, 0)]
+    assert found(flush_at_end=True, verbed=True) == [(1, "MYCN", True, 1, 1), (2, "ALK", True, 1, 0)]
