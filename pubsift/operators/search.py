@@ -1,8 +1,9 @@
-"""Topical selection: postings, boolean / phrase / regex filters.
+"""Topical selection: boolean / phrase / regex filters over text or stored postings.
 
-Topical queries run against an index: here the index is a postings table ``(pmid, pos, token)`` that Spark derives from the
-text; a query is a small table of (entry, word index, word) broadcast into
-the postings scan, so only the hits are shuffled.
+One question is a filter: a document's tokens are joined by spaces once, and its
+words and phrases are looked up in that string, without a shuffle.  Many
+questions over time go to a :class:`~pubsift.operators.postings.PostingsStore`,
+which reads only the buckets of their tokens.
 """
 
 from __future__ import annotations
@@ -10,77 +11,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubsift.functions.text import raw_tokens
+from pubsift.functions.text import TOKEN_RUN, raw_tokens
 
 ID = "pmid"
 
 
-def postings(docs: DataFrame, text: str = "content", id_col: str = ID,
-             tokens: Column | None = None) -> DataFrame:
-    """(id, pos, token): one row per token occurrence, 0-based positions."""
-    toks = tokens if tokens is not None else raw_tokens(text)
-    return docs.select(id_col, F.posexplode(toks).alias("pos", "token"))
-
-
-def _query_table(spark, groups: dict[str, list[str]]) -> DataFrame:
-    """(entry, kind, n_words, idx, word) for every word of every query entry."""
+def entry_words(item: str) -> list[str]:
+    """The words of a query entry (a word or a phrase)."""
     import regex
 
-    from pubsift.functions.text import TOKEN_RUN
+    return regex.findall(TOKEN_RUN, item.lower())
 
-    rows = []
-    entry = 0
-    for kind, items in groups.items():
-        for item in items or []:
-            words = regex.findall(TOKEN_RUN, item.lower())
-            for i, w in enumerate(words):
-                rows.append((entry, kind, len(words), i, w))
-            entry += 1
-    return spark.createDataFrame(
-        rows, "entry int, kind string, n_words int, idx int, word string")
 
+def joined_tokens(text: str = "content") -> Column:
+    """Tokens between single spaces, with one at each end; null text has none."""
+    return F.concat(F.lit(" "), F.array_join(F.coalesce(raw_tokens(text), F.array().cast("array<string>")), " "),
+                    F.lit(" "))
 
-def matched_entries(docs: DataFrame, groups: dict[str, list[str]],
-                    text: str = "content", id_col: str = ID) -> DataFrame:
-    """(id, entry, kind): query entries (words or phrases) found in each document.
 
-    A phrase matches when its words occur at consecutive positions.  The
-    query table is built from the caller's arguments (bounded), so it is
-    broadcast into the postings scan.
-    """
-    q = _query_table(docs.sparkSession, groups)
-    hits = (postings(docs, text, id_col)
-            .join(F.broadcast(q), F.col("token") == F.col("word"))
-            .select(id_col, "entry", "kind", "n_words", "idx",
-                    (F.col("pos") - F.col("idx")).alias("start")))
-    # A phrase matches where all its words share one start.  Inside (id,
-    # entry, start) every hit has its own idx (pos = start + idx is unique),
-    # so a plain count is the number of distinct words found.
-    return (hits.groupBy(id_col, "entry", "kind", "n_words", "start")
-            .agg(F.count(F.lit(1)).alias("k"))
-            .where(F.col("k") == F.col("n_words"))
-            .select(id_col, "entry", "kind").distinct())
+def matches(joined: Column, all_of=(), any_of=(), none_of=()) -> Column:
+    """True if every ``all_of`` entry, at least one ``any_of`` entry (when given)
+    and no ``none_of`` entry occurs.  An entry without a word occurs nowhere."""
+    def has(item):
+        words = entry_words(item)
+        return F.contains(joined, F.lit(f" {' '.join(words)} ")) if words else F.lit(False)
+
+    cond = F.lit(True)
+    for item in all_of:
+        cond = cond & has(item)
+    if any_of:
+        some = F.lit(False)
+        for item in any_of:
+            some = some | has(item)
+        cond = cond & some
+    for item in none_of:
+        cond = cond & ~has(item)
+    return cond
 
 
 def text_match(docs: DataFrame, all_of=(), any_of=(), none_of=(),
                text: str = "content", id_col: str = ID) -> DataFrame:
     """Documents with every ``all_of`` entry, at least one ``any_of`` entry
     (when given) and no ``none_of`` entry.  Entries are words or phrases;
-    matching is case-insensitive on whole tokens.  All hits, unscored."""
-    groups = {"all": list(all_of), "any": list(any_of), "none": list(none_of)}
-    m = matched_entries(docs, groups, text, id_col)
-    per_doc = m.groupBy(id_col).agg(
-        F.count_distinct(F.when(F.col("kind") == "all", F.col("entry"))).alias("n_all"),
-        F.max((F.col("kind") == "any").cast("int")).alias("has_any"),
-        F.max((F.col("kind") == "none").cast("int")).alias("has_none"))
-    cond = F.col("n_all") == len(groups["all"])
-    if groups["any"]:
-        cond = cond & (F.col("has_any") == 1)
-    if groups["all"] or groups["any"]:
-        keep = per_doc.where(cond & (F.col("has_none") == 0)).select(id_col)
-        return docs.join(keep, id_col, "left_semi")
-    # Only exclusions: everything that does not hit a none_of entry.
-    return docs.join(per_doc.where("has_none = 1").select(id_col), id_col, "left_anti")
+    matching is case-insensitive on whole tokens.  All hits, unscored.
+
+    A filter on each row: the tokens are computed once (the lambda binds them)
+    and nothing is shuffled."""
+    return docs.where(F.exists(F.array(joined_tokens(text)), lambda j: matches(j, all_of, any_of, none_of)))
 
 
 def search_sorted_by_date(docs: DataFrame, date: str = "date", id_col: str = ID,
@@ -91,38 +68,16 @@ def search_sorted_by_date(docs: DataFrame, date: str = "date", id_col: str = ID,
 
 def tag_documents_by_query(docs: DataFrame, queries: dict[str, dict],
                            text: str = "content", id_col: str = ID) -> DataFrame:
-    """(query, id) for many topic queries in one pass over the postings.
+    """(query, id) for many topic queries in one scan of the text.
 
     ``queries`` maps a query name to ``text_match`` keyword arguments.
     """
-    groups: dict[str, list[str]] = {}
-    for qname, spec in queries.items():
-        for kind in ("all_of", "any_of", "none_of"):
-            for item in spec.get(kind, ()):
-                groups.setdefault(f"{kind}\u0001{qname}", []).append(item)
-    m = matched_entries(docs, groups, text, id_col)
-    m = (m.withColumn("query", F.element_at(F.split("kind", "\u0001"), 2))
-         .withColumn("kind", F.element_at(F.split("kind", "\u0001"), 1)))
-    need = docs.sparkSession.createDataFrame(
-        [(q, len(s.get("all_of", ())), int(bool(s.get("any_of")))) for q, s in queries.items()],
-        "query string, n_all_needed int, any_needed int")
-    per = (m.groupBy(id_col, "query").agg(
-        F.count_distinct(F.when(F.col("kind") == "all_of", F.col("entry"))).alias("n_all"),
-        F.max((F.col("kind") == "any_of").cast("int")).alias("has_any"),
-        F.max((F.col("kind") == "none_of").cast("int")).alias("has_none"))
-        .join(F.broadcast(need), "query"))
-    tagged = (per.where((F.col("n_all") == F.col("n_all_needed"))
-                        & ((F.col("any_needed") == 0) | (F.col("has_any") == 1))
-                        & (F.col("has_none") == 0))
-              .select("query", id_col))
-    # A query without positive entries matches every document that none of its
-    # excluded entries hits, whether or not it has a posting.
-    open_ended = [q for q, s in queries.items() if not s.get("all_of") and not s.get("any_of")]
-    if not open_ended:
-        return tagged
-    rest = docs.select(F.explode(F.array(*[F.lit(q) for q in open_ended])).alias("query"), id_col)
-    return (tagged.where(~F.col("query").isin(open_ended))
-            .unionByName(rest.join(per.where("has_none = 1").select("query", id_col), ["query", id_col], "left_anti")))
+    def tags(joined):
+        return F.filter(F.array(*[F.when(matches(joined, **spec), F.lit(name)) for name, spec in queries.items()]),
+                        lambda t: t.isNotNull())
+
+    found = F.flatten(F.transform(F.array(joined_tokens(text)), tags))
+    return docs.select(F.explode(found).alias("query"), id_col)
 
 
 def filter_regex(docs: DataFrame, pattern: str, cols=("title", "content")) -> DataFrame:

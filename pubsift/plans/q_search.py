@@ -88,6 +88,9 @@ TAG_QUERIES = {
 }
 
 
+STORED_QUERIES = TAG_QUERIES | {"q_revised": {"all_of": ["revised"]}, "q_not_the": {"none_of": ["the", "no such word"]}}
+
+
 @query("tag_documents_by_query", oracle="\nunion all\n".join(
     f"select '{q}' as query, pmid from (select pmid, {_joined_tokens_sql('content')} as j "
     f"from articles) x where "
@@ -97,6 +100,32 @@ def q_tag_documents(spark, sf_dir):
     return S.tag_documents_by_query(T.articles(spark, sf_dir), TAG_QUERIES)
 
 
+_LATEST = """
+select pmid, content from articles_versions v
+qualify row_number() over (partition by pmid order by version desc) = 1"""
+
+
+@query("stored_postings", oracle="\nunion all\n".join(
+    f"select '{q}' as query, pmid from (select pmid, {_joined_tokens_sql('content')} as j "
+    f"from ({_LATEST}) l where pmid % 7 <> 3) x where "
+    f"{_match_sql(s.get('all_of', []), s.get('any_of', []), s.get('none_of', []))}"
+    for q, s in STORED_QUERIES.items()))
+def q_stored_postings(spark, sf_dir):
+    """Postings written for all articles, then for the revised ones, some articles
+    removed; the questions read their tokens' buckets."""
+    import uuid
+
+    from pubsift.operators.postings import PostingsStore
+    from pubsift.session import scratch_path
+
+    store = PostingsStore(spark, scratch_path(spark, f"postings-{uuid.uuid4().hex[:12]}"))
+    versions = T.articles_versions(spark, sf_dir)
+    store.add(versions.where("version = 1"))
+    store.add(versions.where("version = 2"))
+    store.remove(versions.where("version = 1 and pmid % 7 = 3"))
+    return store.tag(STORED_QUERIES)
+
+
 @query("filter_regex", oracle=f"""
 select pmid from articles
 where coalesce(regexp_matches(title, {sql_str('(?i)' + REGEX_PATTERN)}), false)

@@ -4,10 +4,9 @@
   source keeps the list in its checkpoint; ``trigger(availableNow=True)``
   processes what is there and stops.
 * ``incremental_upsert`` — revised articles replace earlier ones across
-  runs: each micro-batch is merged with the stored snapshot by the same
-  "latest wins" aggregate as the batch operator and written as a new
-  snapshot (idempotent per epoch, so a retried batch rewrites the same
-  folder).
+  runs: each micro-batch is reduced by the same "latest wins" aggregate as the
+  batch operator and kept as a run of a :class:`~pubsift.streaming.state.KeyedState`
+  (what is written follows the batch; a retried batch replaces its own run).
 * ``annotation_state_stream`` — the annotation event log folded into a
   last-write-wins state table the same way.
 * ``batched_ingest`` — id batches of 100: a batch with an unparsable record
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from pubsift.sources import xml_articles as XA
+from pubsift.streaming.state import KeyedState
 
 END = f"</{XA.RECORD}>"
 
@@ -75,19 +75,10 @@ def committed_snapshots(spark: SparkSession, state_dir: str) -> list[str]:
     return sorted(names)
 
 
-def _read_latest_snapshot(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame | None:
-    """The newest snapshot, or the newest of an epoch ``before`` the given one: a
-    repeated epoch must not start from its own earlier result."""
-    done = [v for v in committed_snapshots(spark, state_dir) if before is None or int(v[1:]) < before]
-    if not done:
-        return None
-    return spark.read.parquet(os.path.join(state_dir, done[-1]))
-
-
 def incremental_upsert(spark: SparkSession, source_dir: str, state_dir: str, checkpoint: str,
                        max_files_per_trigger: int = 1) -> DataFrame:
-    """Stream article dump files into a latest-version snapshot; returns the
-    final snapshot (pmid, version, title, content, date, n_copies) where
+    """Stream article dump files into a latest-version state; returns the
+    final state (pmid, version, title, content, date, n_copies) where
     version is NULL for articles never updated."""
     stream = (spark.readStream.option("lineSep", END)
               .option("maxFilesPerTrigger", max_files_per_trigger).text(source_dir)
@@ -95,6 +86,8 @@ def incremental_upsert(spark: SparkSession, source_dir: str, state_dir: str, che
                       F.col("_metadata.file_name").alias("file_name"),
                       F.col("_metadata.file_modification_time").alias("file_time")))
 
+    state = KeyedState(spark, state_dir, _latest)
+
     def merge(batch: DataFrame, epoch: int) -> None:
         times = batch.select("file", "file_time").distinct()  # one row per file
         recs = XA.parse_articles(_chunks_to_records(batch)).join(times, "file")
@@ -103,16 +96,12 @@ def incremental_upsert(spark: SparkSession, source_dir: str, state_dir: str, che
                         F.lit(epoch).alias("batch"), "file_time", F.col("file").alias("file_name"),
                         F.col("rec_pos").cast("int").alias("article_pos"),
                         F.lit(1).cast("long").alias("n_copies")))
-        prev = _read_latest_snapshot(spark, state_dir, before=epoch)
-        if prev is not None:
-            rows = prev.unionByName(rows)
-        _latest(rows).write.mode("overwrite").parquet(os.path.join(state_dir, f"v{epoch:08d}"))
+        state.apply(rows, epoch)
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    snap = _read_latest_snapshot(spark, state_dir)
-    return snap.select("pmid", F.when(F.col("n_copies") > 1, F.col("version")).alias("version"),
+    return state.read().select("pmid", F.when(F.col("n_copies") > 1, F.col("version")).alias("version"),
                        "title", "content", "date", "n_copies")
 
 
@@ -149,19 +138,16 @@ def annotation_state_stream(spark: SparkSession, source_dir: str, schema, state_
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
 
-    def fold(batch: DataFrame, epoch: int) -> None:
-        prev = _read_latest_snapshot(spark, state_dir, before=epoch)
-        rows = batch if prev is None else prev.unionByName(batch)
+    def last_event(rows: DataFrame) -> DataFrame:
         payload = [c for c in rows.columns if c not in key and c not in ("ts", "event_id")]
         last = rows.groupBy(*key).agg(F.max(F.struct("ts", "event_id", *payload)).alias("_l"))
-        out = last.select(*key, *[F.col(f"_l.{c}").alias(c)
-                                  for c in ["ts", "event_id"] + payload])
-        out.write.mode("overwrite").parquet(os.path.join(state_dir, f"v{epoch:08d}"))
+        return last.select(*key, *[F.col(f"_l.{c}").alias(c) for c in ["ts", "event_id"] + payload])
 
-    q = (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    state = KeyedState(spark, state_dir, last_event)
+    q = (stream.writeStream.foreachBatch(lambda batch, epoch: state.apply(batch, epoch) and None).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return _read_latest_snapshot(spark, state_dir).where(F.col("type") != "delete")
+    return state.read().where(F.col("type") != "delete")
 
 
 def update_watermark(df: DataFrame, last_date: str, date: str = "date",

@@ -61,14 +61,6 @@ def test_registry_keeps_every_update(spark):
     assert sorted(r[0] for r in got.collect()) == [1, 2, 3]
 
 
-def test_a_repeated_epoch_ignores_its_own_snapshot(spark):
-    state = scratch_path(spark, f"state-{uuid.uuid4().hex}")
-    for epoch in (0, 1, 2):
-        spark.createDataFrame([(epoch,)], "e int").write.parquet(os.path.join(state, f"v{epoch:08d}"))
-    read = lambda **k: incremental._read_latest_snapshot(spark, state, **k)
-    assert read().first()[0] == 2 and read(before=2).first()[0] == 1 and read(before=0) is None
-
-
 def test_tokens_of_other_scripts(spark):
     row = spark.createDataFrame([("Über die Größe -- señor 1990-2000 – éte - x-ray", ""), (None, "")], "t string, u string")
     got = [r[0] for r in row.select(raw_tokens("t")).collect()]
