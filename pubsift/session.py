@@ -61,7 +61,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # Local runs and tests only: a fresh folder per session.
         configured = tempfile.mkdtemp(prefix="pubsift-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return configured
 
