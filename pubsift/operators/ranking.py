@@ -333,6 +333,78 @@ def discovery_curve(points: DataFrame, grid: list | None = None, t: str = "t",
                        (F.col("_b.A") + F.col("_b.K")).alias("total"))
 
 
+# The least-squares weights (A, K, L) of two linked surges, from the sums of both
+# segments: normal matrix [[p, q, 0], [q, r, s], [0, s, w]], right side (x, y, z).
+SURGE_DET = "p * (r * w - s * s) - q * q * w"
+SURGE_SOLUTION = {
+    "A": "(x * (r * w - s * s) - q * (y * w - s * z)) / det",
+    "K": "(p * (y * w - s * z) - x * q * w) / det",
+    "L": "(p * (r * z - s * y) - q * q * z + x * q * s) / det",
+}
+
+
+def surge_fits(points: DataFrame, topic: str = "topic", t: str = "t", y: str = "y", grid: list | None = None,
+               breaks: list[float] | None = None, seconds: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Two linked surges for every topic: before ``brk`` the curve of
+    :func:`logistic_fits` from A to K, from ``brk`` on K + (L - K) / (1 +
+    exp(-B2 (t - brk)))^(1/v2).
+
+    One row per (topic, brk, B, M, v, B2, v2) with A, K, L (none below 0) and sse.
+    For fixed grid values the curve is linear in A, K and L.  The first segment's
+    sums for all break points are running sums over the intervals between break
+    points, so a point is expanded over the first grid once, and over the break
+    points before it times the second grid; everything after that has the size of
+    the parameters times the number of topics.
+    """
+    grid = grid if grid is not None else logistic_grid(**DEFAULT_GRID)
+    breaks = sorted(breaks if breaks is not None else DEFAULT_BREAKS)
+    seconds = seconds if seconds is not None else DEFAULT_SECONDS
+    pts = points.select(topic, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y"))
+
+    def sums(rows, g, keys):
+        u = 1 - g
+        return rows.withColumn("_g", g).withColumn("_u", u).groupBy(*keys).agg(
+            *[F.sum(a * b).alias(n) for n, a, b in (
+                ("uu", F.col("_u"), F.col("_u")), ("ug", F.col("_u"), F.col("_g")), ("gg", F.col("_g"), F.col("_g")),
+                ("uy", F.col("_u"), F.col("_y")), ("gy", F.col("_g"), F.col("_y")), ("yy", F.col("_y"), F.col("_y")))])
+
+    cuts = F.array(*map(F.lit, breaks))
+    first = F.array(*[F.struct(F.lit(b).alias("B"), F.lit(m).alias("M"), F.lit(v).alias("v")) for b, m, v in grid])
+    second = F.array(*[F.struct(F.lit(float(b)).alias("B2"), F.lit(float(v)).alias("v2")) for b, v in seconds])
+    interval = F.size(F.filter(cuts, lambda c: c <= F.col("_t")))       # breaks that the point lies behind
+    parts = sums(pts.withColumn("_i", interval).select("*", F.inline(first)),
+                 F.pow(1 + F.exp(-F.col("B") * (F.col("_t") - F.col("M"))), -1 / F.col("v")), [topic, "B", "M", "v", "_i"])
+    # A point counts for every break above it: breaks number _i and on.
+    after = parts.select("*", F.explode(F.sequence(F.col("_i"), F.lit(len(breaks)))).alias("_k")).where(
+        F.col("_k") < len(breaks))
+    left = after.groupBy(topic, "B", "M", "v", (F.col("_k") + 1).alias("_k")).agg(
+        *[F.sum(n).alias(f"{n}1") for n in ("uu", "ug", "gg", "uy", "gy", "yy")])
+    behind = pts.select("*", F.posexplode(F.filter(cuts, lambda c: c <= F.col("_t"))).alias("_k", "brk"))
+    right = sums(behind.withColumn("_k", F.col("_k") + 1).select("*", F.inline(second)),
+                 F.pow(1 + F.exp(-F.col("B2") * (F.col("_t") - F.col("brk"))), -1 / F.col("v2")),
+                 [topic, "_k", "brk", "B2", "v2"])
+    both = left.join(right, [topic, "_k"]).select(
+        topic, "brk", "B", "M", "v", "B2", "v2", F.col("uu1").alias("p"), F.col("ug1").alias("q"),
+        (F.col("gg1") + F.col("uu")).alias("r"), F.col("ug").alias("s"), F.col("gg").alias("w"), F.col("uy1").alias("x"),
+        (F.col("gy1") + F.col("uy")).alias("y"), F.col("gy").alias("z"), (F.col("yy1") + F.col("yy")).alias("yy"))
+    fit = both.withColumn("det", F.expr(SURGE_DET)).where(F.abs("det") > 1e-9)
+    for name, solution in SURGE_SOLUTION.items():
+        fit = fit.withColumn(name, F.expr(solution))
+    return fit.where("A >= 0 and K >= 0 and L >= 0").withColumn("sse", F.expr("yy - A * x - K * y - L * z")).select(
+        topic, "brk", "B", "M", "v", "B2", "v2", "A", "K", "L", "sse")
+
+
+def surge_curve(points: DataFrame, topic: str = "topic", **options) -> DataFrame:
+    """The best fit of :func:`surge_fits` of every topic, with total = A + K + L."""
+    cols = ["brk", "B", "M", "v", "B2", "v2", "A", "K", "L", "sse"]
+    best = surge_fits(points, topic, **options).groupBy(topic).agg(
+        F.min(F.struct(F.round("sse", 4).alias("_r"), *cols)).alias("_b"))
+    return best.select(topic, *[F.col(f"_b.{c}") for c in cols],
+                       (F.col("_b.A") + F.col("_b.K") + F.col("_b.L")).alias("total"))
+
+
+DEFAULT_BREAKS = [i / 20 for i in range(1, 20)]
+DEFAULT_SECONDS = [(b, v) for b in (1, 2, 5, 10, 20, 50) for v in (0.5, 1, 2)]
 DEFAULT_GRID = dict(
     b_values=[1, 2, 5, 10, 20, 50],
     m_values=[i / 10 for i in range(0, 11)],

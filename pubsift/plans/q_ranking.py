@@ -10,7 +10,7 @@ from pubsift.plans.catalog import query
 from pubsift.plans.common import ASSOC_PATTERN, SQL_SENTS, SQL_TOKS, normalize, sql_str
 from pubsift.sources import tables as T
 
-N_PERMS = 200
+N_PERMS = 1000
 ALPHA = 0.05
 SEED = "42"
 
@@ -235,6 +235,64 @@ def q_discovery_curve(spark, sf_dir):
     return normalize(R.discovery_curve(pts))
 
 
+_PAIRS = (("uu", "u", "u"), ("ug", "u", "g"), ("gg", "g", "g"), ("uy", "u", "y"), ("gy", "g", "y"), ("yy", "y", "y"))
+
+
+def _sums_sql() -> str:
+    return ", ".join(f"sum({a} * {b}) as {n}" for n, a, b in _PAIRS)
+
+
+@query("discovery_surges", oracle=f"""
+with tl as (
+  select a.lang as topic, l.symbol, min(l.date) as date from links l join articles a using (pmid) group by 1, 2
+),
+pts as (
+  select topic, t, cast(n_known as double) as y from (
+    select topic, date, sum(n) over (partition by topic order by date rows between unbounded preceding and current row) as n_known,
+           (epoch(date) - (select min(epoch(date)) from tl)) / (select max(epoch(date)) from tl) as t
+    from (select topic, date, count(*) as n from tl group by 1, 2) d) c
+),
+cuts(brk) as (values {", ".join(f"({b}::double)" for b in R.DEFAULT_BREAKS)}),
+seconds(B2, v2) as (values {", ".join(f"({b}::double, {v}::double)" for b, v in R.DEFAULT_SECONDS)}),
+first_part as (
+  select topic, brk, B, M, v, {_sums_sql()} from (
+    select *, 1 - g as u from (
+      select p.topic, p.y, c.brk, grid.*, pow(1 + exp(-grid.B * (p.t - grid.M)), -1 / grid.v) as g
+      from pts p join cuts c on p.t < c.brk, {_grid_sql()}) a) b group by all
+),
+second_part as (
+  select topic, brk, B2, v2, {_sums_sql()} from (
+    select *, 1 - g as u from (
+      select p.topic, p.y, c.brk, s.*, pow(1 + exp(-s.B2 * (p.t - c.brk)), -1 / s.v2) as g
+      from pts p join cuts c on p.t >= c.brk, seconds s) a) b group by all
+),
+both_parts as (
+  select topic, brk, B, M, v, B2, v2, f.uu as p, f.ug as q, f.gg + s.uu as r, s.ug as s, s.gg as w,
+         f.uy as x, f.gy + s.uy as y, s.gy as z, f.yy + s.yy as yy
+  from first_part f join second_part s using (topic, brk)
+),
+solved as (
+  select *, {", ".join(f"{e} as {n}" for n, e in R.SURGE_SOLUTION.items())}
+  from (select *, {R.SURGE_DET} as det from both_parts) d where abs(det) > 1e-9
+),
+fits as (select *, yy - A * x - K * y - L * z as sse from solved where A >= 0 and K >= 0 and L >= 0)
+select topic, brk, round(total, 2) as total, round(sse, 2) as sse from (
+  select *, A + K + L as total,
+         row_number() over (partition by topic order by round(sse, 4), brk, B, M, v, B2, v2) as i from fits) o
+where i = 1""", ctes=SQL_LINKS)
+def q_discovery_surges(spark, sf_dir):
+    """Two linked surges of the terms first seen in each language's articles."""
+    from pyspark.sql import Window
+
+    langs = T.articles(spark, sf_dir).select("pmid", F.col("lang").alias("topic"))
+    firsts = _links(spark, sf_dir).join(langs, "pmid").groupBy("topic", "symbol").agg(F.min("date").alias("date"))
+    per_day = R.year_fraction(firsts.groupBy("topic", "date").agg(F.count(F.lit(1)).alias("n")))
+    days = Window.partitionBy("topic").orderBy("date")      # a row a day
+    points = per_day.select("topic", "t", F.sum("n").over(days).alias("y"))
+    out = R.surge_curve(points)
+    return normalize(out.select("topic", "brk", F.round("total", 2).alias("total"), F.round("sse", 2).alias("sse")))
+
+
 # --------------------------------------------------------- association features
 _TOKRE = A.FEATURE_TOKEN
 _LEX = ", ".join([f"('{w}', 'ADP')" for w in A.ADPOSITIONS] + [f"('{w}', 'VERB')" for w in A.VERBS])
