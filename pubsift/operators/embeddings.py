@@ -119,6 +119,31 @@ def polar_layout(df: DataFrame, value: str, order) -> DataFrame:
             .drop("_pos", "_n"))
 
 
+def gene_disease_map(vectors: DataFrame, genes: DataFrame, disease: str, groups: int = 50, seed: int = 42) -> DataFrame:
+    """(gene, similarity, radius, group_pos, angle) of the genes in the vocabulary.
+
+    Genes of one group stand side by side: the order is that of the leaves of a
+    bisecting k-means tree over the genes' vectors (Spark ML numbers them from left
+    to right), then the similarity to the disease word.  ``genes(gene)`` match a
+    word in lower case; angle = position * (2 pi - 1) / n + 0.5."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.functions import array_to_vector
+
+    known = materialize(vectors.join(genes.select("gene", F.lower("gene").alias("word")).distinct(), "word").select(
+        "gene", "word", "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
+    target = vectors.where(F.col("word") == disease).select(F.lit(disease).alias("word"))
+    near = pairwise_similarity(target, known.select("word", "vector").unionByName(
+        vectors.where(F.col("word") == disease).select("word", "vector")).dropDuplicates(["word"]))
+    model = BisectingKMeans(k=groups, seed=seed, predictionCol="group").fit(known)
+    rows = model.transform(known).select("gene", "word", "group").join(near.select("word", "similarity"), "word")
+    placed = global_ordinal(rows, ["group", "similarity", "gene"], "group_pos", start=0)
+    placed = with_scalars(placed, rows.agg(F.count(F.lit(1)).alias("_n")))
+    return placed.select(
+        "gene", "similarity",
+        F.when(F.col("similarity") > 0, 1 - F.col("similarity")).otherwise(1 + F.col("similarity")).alias("radius"),
+        "group", "group_pos", (F.col("group_pos") * (2 * math.pi - 1) / F.col("_n") + 0.5).alias("angle"))
+
+
 def idcf(postings: DataFrame, clusters: DataFrame, id_col: str = "pmid") -> DataFrame:
     """(label, idcf): 1 / number of distinct documents containing any word of
     the cluster."""
@@ -156,28 +181,71 @@ def mean_vector_per_cluster(vectors: DataFrame, clusters: DataFrame) -> DataFram
 
 
 # ------------------------------------------------------------------ projection
+def _moments(common: DataFrame):
+    """Sum over the common words of the outer product of (1, x, y): one matrix a
+    task, added up by a few tasks, then by one.  Its size is that of the vectors."""
+    import numpy as np
+    import pyarrow as pa
+
+    def packed(total) -> pa.RecordBatch:
+        values = [] if total is None else [total.tobytes()]
+        return pa.RecordBatch.from_pydict({"m": pa.array(values, pa.binary())})
+
+    def each(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.array(batch.column(c).to_pylist(), float) for c in ("x", "y"))
+                z = np.hstack([np.ones((len(x), 1)), x, y])
+                total = z.T @ z if total is None else total + z.T @ z
+        yield packed(total)
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for m in batch.column("m"):
+                part = np.frombuffer(m.as_py())
+                total = part if total is None else total + part
+        yield packed(total)
+
+    pairs = common.select(F.col("vector_a").cast("array<double>").alias("x"),
+                          F.col("vector_b").cast("array<double>").alias("y"))
+    parts = pairs.mapInArrow(each, "m binary")
+    for tasks in (32, 1):
+        parts = parts.repartition(tasks).mapInArrow(add, "m binary")
+    row = parts.first()
+    if row is None:
+        raise ValueError("the models have no word in common")
+    flat = np.frombuffer(row["m"])
+    return flat.reshape(math.isqrt(len(flat)), -1)
+
+
 def _cross_moments(common: DataFrame):
-    """Means of both sides and the cross-covariance / variance aggregates, as
-    small driver-side numpy arrays (dim x dim, bounded by the vector size)."""
+    """Means of both sides, cross-covariance and variance (numpy, dim x dim)."""
+    import numpy as np
+
+    total = _moments(common)
+    dim, n = (len(total) - 1) // 2, total[0, 0]
+    ma, mb = total[0, 1:dim + 1] / n, total[0, dim + 1:] / n
+    cov = total[1:dim + 1, dim + 1:] / n - np.outer(ma, mb)
+    var_a = float(np.trace(total[1:dim + 1, 1:dim + 1]) / n - ma @ ma)
+    return ma, mb, cov, var_a, int(n)
+
+
+def linear_projection(a: DataFrame, b: DataFrame) -> dict:
+    """Least-squares linear map y ~ M x + t from model a to model b over their
+    common words, from the normal equations of the centred moments (the shortest
+    solution where the words do not determine it).  Same keys as
+    :func:`embedding_projection`; ``rotation`` holds M."""
     import numpy as np
 
-    a = common.select("word", F.posexplode("vector_a").alias("i", "x"))
-    b = common.select("word", F.posexplode("vector_b").alias("j", "y"))
-    n = common.count()
-    mean_a = {r["i"]: r["m"] for r in a.groupBy("i").agg(F.avg("x").alias("m")).collect()}
-    mean_b = {r["j"]: r["m"] for r in b.groupBy("j").agg(F.avg("y").alias("m")).collect()}
-    dim = len(mean_a)
-    cross = (a.join(b, "word").groupBy("i", "j")
-             .agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect())
-    ma = np.array([mean_a[i] for i in range(dim)])
-    mb = np.array([mean_b[j] for j in range(len(mean_b))])
-    s = np.zeros((dim, len(mean_b)))
-    for r in cross:
-        s[r["i"], r["j"]] = r["s"]
-    cov = s / n - np.outer(ma, mb)
-    var_a = (a.groupBy().agg(F.sum(F.col("x") * F.col("x")).alias("q")).collect()[0]["q"] / n
-             - float(ma @ ma))
-    return ma, mb, cov, var_a, n
+    total = _moments(common_vocabulary(a, b))
+    dim, n = (len(total) - 1) // 2, total[0, 0]
+    ma, mb = total[0, 1:dim + 1] / n, total[0, dim + 1:] / n
+    gram = total[1:dim + 1, 1:dim + 1] / n - np.outer(ma, ma)
+    cross = total[1:dim + 1, dim + 1:] / n - np.outer(ma, mb)
+    m = np.linalg.lstsq(gram, cross, rcond=1e-12)[0].T
+    return {"rotation": m, "scale": 1.0, "shift": mb - m @ ma, "n": int(n)}
 
 
 def embedding_projection(a: DataFrame, b: DataFrame) -> dict:
@@ -243,12 +311,14 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int =
     its block, and a pandas function multiplies the two block matrices with
     numpy and emits only the pairs at or above the threshold.  All pairs are
     scored (inherent to the operator) but never materialised as rows, and no
-    group holds more than two blocks.  A sample that a gene lacks counts as the
-    gene's mean.
+    group holds more than two blocks.  A pair is correlated over the samples that
+    both genes have (a value is missing if its row or the value is); pairs with
+    fewer than two common samples, or without variance over them, have no edge.
     """
     import numpy as np
     import pandas as pd
 
+    expr = expr.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     stats = expr.groupBy(gene).agg(F.avg(value).alias("_mu"),
                                    F.sqrt(F.sum(F.col(value) * F.col(value))
                                           - F.count(F.lit(1)) * F.avg(value) * F.avg(value))
@@ -258,7 +328,7 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int =
     # One list of all samples, the length of every gene's row.
     samples = z.agg(F.collect_set(sample).alias("_all"))
     vec = with_scalars(z.groupBy(gene).agg(F.collect_list(F.struct(F.col(sample).alias("k"), "z")).alias("_s")), samples)
-    absent = F.transform(F.array_except("_all", F.col("_s.k")), lambda k: F.struct(k.alias("k"), F.lit(0.0).alias("z")))
+    absent = F.transform(F.array_except("_all", F.col("_s.k")), lambda k: F.struct(k.alias("k"), F.lit(None).cast("double").alias("z")))
     vec = vec.select(F.col(gene).alias("gene"),
                      F.transform(F.array_sort(F.concat("_s", absent)), lambda e: e["z"]).alias("u"))
     vec = materialize(vec)
@@ -274,15 +344,24 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int =
     rows = rows.select("gene", "u", "_b", F.col("_pair.i").alias("_i"), F.col("_pair.j").alias("_j"))
     cut = float(threshold)
 
+    def complete_pairs(x, y):
+        """Correlations of the rows of x and y over the columns both have."""
+        mx, my = np.isfinite(x), np.isfinite(y)
+        if mx.all() and my.all():
+            return x @ y.T                      # normalised rows
+        x, y, mx, my = np.where(mx, x, 0.0), np.where(my, y, 0.0), mx.astype(float), my.astype(float)
+        n, sx, sy = mx @ my.T, x @ my.T, mx @ y.T
+        vx, vy = n * ((x * x) @ my.T) - sx * sx, n * (mx @ (y * y).T) - sy * sy
+        sure = (n > 1) & (vx > 1e-12) & (vy > 1e-12)
+        return np.where(sure, (n * (x @ y.T) - sx * sy) / np.sqrt(np.where(sure, vx * vy, 1.0)), -np.inf)
+
     def block_pair(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
         left = pdf[pdf["_b"] == i]
         right = pdf[pdf["_b"] == j]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"gene_a": [], "gene_b": [], "correlation": []})
-        ua = np.vstack(left["u"].to_numpy())
-        ub = np.vstack(right["u"].to_numpy())
-        c = ua @ ub.T
+        c = complete_pairs(*(np.vstack(side["u"].to_numpy()).astype(float) for side in (left, right)))
         ga = left["gene"].to_numpy()
         gb = right["gene"].to_numpy()
         ia, ib = np.nonzero(c >= cut)

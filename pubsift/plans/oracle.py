@@ -39,6 +39,8 @@ where length(w) >= 7""",
 select symbol, cast(row_number() over (order by md5(symbol), symbol) as double) as rank,
        row_number() over (order by md5(symbol), symbol) as pos
 from (select distinct symbol from dictionary) t""",
+    "word_vectors": r"""
+select 'w' || cast(vec_id as varchar) as word, embedding as vector, label from embeddings""",
     "embedding_a": r"""
 select 'w' || cast(vec_id as varchar) as word, embedding as vector, label
 from embeddings where vec_id % 3 <> 0""",

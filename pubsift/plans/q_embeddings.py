@@ -43,6 +43,14 @@ sims as (
 )"""
 
 
+# One model: all vectors.
+SQL_ALL_SIMS = f"""
+sims as (
+  select t.word as target, e.word, {_cos_sql('t.vector', 'e.vector')} as similarity
+  from word_vectors e, (select * from word_vectors where word in {sql_in(TARGETS)}) t
+)"""
+
+
 @query("pairwise_similarity", oracle="select model, target, word, round(similarity, 6) as similarity from sims",
        ctes=SQL_SIMS)
 def q_pairwise_similarity(spark, sf_dir):
@@ -54,24 +62,24 @@ def q_pairwise_similarity(spark, sf_dir):
 @query("nearest_words", oracle=f"""
 select target, word, round(similarity, 6) as similarity, rank from (
   select *, row_number() over (partition by target order by similarity desc, word) as rank
-  from sims where model = 'a' and word <> target) s
-where rank <= {K}""", ctes=SQL_SIMS)
+  from sims where word <> target) s
+where rank <= {K}""", ctes=SQL_ALL_SIMS)
 def q_nearest_words(spark, sf_dir):
-    s = EM.pairwise_similarity(_targets(spark), T.embedding_a(spark, sf_dir))
+    s = EM.pairwise_similarity(_targets(spark), T.word_vectors(spark, sf_dir))
     return normalize(EM.nearest_words(s, K).select("target", "word", "similarity", "rank"))
 
 
 @query("analogy", oracle=f"""
 with q as (
   select list_transform(range(64), lambda i: (r.vector[i + 1] - m.vector[i + 1] + p.vector[i + 1])::double) as qv
-  from embedding_a r, embedding_a m, embedding_a p
+  from word_vectors r, word_vectors m, word_vectors p
   where r.word = 'w2' and m.word = 'w5' and p.word = 'w8'
 )
 select word, round({_cos_sql('q.qv', 'e.vector')}, 6) as similarity
-from embedding_a e, q where e.word not in ('w2', 'w5', 'w8')
+from word_vectors e, q where e.word not in ('w2', 'w5', 'w8')
 order by {_cos_sql('q.qv', 'e.vector')} desc, word limit {K}""")
 def q_analogy(spark, sf_dir):
-    return normalize(EM.analogy(T.embedding_a(spark, sf_dir), "w2", "w5", "w8", K))
+    return normalize(EM.analogy(T.word_vectors(spark, sf_dir), "w2", "w5", "w8", K))
 
 
 @query("common_vocabulary", oracle=f"""
@@ -83,17 +91,17 @@ def q_common_vocabulary(spark, sf_dir):
     return normalize(c.select("word", cosine("vector_a", "vector_b").alias("similarity")))
 
 
-@query("vocab_substring", oracle="select word from embedding_a where contains(lower(word), '12')")
+@query("vocab_substring", oracle="select word from word_vectors where contains(lower(word), '12')")
 def q_vocab_substring(spark, sf_dir):
-    return EM.vocab_substring(T.embedding_a(spark, sf_dir), "12")
+    return EM.vocab_substring(T.word_vectors(spark, sf_dir), "12")
 
 
 @query("top_dims_by_variance", oracle="""
 select dim, round(var_samp(x), 6) as variance from (
-  select unnest(range(len(vector))) as dim, unnest(vector)::double as x from embedding_a where label = 3) d
+  select unnest(range(len(vector))) as dim, unnest(vector)::double as x from word_vectors) d
 group by dim order by var_samp(x) desc, dim limit 2""")
 def q_top_dims(spark, sf_dir):
-    return normalize(EM.top_dims_by_variance(T.embedding_a(spark, sf_dir).where("label = 3")))
+    return normalize(EM.top_dims_by_variance(T.word_vectors(spark, sf_dir)))
 
 
 @query("rank_correlation", oracle="""
@@ -145,13 +153,21 @@ def q_fdr_adjust(spark, sf_dir):
 select word, round(similarity, 6) as similarity,
        round(case when similarity > 0 then 1 - similarity else 1 + similarity end, 6) as radius,
        round(2 * pi() * (row_number() over (order by similarity desc, word) - 1) / count(*) over (), 6) as angle
-from sims where model = 'a' and target = 'w2' and word <> 'w2'""", ctes=SQL_SIMS)
+from sims where target = 'w2' and word <> 'w2'""", ctes=SQL_ALL_SIMS)
 def q_gene_disease_map(spark, sf_dir):
-    s = EM.pairwise_similarity(_targets(spark).where("word = 'w2'"), T.embedding_a(spark, sf_dir))
+    s = EM.pairwise_similarity(_targets(spark).where("word = 'w2'"), T.word_vectors(spark, sf_dir))
     s = s.where("word <> 'w2'").select("word", "similarity")
     return normalize(EM.polar_layout(s, "similarity", [F.desc("similarity"), F.asc("word")]))
 
 
+@query("gene_disease_groups")
+def q_gene_disease_groups(spark, sf_dir):
+    """Every word as a gene, in the order of a bisecting k-means tree."""
+    v = T.word_vectors(spark, sf_dir)
+    genes = v.where("word <> 'w2'").select(F.upper("word").alias("gene"))
+    return normalize(EM.gene_disease_map(v, genes, "w2"))
+
+
 @query("correlation_edges", oracle=f"""
 with l as (select 'w' || cast(vec_id as varchar) as gene, unnest(range(len(embedding))) as sample,
                   unnest(embedding)::double as value from embeddings)
@@ -168,10 +184,10 @@ def q_correlation_edges(spark, sf_dir):
 
 @query("mean_vector_per_cluster", oracle="""
 select cast(label as bigint) as label, dim, round(avg(x), 6) as mean from (
-  select label, unnest(range(len(vector))) as dim, unnest(vector)::double as x from embedding_a) v
+  select label, unnest(range(len(vector))) as dim, unnest(vector)::double as x from word_vectors) v
 group by label, dim""")
 def q_mean_vector(spark, sf_dir):
-    a = T.embedding_a(spark, sf_dir)
+    a = T.word_vectors(spark, sf_dir)
     return normalize(EM.mean_vector_per_cluster(a.select("word", "vector"), a.select("word", "label")))
 
 
@@ -247,6 +263,14 @@ def q_embedding_projection(spark, sf_dir):
     return normalize(EM.projection_quality(proj.join(common, "word"), b, control))
 
 
+@query("embedding_projection_linear")
+def q_embedding_projection_linear(spark, sf_dir):
+    """The least-squares map a -> b: distances over the common words."""
+    a, b = T.embedding_a(spark, sf_dir), T.embedding_b(spark, sf_dir)
+    proj = EM.apply_projection(a.select("word", "vector"), EM.linear_projection(a, b))
+    return normalize(EM.projection_quality(proj, b))
+
+
 @query("kmeans_words")
 def q_kmeans_words(spark, sf_dir):
     _, labels = EM.kmeans_words(T.word_vectors(spark, sf_dir), k=N_MEANS)

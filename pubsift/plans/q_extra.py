@@ -14,7 +14,7 @@ from pubsift.operators import text as X
 from pubsift.plans.catalog import query
 from pubsift.plans.common import (ASSOC_PATTERN, SQL_SENTS, TOPIC_ALL, TOPIC_ANY, TOPIC_NONE,
                                   normalize, sql_str)
-from pubsift.plans.q_embeddings import SQL_SIMS, _targets
+from pubsift.plans.q_embeddings import SQL_ALL_SIMS, _targets
 from pubsift.plans.q_search import _joined_tokens_sql, _match_sql
 from pubsift.plans.q_text import SQL_STOKS
 from pubsift.session import scratch_path
@@ -184,9 +184,9 @@ def q_gene_token_guard(spark, sf_dir):
 select word, round(similarity, 6) as similarity,
        round(case when similarity > 0 then 1 - similarity else 1 + similarity end, 6) as radius,
        round(2 * pi() * (row_number() over (order by similarity desc, word) - 1) / count(*) over (), 6) as angle
-from sims where model = 'b' and target = 'w5'""", ctes=SQL_SIMS)
+from sims where target = 'w5'""", ctes=SQL_ALL_SIMS)
 def q_polar_layout(spark, sf_dir):
-    s = EM.pairwise_similarity(_targets(spark).where("word = 'w5'"), T.embedding_b(spark, sf_dir))
+    s = EM.pairwise_similarity(_targets(spark).where("word = 'w5'"), T.word_vectors(spark, sf_dir))
     return normalize(EM.polar_layout(s.select("word", "similarity"), "similarity",
                                      [F.desc("similarity"), F.asc("word")]))
 
@@ -201,9 +201,9 @@ def q_top_k(spark, sf_dir):
 @query("cosine", oracle="""
 select word, round(list_dot_product(vector::double[], list_reverse(vector)::double[])
                    / list_dot_product(vector::double[], vector::double[]), 6) as similarity
-from embedding_a""")
+from word_vectors""")
 def q_cosine(spark, sf_dir):
-    a = T.embedding_a(spark, sf_dir)
+    a = T.word_vectors(spark, sf_dir)
     return normalize(a.select("word", cosine("vector", F.reverse("vector")).alias("similarity")))
 
 

@@ -96,9 +96,9 @@ def q_read_article_json(spark, sf_dir):
 
 
 @query("read_word_vectors", oracle="""
-select word, unnest(range(len(vector))) as dim, round(unnest(vector)::double, 6) as value from embedding_a""")
+select word, unnest(range(len(vector))) as dim, round(unnest(vector)::double, 6) as value from word_vectors""")
 def q_read_word_vectors(spark, sf_dir):
-    a = T.embedding_a(spark, sf_dir)
+    a = T.word_vectors(spark, sf_dir)
     lines = a.select(F.concat_ws(" ", "word", F.array_join(
         F.transform("vector", lambda x: x.cast("string")), " ")).alias("value"))
     header = a.agg(F.concat_ws(" ", F.count(F.lit(1)).cast("string"), F.lit("64")).alias("value"))
