@@ -1,6 +1,7 @@
 """Row-wise operators against brute force: toxicity, quality, decontamination, licenses, HTML."""
 
 import collections
+import random
 import re
 
 import numpy as np
@@ -312,6 +313,80 @@ def test_template_of_long_flat_pages(sections):
         assert text == " ".join(f"Head {i} {k} {story(1000 * i + k, 8)}" for k in range(n))
 
 
+NAMES = ["entry-content has-sidebar", "post-content no-footer", "post comment-open", "article-body legal-text",
+         "main-col search-page", "story alert-level-2", "content", "no-ads", "social-science note", "sidebar", "x cookie-wall"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("pages", [1, 6])
+def test_class_names_never_take_the_only_text(name, pages):
+    page = ('<html><body><div class="site-nav">Home News</div><div class="wrap"><div class="{0}"><p>{1}</p><p>{2}</p></div></div>'
+            '<div class="share-buttons">Share it</div><div class="page-footer">All rights reserved</div></body></html>')
+    got = wrapper.extract([page.format(name, story(i), f"end {i}") for i in range(pages)])
+    assert got == [f"{story(i)} end {i}" for i in range(pages)]
+
+
+def test_names_of_boilerplate_are_left_out():
+    page = ("<html><body><article><p>{0}</p>" + "".join(
+        f'<div class="{c}">{c} {{1}}</div>' for c in (
+            "ad", "ad-slot", "cookie-banner", "site-footer", "comment-list", "related-posts", "share-buttons", "social",
+            "post-comments", "newsletter-signup", "notice", "left sidebar", "entry-footer"))
+        + '<div id="comments">Reader {1}</div><div role="search">Find {1}</div></article></body></html>')
+    got = wrapper.extract([page.format(story(i), f"varies {i}") for i in range(5)])
+    assert got == [story(i) for i in range(5)]
+
+
+def test_parts_of_an_article_stay():
+    page = ('<html><body><header><p>Site of sites {2}</p></header><article><header><h1>Head {2}</h1><p>Standfirst {2}</p></header>'
+            '<p>{0}</p><figure><img src=x><figcaption>Caption {2}</figcaption></figure>'
+            '<section id="legal"><h2>Law {2}</h2><p>{1}</p></section><p class="note social-science">Note {2}</p></article></body></html>')
+    got = wrapper.extract([page.format(story(i), story(50 + i, 9), i) for i in range(5)])
+    assert got == [f"Head {i} Standfirst {i} {story(i)} Caption {i} Law {i} {story(50 + i, 9)} Note {i}" for i in range(5)]
+
+
+def matched(a, b):
+    """The size of a largest order-preserving match of two trees, tried out."""
+    if a.sign != b.sign:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), matched(x[0], y[0]) + best(x[1:], y[1:]))
+
+    return 1 + best(a.kids, b.kids)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_alignment_against_all_matches(seed):
+    rng = random.Random(seed)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rng.randrange(4))) if depth else ""
+        return f'<{rng.choice(["div", "section"])} class="{rng.choice("ab")}">{kids}</{"div"}>' if depth < 2 else \
+            f"<div>{kids}</div>"
+
+    a, b = (wrapper.Fold(("#root", ""), [wrapper.parse(tree(2))]) for _ in range(2))
+    size, pairs = wrapper.align(a, b)
+    assert size == len(pairs) == matched(a, b)
+    assert all(p.sign == q.sign for p, q in pairs)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 17])
+def test_blocks_depend_on_the_table_alone(spark, rows, partitions):
+    page = "<html><body><div>{2}</div><div><p>{0}</p><p>{1}</p></div></body></html>"
+    data = [(i, f"http://{'hot' if i % 4 else 'cold'}.example/{i}", page.format(story(i % 90), f"end {i % 7}", f"Notice {i % 5}"))
+            for i in range(260)]
+    frame = rows(data, "page_id long, url string, html string").repartition(partitions)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(2 * partitions))
+    try:
+        got = sorted(map(tuple, wrapper.main_texts(frame).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted(map(tuple, wrapper.main_texts(rows(data, "page_id long, url string, html string")).collect()))
+
+
 def test_broken_pages():
     odd = [None, "", "plain text & more", "<p>a<p>b", "<article><p>cut of", "<<>>< x", "<!-- never closed <p>a</p>",
            "<script>no end", "<div>" * 3000 + "deep", "</p></div>stray", "<p a='>'>quoted", "<br/><p>x<br/>y"]
