@@ -3,18 +3,25 @@
 DataFrame functions only.  The graph links documents of equal text.  Law
 ``rows``: shard sizes in rows differ by one at most.
 
-1. Every linked document starts in a shard drawn from a hash of its row.
-2. Each round joins documents with their group's label: the open shard in which
-   most of the group's free documents are now.  The documents move there, under
-   the quota that shard has left, small groups first, so a full shard cuts one
-   group.  Documents that found room are settled; a shard without room closes.
-   As every round settles all free documents or closes a shard, there are at
-   most as many rounds as shards.
-3. Documents without links, which cut no edge, fill the shards up.
+1. Every linked document starts in a shard drawn from a hash of its row and votes
+   for it.  The label of a group is the shard with most votes that has room for
+   the whole group; its documents move there together, under the quota that the
+   shard has left, large groups first.
+2. Groups that found no room vote again: each takes an open shard with room for
+   all of it, drawn by the room left.  Rounds go on until all groups of a phase
+   are settled; phases go from groups of more than a quarter of a shard, to those
+   of more than a 64th, to the rest, so that small groups fill what large ones
+   leave.
+3. A group is cut only if no shard has room for it whole.  It then fills the
+   shard with most room and the rest goes on as a smaller group.  As its rows are
+   more than any room left, fewer groups than shards can be in that state, and a
+   cut fills a shard: there are at most as many cuts as shards.
+4. Documents without links, which cut no edge, fill the shards up.
 
 A group that holds a third of all rows is never gathered: labels come from
 counts per (group, shard), and positions from counts per hash bucket plus a
-row number inside one bucket.  Only one row per shard reaches the driver.
+row number inside one bucket.  The driver sees one row per shard, and the groups
+that must be cut.
 
 Cases: null texts are equal to each other (size 1); repeated rows are documents
 of their own; an empty table gives no rows; other columns are not read.
@@ -29,9 +36,8 @@ from pubsift.llm.common import Workspace, as_bytes
 
 N_SHARDS = 8
 ROWS_PER_BUCKET = 20_000
-SIZE_CLASSES = 40           # log2 of a group's size
-GROUP_BUCKETS = 1 << 10
-ROW_BUCKETS = 1 << 12
+GROUPS_PER_BUCKET = 2_000
+PHASES = (1 / 4, 1 / 64, 0)     # groups of more than this share of a shard
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -65,72 +71,112 @@ def _pick(values: dict[int, object], key: Column, other) -> Column:
     return out
 
 
-def _boundaries(cand: DataFrame, level: str, room: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """For each shard with more candidates than room: the first ``level`` bucket that
-    does not fit whole, and the rows before it."""
-    before = Window.partitionBy("target").orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-    # A fixed number of buckets, however many rows there are.
-    sums = (cand.groupBy("target", level).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    over = sums.where(F.col("before") + F.col("n") > _pick(room, F.col("target"), 0))
-    rows = over.groupBy("target").agg(F.min(F.struct(level, "before")).alias("x")).collect()
-    return {r["target"]: (r["x"][0], r["x"][1]) for r in rows}
-
-
-def _admit(cand: DataFrame, room: dict[int, int]) -> DataFrame:
-    """Candidates with ``won``: exactly ``min(room, candidates)`` of each target."""
-    t = F.col("target")
-    first = _boundaries(cand, "gb", room)
-    if not first:
-        return cand.withColumn("won", F.lit(True))
-    never = 1 << 62
-    gb = _pick({k: v[0] for k, v in first.items()}, t, never)
-    second = _boundaries(cand.where(F.col("gb") == gb), "rb", {k: room[k] - v[1] for k, v in first.items()})
-    rb = _pick({k: v[0] for k, v in second.items()}, t, never)
-    left = _pick({k: room[k] - first[k][1] - second[k][1] for k in second}, t, 0)
-    # One bucket of a bucket is ranked for each shard: few rows.
-    edge = (F.col("gb") == gb) & (F.col("rb") == rb)
-    inside = (F.col("gb") < gb) | ((F.col("gb") == gb) & (F.col("rb") < rb))
-    rank = F.row_number().over(Window.partitionBy("target").orderBy("rid"))
-    ranked = cand.where(edge).withColumn("won", rank <= left)
-    return cand.where(~edge).withColumn("won", inside).unionByName(ranked)
-
-
-def propagate(linked: DataFrame, capacity: dict[int, int], ws: Workspace) -> tuple[DataFrame, dict[int, int]]:
-    """Settle the linked documents ``(rid, grp, n_grp)``: ``(rid, shard)``, and the room left."""
-    room, shards = dict(capacity), sorted(capacity)
-    free = linked.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(len(shards))).cast("int"))
-    free = ws.put(free, "free0")
-    settled, level = None, 0
-    while True:
-        is_open = [s for s in shards if room[s] > 0]
-        if not is_open:
-            break
-        # Documents in a closed shard vote for an open one, by their group's hash.
-        vote = F.when(F.col("shard").isin(is_open), F.col("shard")).otherwise(
-            F.element_at(F.array(*[F.lit(s) for s in is_open]),
-                         (F.pmod(F.xxhash64("grp"), F.lit(len(is_open))) + 1).cast("int")))
-        labels = (free.groupBy("grp", vote.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-                  .groupBy("grp").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("target")))
-        labels = ws.put(labels, f"labels{level}")
-        size_class = F.least(F.floor(F.log2(F.col("n_grp"))), F.lit(SIZE_CLASSES - 1))
-        cand = (free.join(labels, "grp")
-                .withColumn("gb", (size_class * GROUP_BUCKETS + F.pmod(F.xxhash64("grp"), F.lit(GROUP_BUCKETS))).cast("long"))
-                .withColumn("rb", F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(ROW_BUCKETS))))
-        cand = ws.put(cand, f"cand{level}")
-        judged = ws.put(_admit(cand, room), f"judged{level}")
-        won = judged.where("won")
-        free = judged.where(~F.col("won")).select(*linked.columns, "shard")
-        won = won.select("rid", F.col("target").cast("int").alias("shard"))
-        settled = won if settled is None else settled.unionByName(won)
-        for r in won.groupBy("shard").count().collect():
-            room[r["shard"]] -= r["count"]
-        level += 1
-        if free.isEmpty():
-            break
+def _eligible(room: dict[int, int]) -> Column:
+    """Shards with room for a whole group of ``n``: ``(s, r)``."""
+    rooms = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(r).cast("long").alias("r")) for s, r in sorted(room.items())])
+    return F.filter(rooms, lambda x: x["r"] >= F.col("n"))
+
+
+def _drawn(eligible: Column, salt: int) -> Column:
+    """One of the eligible shards, drawn by a hash with the room as weight."""
+    total = F.aggregate(eligible, F.lit(0).cast("long"), lambda a, x: a + x["r"])
+    start = F.struct(F.pmod(F.xxhash64("grp", F.lit(salt)), total).alias("left"), F.lit(-1).alias("s"))
+    return F.aggregate(eligible, start, lambda a, x: F.when(a["left"] < 0, a).otherwise(F.struct(
+        (a["left"] - x["r"]).alias("left"), x["s"].alias("s"))))["s"]
+
+
+def _admit(cand: DataFrame, room: dict[int, int], buckets: int) -> DataFrame:
+    """Groups ``(grp, n, target)`` with ``won``: from the largest size class on, those
+    that fit one after the other.  Only the bucket where a shard fills up is
+    ranked group by group."""
+    level = (-F.floor(F.log2("n")) * buckets + F.pmod(F.xxhash64("grp"), F.lit(buckets))).cast("long")
+    cand = cand.withColumn("_l", level)
+    before = Window.partitionBy("target").orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per size class and bucket.
+    sums = (cand.groupBy("target", "_l").agg(F.sum("n").alias("_n"))
+            .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    limit = _pick(room, F.col("target"), 0)
+    first = sums.where(F.col("_before") + F.col("_n") > limit).groupBy("target").agg(
+        F.min(F.struct("_l", "_before")).alias("x")).collect()          # one row a shard
+    edge = _pick({r["target"]: r["x"][0] for r in first}, F.col("target"), 1 << 62)
+    taken = _pick({r["target"]: r["x"][1] for r in first}, F.col("target"), 0)
+    running = Window.partitionBy("target").orderBy(F.desc("n"), "grp").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cand.where(F.col("_l") == edge).withColumn("won", F.sum("n").over(running) + taken <= limit)
+    return cand.where(F.col("_l") != edge).withColumn("won", F.col("_l") < edge).unionByName(ranked).drop("_l")
+
+
+class Cuts:
+    """Groups that no shard has room for: which of their documents go where."""
+
+    def __init__(self) -> None:
+        self.ranges: dict[bytes, list[tuple[int, int, int]]] = {}
+
+    def cut(self, grp: bytes, n: int, room: dict[int, int]) -> int:
+        """Fill shards with documents of the group until the rest fits one; its size."""
+        ranges = self.ranges.setdefault(grp, [])
+        while n > max(room.values()):
+            shard = max(room, key=lambda s: (room[s], -s))
+            start = ranges[-1][1] if ranges else 0
+            ranges.append((start, start + room[shard], shard))
+            n, room[shard] = n - room[shard], 0
+        return n
+
+
+def settle_groups(votes: DataFrame, capacity: dict[int, int], ws: Workspace) -> tuple[DataFrame, Cuts, dict[int, int]]:
+    """Groups ``(grp, n, votes)`` to shards: ``(grp, shard)``, the cuts, the room left."""
+    room, cuts, settled, step = dict(capacity), Cuts(), None, 0
+    per_shard, above = max(capacity.values()), None
+    for share in PHASES:
+        low = int(share * per_shard)
+        active = votes.where((F.col("n") > low) & (F.col("n") <= above if above is not None else F.lit(True)))
+        above, fresh = low, True
+        while True:
+            n_active, largest = active.agg(F.count(F.lit(1)), F.max("n")).first()
+            if not n_active:
+                break
+            while largest > max(room.values()):
+                # Fewer than the shards: each is larger than any room, and all together have room.
+                for r in active.where(F.col("n") > max(room.values())).orderBy(F.desc("n"), "grp").collect():
+                    left = cuts.cut(bytes(r["grp"]), r["n"], room)
+                    mine = F.col("grp") == F.lit(bytearray(r["grp"]))
+                    active = active.withColumn("n", F.when(mine, F.lit(left)).otherwise(F.col("n")).cast("long"))
+                largest = active.agg(F.max("n")).first()[0]
+            fits = _eligible(room)
+            liked = F.filter("votes", lambda v: F.exists(fits, lambda x: x["s"] == v["s"]))
+            drawn = _drawn(fits, step)
+            target = F.coalesce(F.get(liked, F.lit(0))["s"], drawn) if fresh else drawn
+            cand = ws.put(active.withColumn("target", target), f"cand{step}")
+            judged = ws.put(_admit(cand, room, max(1, n_active // GROUPS_PER_BUCKET)), f"judged{step}")
+            for r in judged.where("won").groupBy("target").agg(F.sum("n").alias("n")).collect():
+                room[r["target"]] -= r["n"]
+            won = judged.where("won").select("grp", F.col("target").cast("int").alias("shard"))
+            settled = won if settled is None else settled.unionByName(won)
+            active, fresh, step = judged.where(~F.col("won")).select(*votes.columns), False, step + 1
     if settled is None:
-        settled = linked.select("rid", F.lit(0).alias("shard")).where(F.lit(False))
-    return settled, room
+        settled = votes.select("grp", F.lit(0).alias("shard")).where(F.lit(False))
+    return settled, cuts, room
+
+
+def propagate(linked: DataFrame, capacity: dict[int, int], ws: Workspace,
+              buckets: int = 16) -> tuple[DataFrame, dict[int, int]]:
+    """Settle the linked documents ``(rid, grp)``: ``(rid, shard)``, and the room left."""
+    shards = sorted(capacity)
+    at = F.element_at(F.array(*map(F.lit, shards)), (F.pmod(F.xxhash64("rid"), F.lit(len(shards))) + 1).cast("int"))
+    votes = linked.groupBy("grp", at.alias("s")).agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(
+        F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("c", "s")), asc=False).alias("votes"))  # one a shard
+    placed, cuts, room = settle_groups(ws.put(votes, "votes"), capacity, ws)
+    placed = ws.put(placed, "placed_groups")
+    if not cuts.ranges:
+        return linked.join(placed, "grp").select("rid", "shard"), room
+    is_cut = F.col("grp").isin([F.lit(bytearray(g)) for g in cuts.ranges])
+    parts = positions(linked.where(is_cut), ["grp"], buckets, salt=103).join(placed, "grp", "left")
+    shard = F.col("shard")                      # the rest follows its group
+    for grp, ranges in cuts.ranges.items():
+        for start, end, s in ranges:
+            shard = F.when((F.col("grp") == F.lit(bytearray(grp))) & F.col("_pos").between(start, end - 1),
+                           F.lit(s)).otherwise(shard)
+    whole = linked.where(~is_cut).join(placed, "grp").select("rid", "shard")
+    return whole.unionByName(parts.select("rid", shard.cast("int").alias("shard"))), room
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, n_shards: int = N_SHARDS,
@@ -144,8 +190,8 @@ def assign_shards(spark: SparkSession, docs: DataFrame, n_shards: int = N_SHARDS
     # Written, so that both sides of the join are plain exchanges, which adaptive
     # execution may split at a hot group.
     groups = ws.put(base.groupBy("grp").agg(F.count(F.lit(1)).alias("n_grp")).where("n_grp > 1"), "groups")
-    linked = base.select("rid", "grp").join(groups, "grp").select("rid", "grp", "n_grp")
-    settled, room = propagate(linked, capacity, ws)
+    linked = ws.put(base.select("rid", "grp").join(groups.select("grp"), "grp"), "linked")
+    settled, room = propagate(linked, capacity, ws, buckets)
     settled = ws.put(settled, "settled")
     # Whatever is not settled fills the room left, shard after shard.
     loose = positions(base.select("rid").join(settled, "rid", "left_anti"), [], buckets, salt=101)

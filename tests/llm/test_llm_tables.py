@@ -272,9 +272,57 @@ def test_sharding(spark, rows, kind):
     where = collections.defaultdict(set)
     for g in got:
         where[(text[g["doc_id"]] or "")].add(g["shard"])
-    if kind == "mixed":         # 700 rows beside 75 of other groups in shards of 226; a full shard cuts one group
-        assert len(where["hot text"]) <= 5
-        assert sum(len(v) > 1 for k, v in where.items() if k != "hot text") <= 4
+    if kind == "mixed":         # 700 rows in shards of 226, the others of at most 3
+        assert len(where["hot text"]) == 4
+        assert all(len(v) == 1 for k, v in where.items() if k != "hot text")
+
+
+def cut_groups(got, text):
+    where = collections.defaultdict(set)
+    for g in got:
+        where[text[g["doc_id"]]].add(g["shard"])
+    return sum(len(v) - 1 for v in where.values())
+
+
+@pytest.mark.parametrize("kind", ["eight of sixty", "pairs", "large and small"])
+def test_groups_that_fit_stay_whole(spark, rows, kind):
+    texts = {"eight of sixty": [f"g{i % 8}" for i in range(480)] + [f"s{i}" for i in range(320)],
+             "pairs": [f"p{i // 2}" for i in range(40_000)],
+             "large and small": [f"l{i % 7}" for i in range(630)] + [f"m{i // 9}" for i in range(270)] + [
+                 f"q{i // 3}" for i in range(300)]}[kind]
+    text = dict(enumerate(texts))
+    got = sharding.assign_shards(spark, rows(list(text.items()), "doc_id long, text string")).collect()
+    sizes = collections.Counter(g["shard"] for g in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert cut_groups(got, text) == 0
+
+
+def fewest_cuts(groups, room):
+    """Over all ways to place the groups; a cut group fills the shards it spans but one."""
+    if not groups:
+        return 0
+    n, best = groups[0], len(room) * 9
+    for s, r in enumerate(room):
+        if r:
+            rest = room[:s] + [r - min(n, r)] + room[s + 1:]
+            more = groups[1:] if n <= r else [n - r, *groups[1:]]
+            best = min(best, (n > r) + fewest_cuts(more, rest))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cuts_against_all_placements(spark, rows, seed):
+    rng = random.Random(seed)
+    groups = sorted((rng.randint(2, 30) for _ in range(6)), reverse=True)
+    texts = [f"g{i}" for i, n in enumerate(groups) for _ in range(n)] + [f"s{i}" for i in range(rng.randint(0, 12))]
+    rng.shuffle(texts)
+    text = dict(enumerate(texts))
+    got = sharding.assign_shards(spark, rows(list(text.items()), "doc_id long, text string"), n_shards=3).collect()
+    sizes = collections.Counter(g["shard"] for g in got)
+    room = [len(texts) // 3 + (s < len(texts) % 3) for s in range(3)]
+    assert sorted(sizes.values()) == sorted(r for r in room if r)
+    # Placing groups is bin packing: large first costs at most one cut more than the best.
+    assert cut_groups(got, text) <= fewest_cuts(groups, room) + 1
 
 
 def test_sharding_cases(spark, rows):
