@@ -227,6 +227,8 @@ def anova_f(bow: DataFrame, ys: DataFrame, label: str = "meshid", id_col: str =
 
 
 def _f_of_sums(x: DataFrame, label: str) -> DataFrame:
+    """F from the sums of both classes; null for a label with one class."""
+    x = x.withColumn("n0", F.nullif("n0", F.lit(0))).withColumn("n1", F.nullif("n1", F.lit(0)))
     n = F.col("n0") + F.col("n1")
     grand = (F.col("s0") + F.col("s1")) / n
     ssb = (F.col("n1") * F.pow(F.col("s1") / F.col("n1") - grand, 2)

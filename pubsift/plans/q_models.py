@@ -263,6 +263,28 @@ def q_corpus_workflow(spark, sf_dir):
         "corpus", "n_docs", "n_features", "total_weight", F.col("_t.meshid").alias("top_label")))
 
 
+WORKFLOW_GRID = [LN.Setting("logistic", reg) for reg in (1e-4, 1e-2, 1.0)]
+
+
+@query("corpus_workflow_models")
+def q_corpus_workflow_models(spark, sf_dir):
+    """The other stages of the workflow, per corpus (source): the search over all
+    (label, setting, fold) models of the corpus's five top labels, its mean score,
+    accuracy and F1 of the chosen models on the test documents, word vectors."""
+    from pubsift.operators import workflow as W
+
+    arts = T.articles(spark, sf_dir).withColumn("corpus", F.col("source"))
+    toks = materialize(X.sentence_token_table(arts).join(arts.select("pmid", "corpus"), "pmid"))
+    split = materialize(C.train_test_split(arts.select("pmid"), 0.25, SEED))
+    ys = W.corpus_labels(arts.select("corpus", "pmid"), T.mesh(spark, sf_dir))
+    models = W.corpus_models(X.bag_of_words(toks), ys, split, WORKFLOW_GRID, K_FEATURES)
+    per = models.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_labels"), F.avg("score").alias("score"),
+                                       F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("f1"))
+    vectors = W.corpus_vectors(toks, ["pmid", "sent_pos"], num_partitions=4, max_iter=4)
+    words = vectors.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_vectors"))
+    return normalize(per.join(words, "corpus", "left"))
+
+
 # --------------------------------------------------------------- grid results
 _FITS_SQL = """
 with pts as (
