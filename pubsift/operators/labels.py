@@ -220,12 +220,43 @@ def anova_f(bow: DataFrame, ys: DataFrame, label: str = "meshid", id_col: str =
     pos = (bow.join(ys.where(F.col("y") == 1).select(id_col, label), id_col)
            .groupBy(label, "token").agg(F.sum("n").cast("double").alias("s1"),
                                         F.sum(F.col("n") * F.col("n")).cast("double").alias("q1")))
+    return _f_of_totals(totals, pos, per_label, label)
+
+
+def _f_of_totals(totals: DataFrame, pos: DataFrame, per_label: DataFrame, label: str) -> DataFrame:
     x = (expand_small(totals, per_label).join(pos, [label, "token"], "left")
          .withColumn("s1", F.coalesce("s1", F.lit(0.0))).withColumn("q1", F.coalesce("q1", F.lit(0.0)))
          .withColumn("s0", F.col("_S") - F.col("s1")).withColumn("q0", F.col("_Q") - F.col("q1")))
     return _f_of_sums(x, label)
 
 
+def labelled_bag(docs: DataFrame, labels: DataFrame, top: DataFrame, split: DataFrame, text=("title", "content"),
+                 label: str = "meshid", id_col: str = ID) -> DataFrame:
+    """(id, split, labels, token, n): a bag of words whose rows carry the document's
+    split and its top labels.  Both are joined to the documents before the text is
+    cut into tokens, so later steps filter and count without joining tokens; the
+    grouping by (id, token) needs no second shuffle after the join on the id."""
+    from pubsift.functions.text import tokenize
+
+    marks = labels.join(top.select(label), label, "left_semi").groupBy(id_col).agg(
+        F.array_sort(F.collect_set(label)).alias("labels"))
+    about = split.select(id_col, "split").join(marks, id_col, "left").select(
+        id_col, "split", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+    return (docs.join(about, id_col)
+            .select(id_col, "split", "labels", F.explode(tokenize(F.concat_ws(" ", *text))).alias("token"))
+            .groupBy(id_col, "token", "split", "labels").agg(F.count(F.lit(1)).alias("n")))
+
+
+def anova_f_labelled(bag: DataFrame, per_label: DataFrame, label: str = "meshid") -> DataFrame:
+    """:func:`anova_f` of the rows of a :func:`labelled_bag`; ``per_label(label, n1,
+    n0)`` counts its documents.  No join with the bag."""
+    n = F.col("n").cast("double")
+    totals = bag.groupBy("token").agg(F.sum(n).alias("_S"), F.sum(n * n).alias("_Q"))
+    pos = (bag.select(F.explode("labels").alias(label), "token", "n").groupBy(label, "token")
+           .agg(F.sum(n).alias("s1"), F.sum(n * n).alias("q1")))
+    return _f_of_totals(totals, pos, per_label, label)
+
+
 def _f_of_sums(x: DataFrame, label: str) -> DataFrame:
     """F from the sums of both classes; null for a label with one class."""
     x = x.withColumn("n0", F.nullif("n0", F.lit(0))).withColumn("n1", F.nullif("n1", F.lit(0)))

@@ -53,15 +53,15 @@ def _per_label(spark, sf_dir, factory, num_features=N_FEATURES):
 def _linear_rows(spark, sf_dir):
     """One row per document and top label, with the counts of the label's own
     ``K_FEATURES`` best tokens of the training documents."""
-    arts = T.articles(spark, sf_dir)
-    ys = materialize(L.class_rows(L.label_matrix(arts, T.mesh(spark, sf_dir),
-                                                 L.top_labels(T.mesh(spark, sf_dir), K_LABELS))))
-    bow = materialize(X.bag_of_words(X.sentence_token_table(arts)))
+    arts, mesh = T.articles(spark, sf_dir), T.mesh(spark, sf_dir)
+    top = materialize(L.top_labels(mesh, K_LABELS))
+    ys = materialize(L.class_rows(L.label_matrix(arts, mesh, top)))
     split = materialize(C.train_test_split(arts.select("pmid"), 0.25, SEED))
-    train = split.where("split = 'train'").select("pmid")
-    best = L.select_k_best(L.anova_f(bow.join(train, "pmid", "left_semi"), ys.join(train, "pmid", "left_semi")),
-                           K_FEATURES)
-    return materialize(LN.label_rows(bow, ys, best, split))
+    bag = materialize(L.labelled_bag(arts, mesh, top, split))
+    per_label = ys.join(split.where("split = 'train'").select("pmid"), "pmid", "left_semi").groupBy("meshid").agg(
+        F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+    best = materialize(L.select_k_best(L.anova_f_labelled(bag.where("split = 'train'"), per_label), K_FEATURES))
+    return materialize(LN.label_rows(bag.select("pmid", "token", "n"), ys, best, split))
 
 
 def _linear_metrics(spark, sf_dir, setting):
