@@ -247,14 +247,13 @@ def labelled_bag(docs: DataFrame, labels: DataFrame, top: DataFrame, split: Data
             .groupBy(id_col, "token", "split", "labels").agg(F.count(F.lit(1)).alias("n")))
 
 
-def anova_f_labelled(bag: DataFrame, per_label: DataFrame, label: str = "meshid") -> DataFrame:
-    """:func:`anova_f` of the rows of a :func:`labelled_bag`; ``per_label(label, n1,
-    n0)`` counts its documents.  No join with the bag."""
+def labelled_sums(bag: DataFrame, label: str = "meshid") -> tuple[DataFrame, DataFrame]:
+    """The sums that :func:`best_features` takes, from rows of a :func:`labelled_bag`."""
     n = F.col("n").cast("double")
     totals = bag.groupBy("token").agg(F.sum(n).alias("_S"), F.sum(n * n).alias("_Q"))
     pos = (bag.select(F.explode("labels").alias(label), "token", "n").groupBy(label, "token")
            .agg(F.sum(n).alias("s1"), F.sum(n * n).alias("q1")))
-    return _f_of_totals(totals, pos, per_label, label)
+    return totals, pos
 
 
 def _f_of_sums(x: DataFrame, label: str) -> DataFrame:
@@ -279,6 +278,37 @@ def select_k_best(scores: DataFrame, k: int = 100, label: str = "meshid") -> Dat
                            "token").drop("rank")
 
 
+DENSE = 1 << 20             # beyond so many tokens the whole vocabulary is scored
+
+
+def best_features(totals: DataFrame, pos: DataFrame, per_label: DataFrame, k: int = 100, label: str = "meshid",
+                  depth: int = 4096) -> DataFrame:
+    """Top k features per label by F, as :func:`select_k_best` of :func:`anova_f`, without
+    the vocabulary x labels grid.  ``totals(token, _S, _Q)`` sums counts and squares over
+    all documents, ``pos(label, token, s1, q1)`` over a label's positive ones.
+
+    Tokens that a label's positive documents hold are scored directly.  For all others F
+    rises with S * S / Q, whatever the label, so a label's best of them are the first of
+    one common order that it does not hold: the first ``depth`` tokens are scored for
+    every label, and more where some label finds fewer than k."""
+    totals, pos, per_label = materialize(totals), materialize(pos), materialize(per_label)
+    n_labels, two = per_label.agg(F.count(F.lit(1)), F.count_if((F.col("n0") > 0) & (F.col("n1") > 0))).first()
+    held = (pos.join(totals, "token").join(per_label, label).withColumn("s0", F.col("_S") - F.col("s1"))
+            .withColumn("q0", F.col("_Q") - F.col("q1")))
+    best = select_k_best(_f_of_sums(held, label), k, label)
+    if two < n_labels:          # no order between tokens: all tie
+        depth = DENSE
+    while True:
+        order = [F.desc(F.col("_S") * F.col("_S") / F.col("_Q")), F.asc("token")]
+        some = totals if depth >= DENSE else totals.orderBy(*order).limit(depth)
+        others = (expand_small(some, per_label).join(pos.select(label, "token"), [label, "token"], "left_anti")
+                  .select("*", F.lit(0.0).alias("s1"), F.lit(0.0).alias("q1"), F.col("_S").alias("s0"), F.col("_Q").alias("q0")))
+        rest = materialize(select_k_best(_f_of_sums(others, label), k, label))
+        if depth >= DENSE or rest.where("f is not null").groupBy(label).count().where(F.col("count") >= k).count() == n_labels:
+            return select_k_best(best.unionByName(rest), k, label)
+        depth *= 8
+
+
 def rebalance_undersample(ys: DataFrame, seed: str = "42", label: str = "meshid",
                           id_col: str = ID) -> DataFrame:
     """Equal class sizes per label: the majority keeps its first

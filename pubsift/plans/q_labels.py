@@ -10,6 +10,7 @@ from pubsift.operators import text as X
 from pubsift.plans.catalog import query
 from pubsift.plans.common import normalize
 from pubsift.plans.q_text import SQL_STOKS
+from pubsift.session import materialize
 from pubsift.sources import tables as T
 
 SEED = "42"
@@ -177,8 +178,10 @@ select meshid, token, round(f, 6) as f from (
 where r <= {K_FEATURES}""", ctes=SQL_LABELS)
 def q_select_k_best(spark, sf_dir):
     arts, mesh, top, ys = _setup(spark, sf_dir)
-    bow = X.bag_of_words(X.sentence_token_table(arts))
-    return normalize(L.select_k_best(L.anova_f(bow, ys), K_FEATURES))
+    whole = arts.select("pmid", F.lit("all").alias("split")).distinct()
+    bag = materialize(L.labelled_bag(arts, mesh, top, whole))
+    per_label = ys.groupBy("meshid").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+    return normalize(L.best_features(*L.labelled_sums(bag), per_label, K_FEATURES))
 
 
 @query("rebalance_undersample", oracle=f"""

@@ -60,7 +60,7 @@ def _linear_rows(spark, sf_dir):
     bag = materialize(L.labelled_bag(arts, mesh, top, split))
     per_label = ys.join(split.where("split = 'train'").select("pmid"), "pmid", "left_semi").groupBy("meshid").agg(
         F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
-    best = materialize(L.select_k_best(L.anova_f_labelled(bag.where("split = 'train'"), per_label), K_FEATURES))
+    best = materialize(L.best_features(*L.labelled_sums(bag.where("split = 'train'")), per_label, K_FEATURES))
     return materialize(LN.label_rows(bag.select("pmid", "token", "n"), ys, best, split))
 
 

@@ -20,7 +20,24 @@ def test_scores_equal_those_of_the_joined_bag(spark):
     assert {(r.pmid, r.token): r.n for r in bag.collect()} == {(r.pmid, r.token): r.n for r in bow.collect()}
     ys_tr = ys.join(train, "pmid", "left_semi")
     per_label = ys_tr.groupBy("meshid").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
-    a = {(r.meshid, r.token): r.f for r in L.anova_f_labelled(bag.where("split = 'train'"), per_label).collect()}
-    b = {(r.meshid, r.token): r.f for r in L.anova_f(bow.join(train, "pmid", "left_semi"), ys_tr).collect()}
-    assert a.keys() == b.keys()
-    assert all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) <= 1e-9 * (1 + abs(b[k]))) for k in a)
+    scores = L.anova_f(bow.join(train, "pmid", "left_semi"), ys_tr)
+    sums = [df.persist() for df in L.labelled_sums(bag.where("split = 'train'"))]
+    for k, depth in ((5, 4096), (40, 8), (40, 1 << 20)):        # a list too short for a label is made longer
+        expect = {(r.meshid, r.token): r.f for r in L.select_k_best(scores, k).collect()}
+        got = {(r.meshid, r.token): r.f for r in L.best_features(*sums, per_label, k, depth=depth).collect()}
+        assert got.keys() == expect.keys()
+        assert all(abs(got[x] - expect[x]) <= 1e-9 * abs(expect[x]) for x in got)
+
+
+def test_labels_of_one_class_and_few_tokens(spark):
+    rows = [(1, "x", 2), (1, "y", 1), (2, "x", 1), (3, "z", 4), (4, "z", 1), (4, "x", 1)]
+    bow = spark.createDataFrame(rows, "pmid long, token string, n long")
+    ys = spark.createDataFrame([(i, m, int(m == "all" or i in (1, 2))) for i in range(1, 6) for m in ("all", "half")],
+                               "pmid long, meshid string, y int")
+    per_label = ys.groupBy("meshid").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+    totals = bow.groupBy("token").agg(F.sum(F.col("n") * 1.0).alias("_S"), F.sum(F.col("n") * F.col("n") * 1.0).alias("_Q"))
+    pos = bow.join(ys.where("y = 1"), "pmid").groupBy("meshid", "token").agg(
+        F.sum(F.col("n") * 1.0).alias("s1"), F.sum(F.col("n") * F.col("n") * 1.0).alias("q1"))
+    for k in (1, 2, 9):
+        expect = sorted(map(tuple, L.select_k_best(L.anova_f(bow, ys), k).collect()), key=repr)
+        assert sorted(map(tuple, L.best_features(totals, pos, per_label, k).collect()), key=repr) == expect
