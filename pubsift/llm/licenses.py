@@ -17,6 +17,8 @@ id is kept; extra columns are not read.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,34 @@ PASSAGES = {
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
+# Further parts of public notices, several of a label.
+NOTICES = [
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial "
+            "portions of the Software"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+               "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+               "implied. See the License for the specific language governing permissions and limitations under the "
+               "License."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+            "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+            "License for more details."),
+    ("lgpl", "terms of the GNU Lesser General Public License"),
+    ("agpl", "terms of the GNU Affero General Public License"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+            "following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+            "the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+            "promote products derived from this software without specific prior written permission"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the "
+             "authors be held liable for any damages arising from the use of this software."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+              "software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, "
+              "display, distribute, execute, and transmit the Software, and to prepare derivative works of the "
+              "Software"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+            "to this work"),
+]
 MIN_COVERAGE = 0.8
 MAX_SHIFT = 8               # words by which neighbouring diagonals may differ
 
@@ -51,21 +81,22 @@ MAX_SHIFT = 8               # words by which neighbouring diagonals may differ
 def templates(spark: SparkSession) -> DataFrame:
     """``(template, label, phrase, grams, t, k, w0..w3)``: one row per template gram."""
     rows = []
-    for kind, texts in (("phrase", PHRASES.items()), ("passage", ((t, n) for n, t in PASSAGES.items()))):
-        for text, label in texts:
+    passages = [(t, n) for n, t in [*PASSAGES.items(), *NOTICES]]
+    for kind, texts in (("phrase", PHRASES.items()), ("passage", passages)):
+        for at, (text, label) in enumerate(texts):
             words = [w.decode() for w in letter_words(text.encode())]
             k = 2 if kind == "phrase" else 4
             grams = len(words) - k + 1
-            rows += [(f"{kind}:{label}", label, kind == "phrase", grams, t, k, *words[t:t + k], *[None] * (4 - k))
+            rows += [(f"{kind}:{at}:{label}", label, kind == "phrase", grams, t, k, *words[t:t + k], *[None] * (4 - k))
                      for t in range(grams)]
     return spark.createDataFrame(rows, "template string, label string, phrase boolean, grams int, t int, k int, "
                                        "t0 string, t1 string, t2 string, t3 string")
 
 
 def words_of(col: str = "text"):
-    """Array of lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``."""
-    text = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(col).cast("string"), F.lit(""))),
-                                   r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    """Array of words with A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``."""
+    lower = F.translate(F.coalesce(F.col(col).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    text = F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
