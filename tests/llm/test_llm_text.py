@@ -54,13 +54,18 @@ def brute_hits(text, items):
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog and then runs far away home again now"), (2, "Short item!"),
          (3, None), (4, " .. "), (None, "no id here"), (5, "short ITEM"),
          (6, "a a a a a a a a a a a a a a a a")]
+ITEMS += [(7, "one two three four five six seven eight nine ten eleven twelve thirteen"), (8, ITEMS[0][1]),
+          (9, " ".join(f"w{i % 23}x{i % 7}" for i in range(120)))]
 TEXTS = ["Well: The Quick, brown fox jumps over the lazy dog -- and then runs far away! Short item. short itemize",
          "a " * 40, "xshort item", "short", "é shorté short item", None, "",
-         "the quick brown fox jumps over the lazy dog and then runs far away home again now " * 3]
+         "the quick brown fox jumps over the lazy dog and then runs far away home again now " * 3,
+         "zero one two three four five six seven eight nine ten eleven twelve thirteen one two three four five six "
+         "seven eight nine ten eleven twelve", ITEMS[8][1][200:500] + " gap " + ITEMS[8][1][:60]]
 
 
-@pytest.mark.parametrize("max_chars", [decontam.MAX_BLOCK_CHARS, 90])
-def test_decontam_against_brute_force(spark, rows, max_chars):
+@pytest.mark.parametrize(("max_chars", "piece"), [(decontam.MAX_BLOCK_CHARS, decontam.PIECE_WORDS), (90, 26)])
+def test_decontam_against_brute_force(spark, rows, max_chars, piece, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE_WORDS", piece)
     docs = rows(list(enumerate(TEXTS)) + [(0, TEXTS[0])], "doc_id long, text string")
     scan = decontam.scanner(spark, rows(ITEMS, "item_id long, text string"), max_chars=max_chars)
     got = docs.select("doc_id", "text", scan("text").alias("r")).collect()
@@ -79,6 +84,45 @@ def test_decontam_cases(spark, rows):
     assert rows([], DOCS).select(scan("text")).collect() == []
 
 
+@given(st.integers(0, 10**6))
+@settings(max_examples=150, deadline=None)
+def test_decontam_runs_hold_every_window(seed):
+    """Few different words, so that items repeat themselves and each other; windows of every small size."""
+    rng = random.Random(seed)
+    window, words = rng.randint(1, 14), [b"a", b"b", b"c"][:rng.randint(1, 3)]
+    items = [[rng.choice(words) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 4))]
+    text = [rng.choice([*words, b"z"]) for _ in range(rng.randint(0, 60))] + rng.choice(items)[2:]
+    expected, found = set(), set()
+    for n, item in enumerate(items):
+        k = min(window, len(item))
+        for a in range(len(item) - k + 1):
+            for i in range(len(text) - k + 1):
+                if text[i:i + k] == item[a:a + k]:
+                    expected |= set(range(i, i + k))
+                    found.add(n)
+    block = [(line, {n}) for n, item in enumerate(items) for line in decontam.item_pieces(b" ".join(item), window)]
+    got = decontam._matches(*decontam._automaton(f"test-{seed}", block, window), text) if text else []
+    assert {i for first, size, _ in got for i in range(first, first + size)} == expected
+    assert {n for _, _, ids in got for n in ids} == found
+
+
+def test_decontam_long_items_in_pieces():
+    words = [f"w{i}".encode() for i in range(35_000)]
+    pieces = [p.split() for p in decontam.item_pieces(b" ".join(words))]
+    held = {tuple(p[i:i + 13]) for p in pieces for i in range(len(p) - 12)}
+    assert len(pieces) == 4 and held == {tuple(words[i:i + 13]) for i in range(len(words) - 12)}
+
+
+def test_decontam_many_blocks_same_result(spark, rows):
+    """A benchmark of 18 million characters: five automata at the default bound, all passages found."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(400))) for i in range(4200)]
+    texts = [(i, "x " * 30 + " ".join(items[i][1].split()[100:100 + 10 + i % 7])) for i in range(0, 4200, 50)]
+    scan = decontam.scanner(spark, rows(items, "item_id long, text string"), spans=False)
+    got = rows(texts, "doc_id long, text string").select("doc_id", scan("text").alias("r")).collect()
+    assert all(g["r"]["items"] == ([g["doc_id"]] if g["doc_id"] % 7 >= 3 else []) for g in got)
+
+
 # --- licenses ---------------------------------------------------------------
 
 def test_licenses_against_brute_force(spark, rows):
@@ -103,6 +147,27 @@ def test_licenses_against_brute_force(spark, rows):
     assert by[8] == "mit" and by[9] == "bsd,mit" and by[10] == "cc-by-nc" and by[11] == ""
 
 
+def test_licenses_lower_case_of_ascii_only(spark, rows):
+    """The Kelvin sign and a dotted capital I lower to ASCII letters elsewhere; here they stay other words."""
+    texts = ["m\u0130t license", "apache l\u0130cense MIT LICENSE", "\u00c9T\u00c9 mit license"]
+    got = {g["doc_id"]: g for g in licenses.scan(spark, rows([*enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["n_words"] == len(letters(t))
+    assert [got[i]["n_base"] for i in range(3)] == [0, 1, 1]
+
+
+def test_licenses_notices(spark, rows):
+    """Every passage is found alone, whole and with a word left out, under its own label."""
+    known = [*licenses.PASSAGES.items(), *licenses.NOTICES]
+    texts = [f"before {t} after" for _, t in known]
+    texts += [f"before {' '.join(t.split()[:9] + t.split()[10:])}" for _, t in known if len(t.split()) > 30]
+    labels = [n for n, _ in known] + [n for n, t in known if len(t.split()) > 30]
+    got = {g["doc_id"]: g["labels"].split(",")
+           for g in licenses.scan(spark, rows([*enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, label in enumerate(labels):
+        assert label in got[i] and set(got[i]) <= {label, "gpl", "apache"}, (label, got[i])
+
+
 def test_licenses_cases(spark, rows):
     assert licenses.scan(spark, rows(CASES, DOCS)).count() == len(CASES)
     assert licenses.scan(spark, rows([], DOCS)).collect() == []
