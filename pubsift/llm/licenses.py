@@ -17,8 +17,6 @@ id is kept; extra columns are not read.
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +92,14 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def words_of(col: str = "text"):
-    """Array of words with A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``."""
-    lower = F.translate(F.coalesce(F.col(col).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
-    text = F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    """Array of lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, to be compared with words of a-z.
+
+    ``lower`` changes letters beyond A-Z too.  Of these the Kelvin sign alone becomes
+    a letter of a-z, so it is replaced by another sign first; all others stay outside
+    ASCII and in the same words, so equality with words of a-z is that of lowering A-Z.
+    """
+    given = F.replace(F.coalesce(F.col(col).cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u212b"))
+    text = F.trim(F.regexp_replace(F.lower(given), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
