@@ -149,11 +149,25 @@ def test_licenses_against_brute_force(spark, rows):
 
 def test_licenses_lower_case_of_ascii_only(spark, rows):
     """The Kelvin sign and a dotted capital I lower to ASCII letters elsewhere; here they stay other words."""
-    texts = ["m\u0130t license", "apache l\u0130cense MIT LICENSE", "\u00c9T\u00c9 mit license"]
+    texts = ["m\u0130t license", "apache l\u0130cense MIT LICENSE", "\u00c9T\u00c9 mit license",
+             "General Public License of \u212aelvin", "mit licen\u017fe"]
     got = {g["doc_id"]: g for g in licenses.scan(spark, rows([*enumerate(texts)], "doc_id long, text string")).collect()}
     for i, t in enumerate(texts):
         assert got[i]["n_words"] == len(letters(t))
-    assert [got[i]["n_base"] for i in range(3)] == [0, 1, 1]
+    assert [got[i]["n_base"] for i in range(5)] == [0, 1, 1, 1, 0]
+
+
+def test_licenses_no_other_letter_becomes_ascii(spark):
+    """The only letter beyond ASCII that ``lower`` turns into ASCII letters is the one that is replaced."""
+    def signs(frames):
+        for f in frames:
+            yield f.assign(sign=[chr(i) for i in f["id"]])
+
+    every = (spark.range(128, 0x110000).where("id < 55296 or id > 57343")
+             .mapInPandas(signs, "id long, sign string").selectExpr("id", "lower(sign) as low"))
+    assert [r["id"] for r in every.where("low rlike '^[ -~]+$'").collect()] == [0x212A]
+    split = every.where("low rlike '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]'")
+    assert split.count() == 0 and every.where("length(low) = 0").count() == 0
 
 
 def test_licenses_notices(spark, rows):
