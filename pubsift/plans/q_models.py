@@ -214,6 +214,10 @@ def q_rebalance_oversample(spark, sf_dir):
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
 
 
+# The reference's settings.
+WALK_LENGTH, WALKS_PER_NODE, WALK_VECTOR = 30, 200, 100
+
+
 @query("random_walk_embedding")
 def q_random_walk_embedding(spark, sf_dir):
     e = T.read_table(spark, sf_dir, "embeddings")
@@ -222,8 +226,8 @@ def q_random_walk_embedding(spark, sf_dir):
         .withColumn("value", F.col("value").cast("double"))
     edges = EM.correlation_edges(expr, 0.3).select(F.col("gene_a").alias("src"),
                                                   F.col("gene_b").alias("dst"))
-    walks = M.random_walks(edges, walk_length=10, walks_per_node=10)
-    _, vecs = EM.word2vec(M.walks_to_sentences(walks), "tokens", size=32, min_count=1, window=10)
+    walks = M.walk_paths(edges, WALK_LENGTH, WALKS_PER_NODE).select(F.col("path").alias("tokens"))
+    _, vecs = EM.word2vec(walks, "tokens", size=WALK_VECTOR, min_count=1, window=10)
     return vecs.select("word", F.size("vector").alias("dims"))
 
 
