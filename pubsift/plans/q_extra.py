@@ -256,41 +256,58 @@ def q_map_articles(spark, sf_dir):
     return Collection(T.articles(spark, sf_dir)).map_articles(words, "pmid long, title_words long")
 
 
-SQL_APPLY = SQL_STOKS + r""",
-split as (
-  select pmid, case when row_number() over (order by md5('42' || cast(pmid as varchar)), pmid)
-                         <= ceil(count(*) over () * 0.25) then 'test' else 'train' end as split
-  from articles
-),
-tr as (select s.* from stoks s join split p using (pmid) where p.split = 'train'),
-te as (select s.* from stoks s join split p using (pmid) where p.split = 'test'),
-uni_tr as (select token, count(*) as n from tr group by token),
-pairs_tr as (
+def _phrases_sql(name, source):
+    """A phrase table from the sentences of ``source``."""
+    return f"""
+{name}_uni as (select token, count(*) as n from {source} group by token),
+{name}_pairs as (
   select a, b, count(*) as n_ab from (
-    select token as a, lead(token) over (partition by pmid, sent_pos order by tok_pos) as b from tr) p
+    select token as a, lead(token) over (partition by pmid, sent_pos order by tok_pos) as b from {source}) p
   where b is not null group by a, b having count(*) >= 30
 ),
-ph as (
-  select a, b from pairs_tr join uni_tr ua on ua.token = a join uni_tr ub on ub.token = b
-  where (n_ab - 30) * (select count(*) from uni_tr) / (ua.n * ub.n) > 10
+{name} as (
+  select a, b from {name}_pairs join {name}_uni ua on ua.token = a join {name}_uni ub on ub.token = b
+  where (n_ab - 30) * (select count(*) from {name}_uni) / (ua.n * ub.n) > 10
+)"""
+
+
+def _merged_sql(name, source, phrases):
+    """The sentences of ``source`` with pairs of ``phrases`` merged, first pair first."""
+    return f"""
+{name}_tk as (
+  select s.*, p.a is not null as m
+  from (select *, lead(token) over (partition by pmid, sent_pos order by tok_pos) as nxt from {source}) s
+  left join {phrases} p on p.a = s.token and p.b = s.nxt
 ),
-tk0 as (select s.*, lead(token) over (partition by pmid, sent_pos order by tok_pos) as nxt from te s),
-tk as (select tk0.*, ph.a is not null as m from tk0 left join ph on ph.a = tk0.token and ph.b = tk0.nxt),
-walk as (
-  select pmid, sent_pos, 0 as pos, 0 as out_pos from te where tok_pos = 0
+{name}_walk as (
+  select pmid, sent_pos, 0 as pos, 0 as out_pos from {source} where tok_pos = 0
   union all
   select w.pmid, w.sent_pos, w.pos + case when t.m then 2 else 1 end, w.out_pos + 1
-  from walk w join tk t on t.pmid = w.pmid and t.sent_pos = w.sent_pos and t.tok_pos = w.pos
+  from {name}_walk w join {name}_tk t on t.pmid = w.pmid and t.sent_pos = w.sent_pos and t.tok_pos = w.pos
+),
+{name} as (
+  select w.pmid, w.sent_pos, cast(w.out_pos as bigint) as tok_pos,
+         case when t.m then t.token || '·' || t.nxt else t.token end as token
+  from {name}_walk w join {name}_tk t on t.pmid = w.pmid and t.sent_pos = w.sent_pos and t.tok_pos = w.pos
 )"""
 
 
-@query("apply_preprocessing", oracle="""
-select w.pmid, w.sent_pos, cast(w.out_pos as bigint) as tok_pos,
-       case when t.m then t.token || '·' || t.nxt else t.token end as token
-from walk w join tk t on t.pmid = w.pmid and t.sent_pos = w.sent_pos and t.tok_pos = w.pos""",
+SQL_APPLY = SQL_STOKS + r""",
+split as (
+  select pmid, case when row_number() over (order by md5('42' || cast(pmid as varchar)), pmid)
+                         <= ceil(count(*) over () * 0.25) then 'test' else 'train' end as split
+  from articles
+),
+tr as (select s.* from stoks s join split p using (pmid) where p.split = 'train'),
+te as (select s.* from stoks s join split p using (pmid) where p.split = 'test'),""" + ",".join([
+    _phrases_sql("ph1", "tr"), _merged_sql("tr1", "tr", "ph1"), _phrases_sql("ph2", "tr1"),
+    _merged_sql("te1", "te", "ph1"), _merged_sql("te2", "te1", "ph2")])
+
+
+@query("apply_preprocessing", oracle="select pmid, sent_pos, tok_pos, token from te2",
        ctes=SQL_APPLY, recursive=True)
 def q_apply_preprocessing(spark, sf_dir):
-    """Phrase model fitted on the training split, re-applied to the test split."""
+    """Two phrase models fitted in order on the training split, re-applied to the test split."""
     from pubsift.operators import corpus as C
 
     arts = T.articles(spark, sf_dir)
@@ -298,5 +315,5 @@ def q_apply_preprocessing(spark, sf_dir):
     toks = X.sentence_token_table(arts)
     tr = toks.join(split.where("split = 'train'"), "pmid", "left_semi")
     te = toks.join(split.where("split = 'test'"), "pmid", "left_semi")
-    _, models = X.preprocess(tr, 1, 30, 10.0)
+    _, models = X.preprocess(tr, 2, 30, 10.0)
     return normalize(X.apply_preprocessing(te, models))
