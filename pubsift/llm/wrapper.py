@@ -55,8 +55,6 @@ COPY_SHARE = 0.8            # common share of the word triples of two texts that
 CONSTANT_SHARE = 0.8
 MASS_SHARE = 0.6
 NAMED_SHARE = 0.1           # of the varying text, must lie outside elements that are noise by name
-FULL = 3600                 # pairs of children compared in full; longer lists near their diagonal
-BAND = 8                    # children on each side of the diagonal
 MAX_DEPTH = 200             # as in browsers, elements nested deeper become siblings; no text is lost
 
 # HTML element kinds.
@@ -249,41 +247,31 @@ def _fixed(x: list[Fold], y: list[Fold]) -> list[tuple[int, int]]:
 
 
 def _between(x: list[Fold], y: list[Fold]) -> tuple[int, list]:
-    """The largest order-preserving match of two lists; of long lists, the largest near the diagonal."""
+    """The largest order-preserving match of two lists, whatever their lengths.
+
+    Row by row; a place holds its size and a chain of the matched pairs, so memory
+    follows one list and the chains, which share their ends."""
     if not x or not y:
         return 0, []
-    rows, cols = len(x), len(y)
-    wide = cols if rows * cols <= FULL else BAND + cols // rows
-    best, starts, pair = [[0] * (cols + 1) if wide == cols else [0]], [0], {}
-    for i, p in enumerate(x):
-        low = max(0, i * cols // rows - wide)
-        high = min(cols, i * cols // rows + wide + 1)
-        up, off = best[i], starts[i]
-        row = [0] * (high - low + 1)
-        row[0] = up[min(low - off, len(up) - 1)]
-        for j in range(low, high):
-            q = y[j]
-            value = max(up[min(j + 1 - off, len(up) - 1)], row[j - low])
+    above, ends = [0] * (len(y) + 1), [None] * (len(y) + 1)
+    for p in x:
+        sizes, chains = [0], [None]
+        for j, q in enumerate(y):
+            value, chain = above[j + 1], ends[j + 1]
+            if sizes[j] > value:
+                value, chain = sizes[j], chains[j]
             if p.sign == q.sign:
-                pair[i, j] = w = align(p, q) if p.kids and q.kids else (1, [(p, q)])
-                value = max(value, up[min(j - off, len(up) - 1)] + w[0])
-            row[j - low + 1] = value
-        best.append(row)
-        starts.append(low)
-
-    def top(i: int, j: int) -> int:
-        return best[i][min(max(j - starts[i], 0), len(best[i]) - 1)]
-
-    pairs, i, j = [], rows, cols
-    while i and j:
-        if (i - 1, j - 1) in pair and top(i, j) == top(i - 1, j - 1) + pair[i - 1, j - 1][0]:
-            pairs += pair[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-        elif top(i, j) == top(i - 1, j):
-            i -= 1
-        else:
-            j -= 1
-    return best[-1][-1], pairs
+                n, found = align(p, q) if p.kids and q.kids else (1, [(p, q)])
+                if above[j] + n >= value:
+                    value, chain = above[j] + n, (found, ends[j])
+            sizes.append(value)
+            chains.append(chain)
+        above, ends = sizes, chains
+    pairs, chain = [], ends[-1]
+    while chain:
+        found, chain = chain
+        pairs += found
+    return above[-1], pairs
 
 
 def align(a: Fold, b: Fold) -> tuple[int, list]:
