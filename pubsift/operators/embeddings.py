@@ -20,6 +20,8 @@ from pubsift.operators.ordinals import expand_small, global_ordinal, with_scalar
 from pubsift.session import materialize
 
 SALT_BUCKETS = 64
+# Of a correlation block: rows, numbers held, and blocks made of fewer rows so that tasks share the work.
+BLOCK_ROWS, BLOCK_NUMBERS, LEAST_BLOCKS, TILE_ROWS = 16_384, 1 << 21, 8, 1024
 
 
 def pairwise_similarity(targets: DataFrame, vectors: DataFrame, model: str | None = None) -> DataFrame:
@@ -300,16 +302,25 @@ def projection_quality(projected: DataFrame, target: DataFrame, control: DataFra
 
 
 # ------------------------------------------------------------------ graphs
-def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int = 512,
+def correlation_blocks(n_genes: int, n_samples: int) -> int:
+    """Into how many blocks the genes are split; every gene is sent to that many groups.
+
+    Up to ``LEAST_BLOCKS`` blocks of ``BLOCK_ROWS`` genes the number does not grow."""
+    rows = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(1, n_samples)))
+    return max(1, -(-n_genes // rows), min(LEAST_BLOCKS, -(-n_genes // 512)))
+
+
+def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int | None = None,
                       gene: str = "gene", sample: str = "sample", value: str = "value") -> DataFrame:
     """Gene pairs with Pearson correlation >= threshold (no self edges, each
     unordered pair once, gene_a < gene_b).
 
     Genes are z-normalised (mean 0, norm 1) so correlation is a dot product,
-    and split into hash blocks of about ``block_rows`` genes.  Every pair of
+    and split into hash blocks of about ``block_rows`` genes (by default
+    :func:`correlation_blocks`).  Every pair of
     blocks (i <= j) is one group: each gene row is copied to the groups of
     its block, and a pandas function multiplies the two block matrices with
-    numpy and emits only the pairs at or above the threshold.  All pairs are
+    numpy, some rows at a time, and emits only the pairs at or above the threshold.  All pairs are
     scored (inherent to the operator) but never materialised as rows, and no
     group holds more than two blocks.  A pair is correlated over the samples that
     both genes have (a value is missing if its row or the value is); pairs with
@@ -332,8 +343,8 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int =
     vec = vec.select(F.col(gene).alias("gene"),
                      F.transform(F.array_sort(F.concat("_s", absent)), lambda e: e["z"]).alias("u"))
     vec = materialize(vec)
-    n = vec.count()  # one number: sizes the blocks
-    blocks = max(1, -(-n // block_rows))
+    n, width = vec.agg(F.count(F.lit(1)), F.max(F.size("u"))).first()  # two numbers: size the blocks
+    blocks = correlation_blocks(n, width or 0) if block_rows is None else max(1, -(-n // block_rows))
     b = F.pmod(F.xxhash64("gene"), F.lit(blocks))
     partners = F.sequence(F.lit(0), F.lit(blocks - 1))
     rows = vec.withColumn("_b", b).select(
@@ -361,11 +372,15 @@ def correlation_edges(expr: DataFrame, threshold: float = 0.7, block_rows: int =
         right = pdf[pdf["_b"] == j]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"gene_a": [], "gene_b": [], "correlation": []})
-        c = complete_pairs(*(np.vstack(side["u"].to_numpy()).astype(float) for side in (left, right)))
+        x, y = (np.vstack(side["u"].to_numpy()).astype(float) for side in (left, right))
         ga = left["gene"].to_numpy()
         gb = right["gene"].to_numpy()
-        ia, ib = np.nonzero(c >= cut)
-        a, bb, v = ga[ia], gb[ib], c[ia, ib]
+        found = []
+        for at in range(0, len(x), TILE_ROWS):      # a tile of the product at a time
+            c = complete_pairs(x[at:at + TILE_ROWS], y)
+            ia, ib = np.nonzero(c >= cut)
+            found.append((ga[at + ia], gb[ib], c[ia, ib]))
+        a, bb, v = (np.concatenate(part) for part in zip(*found))
         if i == j:  # one block against itself: each unordered pair once
             keep = a < bb
             a, bb, v = a[keep], bb[keep], v[keep]
