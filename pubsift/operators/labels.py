@@ -294,14 +294,43 @@ def rebalance_undersample(ys: DataFrame, seed: str = "42", label: str = "meshid"
             .select(id_col, label, "y"))
 
 
+def _frequent_from(counts: DataFrame, most: int) -> int | None:
+    """The least ``n`` such that at most ``most`` rows of ``counts(n)`` have that many
+    or more; None if there is none.  Few distinct counts occur, so they are read here."""
+    cut, rows = None, 0
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("n")).collect():
+        rows += r["rows"]
+        if rows > most:
+            break
+        cut = r["n"]
+    return cut
+
+
 def tfidf_word_vectors(weights: DataFrame, vectors: DataFrame, id_col: str = ID,
-                       token: str = "token", weight: str = "tfidf") -> DataFrame:
+                       token: str = "token", weight: str = "tfidf", frequent_bytes: int = 32 << 20) -> DataFrame:
     """(id, dim, value): tf-idf weighted mean of the word vectors of each
-    document (words without a vector are skipped)."""
-    v = vectors.select(F.col("word").alias(token), F.posexplode("vector").alias("dim", "x"))
-    j = weights.join(v, token)
-    tot = weights.join(vectors.select(F.col("word").alias(token)), token) \
-        .groupBy(id_col).agg(F.sum(weight).alias("_tw"))
-    return (j.groupBy(id_col, "dim").agg(F.sum(F.col(weight) * F.col("x")).alias("_s"))
-            .join(tot, id_col)
+    document (words without a vector are skipped).
+
+    The vectors of the words that most documents hold are broadcast (``frequent_bytes``
+    of them) and summed where the documents' rows lie; those of the many rare words
+    are joined and sent to their few documents, as whole vectors.  A document's sums
+    are one row with a column per dimension."""
+    vectors = vectors.select(F.col("word").alias(token), "vector")
+    weights = materialize(weights.select(id_col, token, weight))    # read by the counts and both joins
+    width = vectors.agg(F.max(F.size("vector"))).first()[0] or 0    # the vectors' length
+    counts = materialize(weights.groupBy(token).agg(F.count(F.lit(1)).alias("n")))
+    cut = _frequent_from(counts, frequent_bytes // (4 * width + 64))
+    if cut is None:
+        rows = weights.join(vectors, token).repartition(id_col)
+    else:
+        often = counts.where(F.col("n") >= cut).select(token)
+        here = weights.join(F.broadcast(vectors.join(often, token, "left_semi")), token)
+        rare = weights.join(F.broadcast(often), token, "left_anti").join(vectors.join(often, token, "left_anti"), token)
+        rows = here.unionByName(rare.repartition(id_col))
+    sums = rows.groupBy(id_col).agg(
+        F.sum(weight).alias("_tw"), F.max(F.size("vector")).alias("_dims"),
+        *[F.sum(F.col(weight) * F.get("vector", F.lit(i))).alias(f"_s{i}") for i in range(width)])
+    listed = F.array(*[f"_s{i}" for i in range(width)]).cast("array<double>")
+    return (sums.select(id_col, "_tw", F.posexplode(F.slice(listed, F.lit(1), F.greatest(F.col("_dims"), F.lit(0))))
+                        .alias("dim", "_s"))
             .select(id_col, "dim", (F.col("_s") / F.col("_tw")).alias("value")))
