@@ -312,8 +312,8 @@ def q_apply_preprocessing(spark, sf_dir):
 
     arts = T.articles(spark, sf_dir)
     split = C.train_test_split(arts.select("pmid"), 0.25, "42")
-    toks = X.sentence_token_table(arts)
-    tr = toks.join(split.where("split = 'train'"), "pmid", "left_semi")
-    te = toks.join(split.where("split = 'test'"), "pmid", "left_semi")
+    lists = X.sentence_token_lists(arts)
+    tr = lists.join(split.where("split = 'train'"), "pmid", "left_semi")
+    te = lists.join(split.where("split = 'test'"), "pmid", "left_semi")
     _, models = X.preprocess(tr, 2, 30, 10.0)
     return normalize(X.apply_preprocessing(te, models))
