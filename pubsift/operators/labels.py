@@ -230,21 +230,43 @@ def _f_of_totals(totals: DataFrame, pos: DataFrame, per_label: DataFrame, label:
     return _f_of_sums(x, label)
 
 
+def counted_tokens(rows: DataFrame, tokens) -> DataFrame:
+    """The columns of ``rows`` but its text, with (token, n) of the token array
+    ``tokens``: counted inside the row, so no table of the tokens is held."""
+    columns = rows.columns
+    rows = rows.withColumn("_s", F.sort_array(tokens))
+    size = F.size("_s")
+    rows = rows.withColumn("_b", F.when(size > 0, F.filter(
+        F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))))
+    ends = F.concat(F.slice("_b", F.lit(2), F.size("_b")), F.array(size))
+    pairs = F.zip_with("_b", ends, lambda i, j: F.struct(F.get("_s", i).alias("token"), (j - i).cast("long").alias("n")))
+    return rows.select(*columns, F.inline(pairs))
+
+
 def labelled_bag(docs: DataFrame, labels: DataFrame, top: DataFrame, split: DataFrame, text=("title", "content"),
                  label: str = "meshid", id_col: str = ID) -> DataFrame:
     """(id, split, labels, token, n): a bag of words whose rows carry the document's
     split and its top labels.  Both are joined to the documents before the text is
-    cut into tokens, so later steps filter and count without joining tokens; the
-    grouping by (id, token) needs no second shuffle after the join on the id."""
+    cut into tokens, so later steps filter and count without joining tokens.  Tokens
+    are counted inside their row; only ids that repeat are grouped, so what a task
+    holds does not grow with its documents."""
     from pubsift.functions.text import tokenize
 
     marks = labels.join(top.select(label), label, "left_semi").groupBy(id_col).agg(
         F.array_sort(F.collect_set(label)).alias("labels"))
     about = split.select(id_col, "split").join(marks, id_col, "left").select(
         id_col, "split", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
-    return (docs.join(about, id_col)
-            .select(id_col, "split", "labels", F.explode(tokenize(F.concat_ws(" ", *text))).alias("token"))
-            .groupBy(id_col, "token", "split", "labels").agg(F.count(F.lit(1)).alias("n")))
+    again = materialize(docs.select(id_col).join(split.select(id_col), id_col).groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col))
+    rows = docs.select(id_col, *text).join(about, id_col)
+
+    def counted(part):
+        return counted_tokens(part, tokenize(F.concat_ws(" ", *text))).select(id_col, "token", "split", "labels", "n")
+
+    once = counted(rows.join(again, id_col, "left_anti"))
+    shared = counted(rows.join(again, id_col, "left_semi")).groupBy(id_col, "token", "split", "labels").agg(
+        F.sum("n").alias("n"))
+    return once.unionByName(shared)
 
 
 def anova_f_labelled(bag: DataFrame, per_label: DataFrame, label: str = "meshid") -> DataFrame:

@@ -24,3 +24,25 @@ def test_scores_equal_those_of_the_joined_bag(spark):
     b = {(r.meshid, r.token): r.f for r in L.anova_f(bow.join(train, "pmid", "left_semi"), ys_tr).collect()}
     assert a.keys() == b.keys()
     assert all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) <= 1e-9 * (1 + abs(b[k]))) for k in a)
+
+
+def test_tokens_are_counted_inside_their_row(spark):
+    """All tokens of a task were grouped by id, token, split and labels at once."""
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (1, ["a"])], "pmid long, t array<string>")
+    out = L.counted_tokens(rows, F.col("t")).select("pmid", "token", "n")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 1), (1, "a", 1), (1, "b", 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+def test_repeated_ids_are_counted_together(spark):
+    docs = spark.createDataFrame([(1, "a b", "b c"), (1, "b", "x"), (2, "c", None), (None, "d", "d"), (3, "", "")],
+                                 "pmid long, title string, content string")
+    split = spark.createDataFrame([(1, "train"), (1, "test"), (2, "train"), (None, "train"), (3, "test")],
+                                  "pmid long, split string")
+    labels = spark.createDataFrame([(1, "L"), (1, "M"), (2, "N")], "pmid long, meshid string")
+    top = spark.createDataFrame([("L",), ("M",)], "meshid string")
+    bag = L.labelled_bag(docs, labels, top, split)
+    got = sorted((r.pmid, r.token, r.split, tuple(r.labels), r.n) for r in bag.collect())
+    one = [(1, t, s, ("L", "M"), n) for t, n in (("b", 3), ("c", 1), ("x", 1)) for s in ("train", "test")]
+    assert got == sorted([*one, (2, "c", "train", (), 1)])
