@@ -146,25 +146,33 @@ def gene_disease_map(vectors: DataFrame, genes: DataFrame, disease: str, groups:
         "group", "group_pos", (F.col("group_pos") * (2 * math.pi - 1) / F.col("_n") + 0.5).alias("angle"))
 
 
-def idcf(postings: DataFrame, clusters: DataFrame, id_col: str = "pmid") -> DataFrame:
+def cluster_counts(postings: DataFrame, clusters: DataFrame, id_col: str = "pmid") -> DataFrame:
+    """(id, label, n): the tokens of each cluster in each document.  ``postings`` are
+    tokens, or counted tokens with ``n``; they are counted before they meet their
+    clusters, so a frequent word is one row a document."""
+    words = postings.select(id_col, F.col("token").alias("word"), F.col("n").alias("_k")) if "n" in postings.columns \
+        else postings.groupBy(id_col, F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("_k"))
+    return words.join(clusters, "word").groupBy(id_col, "label").agg(F.sum("_k").alias("n"))
+
+
+def idcf(postings: DataFrame, clusters: DataFrame, id_col: str = "pmid", counts: DataFrame | None = None) -> DataFrame:
     """(label, idcf): 1 / number of distinct documents containing any word of
-    the cluster."""
-    j = postings.select(id_col, F.col("token").alias("word")).distinct().join(clusters, "word")
-    return (j.groupBy("label").agg(F.count_distinct(id_col).alias("n_docs"))
+    the cluster (``counts``: their :func:`cluster_counts`, if they are at hand)."""
+    counts = cluster_counts(postings, clusters, id_col) if counts is None else counts
+    return (counts.groupBy("label").agg(F.count(id_col).alias("n_docs"))      # a row a document and label
             .select("label", (1.0 / F.col("n_docs")).alias("idcf")))
 
 
 def cluster_profile(postings: DataFrame, clusters: DataFrame, weights: DataFrame | None,
                     labels: DataFrame, id_col: str = "pmid", normalise: bool = False,
-                    docs: DataFrame | None = None) -> DataFrame:
+                    docs: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(id, label, value) for every document and every cluster label: token
     count per cluster times idcf (``weights``), or the counts normalised to
     sum 1 (``normalise``); zeros for clusters a document does not touch.
     ``labels`` is the cluster list (k rows), expanded onto each document; with
-    ``docs`` a document without tokens has zeros.  Words are counted per
-    document before they meet their clusters, so a frequent word is one row."""
-    words = postings.groupBy(id_col, F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("_k"))
-    counts = words.join(clusters, "word").groupBy(id_col, "label").agg(F.sum("_k").alias("n"))
+    ``docs`` a document without tokens has zeros.  ``counts`` are the
+    :func:`cluster_counts`, if they are at hand."""
+    counts = cluster_counts(postings, clusters, id_col) if counts is None else counts
     grid = expand_small((postings if docs is None else docs).select(id_col).distinct(), labels.select("label"))
     g = grid.join(counts, [id_col, "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     if normalise:

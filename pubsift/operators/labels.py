@@ -230,19 +230,6 @@ def _f_of_totals(totals: DataFrame, pos: DataFrame, per_label: DataFrame, label:
     return _f_of_sums(x, label)
 
 
-def counted_tokens(rows: DataFrame, tokens) -> DataFrame:
-    """The columns of ``rows`` but its text, with (token, n) of the token array
-    ``tokens``: counted inside the row, so no table of the tokens is held."""
-    columns = rows.columns
-    rows = rows.withColumn("_s", F.sort_array(tokens))
-    size = F.size("_s")
-    rows = rows.withColumn("_b", F.when(size > 0, F.filter(
-        F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))))
-    ends = F.concat(F.slice("_b", F.lit(2), F.size("_b")), F.array(size))
-    pairs = F.zip_with("_b", ends, lambda i, j: F.struct(F.get("_s", i).alias("token"), (j - i).cast("long").alias("n")))
-    return rows.select(*columns, F.inline(pairs))
-
-
 def labelled_bag(docs: DataFrame, labels: DataFrame, top: DataFrame, split: DataFrame, text=("title", "content"),
                  label: str = "meshid", id_col: str = ID) -> DataFrame:
     """(id, split, labels, token, n): a bag of words whose rows carry the document's
@@ -251,6 +238,7 @@ def labelled_bag(docs: DataFrame, labels: DataFrame, top: DataFrame, split: Data
     are counted inside their row; only ids that repeat are grouped, so what a task
     holds does not grow with its documents."""
     from pubsift.functions.text import tokenize
+    from pubsift.operators.text import counted_tokens
 
     marks = labels.join(top.select(label), label, "left_semi").groupBy(id_col).agg(
         F.array_sort(F.collect_set(label)).alias("labels"))

@@ -226,10 +226,11 @@ def q_cluster_profile(spark, sf_dir):
     from pubsift.session import materialize
 
     arts = T.articles(spark, sf_dir)
-    toks = materialize(X.sentence_token_table(arts).select("pmid", "token"))
-    cl = _token_clusters(toks.select("token").distinct())
+    toks = materialize(X.document_bag(arts))
+    cl = materialize(_token_clusters(toks.select("token").distinct()))     # read by the labels and the counts
     labels = cl.select("label").distinct()
-    return normalize(EM.cluster_profile(toks, cl, EM.idcf(toks, cl), labels, docs=arts))
+    counts = materialize(EM.cluster_counts(toks, cl))
+    return normalize(EM.cluster_profile(toks, cl, EM.idcf(toks, cl, counts=counts), labels, docs=arts, counts=counts))
 
 
 @query("cluster_profile_normalised", oracle=_PROFILE_SQL + """
@@ -239,10 +240,11 @@ def q_cluster_profile_norm(spark, sf_dir):
     from pubsift.session import materialize
 
     arts = T.articles(spark, sf_dir)
-    toks = materialize(X.sentence_token_table(arts).select("pmid", "token"))
-    cl = _token_clusters(toks.select("token").distinct())
+    toks = materialize(X.document_bag(arts))
+    cl = materialize(_token_clusters(toks.select("token").distinct()))     # read by the labels and the counts
     labels = cl.select("label").distinct()
-    return normalize(EM.cluster_profile(toks, cl, None, labels, normalise=True, docs=arts))
+    counts = materialize(EM.cluster_counts(toks, cl))
+    return normalize(EM.cluster_profile(toks, cl, None, labels, normalise=True, docs=arts, counts=counts))
 
 
 # ------------------------------------------------------- model-based (rows only)

@@ -29,7 +29,7 @@ def test_scores_equal_those_of_the_joined_bag(spark):
 def test_tokens_are_counted_inside_their_row(spark):
     """All tokens of a task were grouped by id, token, split and labels at once."""
     rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (1, ["a"])], "pmid long, t array<string>")
-    out = L.counted_tokens(rows, F.col("t")).select("pmid", "token", "n")
+    out = X.counted_tokens(rows, F.col("t")).select("pmid", "token", "n")
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 1), (1, "a", 1), (1, "b", 2)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Exchange" not in plan
