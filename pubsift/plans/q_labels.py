@@ -72,7 +72,8 @@ def _nb(spark, sf_dir):
     arts, mesh, top, ys = _setup(spark, sf_dir)
     from pubsift.session import materialize
 
-    bow = materialize(X.bag_of_words(X.sentence_token_table(arts)))  # train and test read it
+    # Train and test read it.  Fit and prediction add up its rows, so ids that repeat need no grouping.
+    bow = materialize(X.document_bag(arts))
     split = C.train_test_split(arts.select("pmid"), 0.25, SEED)
     tr = split.where("split = 'train'").select("pmid")
     te = split.where("split = 'test'").select("pmid")

@@ -46,3 +46,24 @@ def test_repeated_ids_are_counted_together(spark):
     got = sorted((r.pmid, r.token, r.split, tuple(r.labels), r.n) for r in bag.collect())
     one = [(1, t, s, ("L", "M"), n) for t, n in (("b", 3), ("c", 1), ("x", 1)) for s in ("train", "test")]
     assert got == sorted([*one, (2, "c", "train", (), 1)])
+
+
+def test_bags_counted_in_rows_equal_those_of_tokens(spark):
+    docs = spark.createDataFrame([(1, "a1 b1", "b1. c1 b1"), (1, "b1", "x1"), (2, None, "c1! D1-e1"), (None, "d1", "d1"),
+                                  (3, "", "")], "pmid long, title string, content string")
+    rows = lambda df: sorted((tuple(r) for r in df.select("pmid", "token", "n").collect()), key=str)
+    assert rows(X.bag_of_words(X.document_bag(docs))) == rows(X.bag_of_words(X.sentence_token_table(docs)))
+
+
+def test_naive_bayes_adds_up_the_rows_of_an_id(spark):
+    """The query no longer groups its bag: parts of a document give the same model."""
+    parts = spark.createDataFrame([(1, "a", 2), (1, "a", 1), (2, "b", 1), (2, "b", 2), (3, "a", 1), (3, "b", 1)],
+                                  "pmid long, token string, n long")
+    ys = spark.createDataFrame([(1, "L", 1), (2, "L", 0)], "pmid long, meshid string, y int")
+    train = F.col("pmid") < 3
+
+    def scores(bow):
+        found = L.naive_bayes_predict(L.naive_bayes_fit(bow.where(train), ys), bow.where(~train)).collect()
+        return [(r.pmid, r.meshid, round(r.score1, 9), round(r.score0, 9)) for r in found]
+
+    assert scores(parts) == scores(X.bag_of_words(parts))
