@@ -3,8 +3,8 @@ over two classes, a network per label, all over the same sparse inputs.
 
 The training rows stay sparse where they lie.  In each pass a task makes a bounded
 number of rows dense at a time, takes them through the networks of all labels with one
-matrix product, and adds up loss and gradient of every network; the sums of a label
-meet in one task.  The driver keeps what a model is made of (weights, and the last
+matrix product in single precision (a search's step needs no more), and adds up loss and
+gradient of every network in double; the sums of a label meet in one task.  The driver keeps what a model is made of (weights, and the last
 ``MEMORY`` steps of L-BFGS) and decides on the next step, so memory follows the size of
 the networks, not the rows, and the number of passes is that of the slowest label.
 """
@@ -42,47 +42,68 @@ def _layers(w: np.ndarray, n_inputs: int, hidden: int):
             w[:, a + hidden:a + 3 * hidden].reshape(k, hidden, 2), w[:, a + 3 * hidden:])
 
 
-def _dense(batch: pa.RecordBatch, n_inputs: int, step: int = BATCH_ROWS) -> Iterator[tuple[slice, np.ndarray]]:
+def _dense(batch: pa.RecordBatch, n_inputs: int, step: int = BATCH_ROWS,
+           kind: type = np.float64) -> Iterator[tuple[slice, np.ndarray]]:
     """Some rows at a time as a matrix of their counts."""
     slots, counts = batch.column("slots"), batch.column("counts")
     for at in range(0, batch.num_rows, step):
         s, c = slots.slice(at, step), counts.slice(at, step)
-        x = np.zeros((len(s), n_inputs))
+        x = np.zeros((len(s), n_inputs), kind)
         rows = np.repeat(np.arange(len(s)), s.value_lengths().to_numpy())
         x[rows, s.flatten().to_numpy()] = c.flatten().to_numpy()
         yield slice(at, at + len(s)), x
 
 
-def _forward(x: np.ndarray, w: np.ndarray, n_inputs: int, hidden: int):
+def _logistic(z: np.ndarray) -> np.ndarray:
+    """The logistic function, written over ``z``; what is cut off is 0 or 1 in its precision."""
+    most = 80 if z.dtype == np.float32 else 700
+    np.clip(z, -most, most, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def _forward(x: np.ndarray, w: np.ndarray, n_inputs: int, hidden: int, w1: np.ndarray | None = None):
     """Hidden values (rows, labels, hidden) and class margins (rows, labels): the
-    probability of class 1 is the logistic function of the margin."""
-    w1, b1, w2, b2 = _layers(w, n_inputs, hidden)
-    z = (x @ w1.reshape(n_inputs, -1)).reshape(len(x), len(w), hidden) + b1
-    h = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+    probability of class 1 is the logistic function of the margin.  ``w1``: the input
+    weights (inputs, labels x hidden), if they are at hand."""
+    first, b1, w2, b2 = _layers(w, n_inputs, hidden)
+    z = (x @ (first.reshape(n_inputs, -1) if w1 is None else w1)).reshape(len(x), len(w), hidden)
+    z += b1
+    h = _logistic(z)
     return h, np.einsum("rkh,kh->rk", h, w2[:, :, 1] - w2[:, :, 0]) + b2[:, 1] - b2[:, 0]
 
 
-def _losses(rows: DataFrame, w: np.ndarray, live: np.ndarray, n_inputs: int, hidden: int,
-            tasks: int) -> dict[int, tuple[float, np.ndarray]]:
-    """Sum of the loss and of its gradient over the rows of every live label, in one pass."""
-    at = w[live]
+def _losses(rows: DataFrame, w: np.ndarray, live: np.ndarray, n_inputs: int, hidden: int, tasks: int,
+            scale: np.ndarray | None = None) -> dict[int, tuple[float, np.ndarray]]:
+    """Sum of the loss and of its gradient over the rows of every live label, in one
+    pass; ``scale[label, class]`` is the weight of a row of that class (default 1)."""
+    at = w[live].astype(np.float32)
+    by_class = (np.ones((len(w), 2)) if scale is None else scale)[live].astype(np.float32)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, g1, gb1 = np.zeros(len(at)), np.zeros((n_inputs, len(at) * hidden)), np.zeros((len(at), hidden))
         g2, gb2 = np.zeros((len(at), hidden)), np.zeros(len(at))
-        w2 = _layers(at, n_inputs, hidden)[2]
+        w1, _, w2, _ = _layers(at, n_inputs, hidden)
+        w1 = w1.reshape(n_inputs, -1)                                  # copied once, not for each part
         out = w2[:, :, 1] - w2[:, :, 0]
         for batch in batches:
             flat = batch.column("ys").flatten().to_numpy(zero_copy_only=False)
             ys = flat.reshape(batch.num_rows, -1)[:, live]             # -1: the row has no class for that label
-            for part, x in _dense(batch, n_inputs):
-                h, margin = _forward(x, at, n_inputs, hidden)
-                y, known = ys[part], ys[part] >= 0
-                loss += np.where(known, np.logaddexp(0, margin) - y * margin, 0).sum(0)
-                d = np.where(known, 1 / (1 + np.exp(-np.clip(margin, -700, 700))) - y, 0)
+            for part, x in _dense(batch, n_inputs, kind=np.float32):
+                h, margin = _forward(x, at, n_inputs, hidden, w1)
+                y = ys[part]
+                weight = np.where(y >= 0, np.where(y > 0, by_class[:, 1], by_class[:, 0]), np.float32(0))
+                y = y.astype(np.float32)
+                loss += (weight * (np.logaddexp(np.float32(0), margin) - y * margin)).sum(0, dtype=float)
+                d = weight * (_logistic(margin) - y)
                 g2 += np.einsum("rk,rkh->kh", d, h)
                 gb2 += d.sum(0)
-                dz = d[:, :, None] * out * h * (1 - h)
+                dz = d[:, :, None] * out
+                dz *= h
+                np.subtract(1, h, out=h)
+                dz *= h
                 g1 += x.T @ dz.reshape(len(x), -1)
                 gb1 += dz.sum(0)
         grads = np.concatenate([
@@ -153,10 +174,11 @@ class _Search:
 
 
 def fit_networks(rows: DataFrame, n_rows: list[int], n_inputs: int, hidden: int, max_iter: int,
-                 seed: int = 42, tolerance: float = 1e-6) -> np.ndarray:
+                 seed: int = 42, tolerance: float = 1e-6, scale: np.ndarray | None = None) -> np.ndarray:
     """Weights of a network per label.  ``rows(slots, counts, ys)``: a document's
     sparse inputs and its class (0, 1, or -1 for none) for every label; ``n_rows`` counts
-    a label's rows (labels with none keep the first weights)."""
+    a label's rows (labels with none keep the first weights).  ``scale[label, class]``
+    weighs the rows of a class; a label's weights add up to its rows."""
     spark = rows.sparkSession
     start = first_weights(spark, n_inputs, hidden, seed)
     searches = [_Search(start, max_iter if n else 0, tolerance) for n in n_rows]
@@ -164,7 +186,7 @@ def fit_networks(rows: DataFrame, n_rows: list[int], n_inputs: int, hidden: int,
     while not all(s.done for s in searches):
         live = np.array([k for k, s in enumerate(searches) if not s.done])
         w = np.stack([s.at for s in searches])
-        for k, (loss, gradient) in _losses(rows, w, live, n_inputs, hidden, tasks).items():
+        for k, (loss, gradient) in _losses(rows, w, live, n_inputs, hidden, tasks, scale).items():
             searches[k].move(loss / n_rows[k], gradient / n_rows[k])
     return np.stack([s.w for s in searches])
 
