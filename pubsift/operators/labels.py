@@ -71,18 +71,21 @@ def naive_bayes_fit(bow: DataFrame, ys: DataFrame, smoothing: float = 1.0,
 
     The two classes of a label split the training documents, so class-0
     token counts are totals minus class-1 counts; only (label, token) pairs
-    seen in positive documents are stored.  Returns the model tables:
-    ``tokens(token, n_t)``, ``positive(label, token, n_t1)`` and
+    seen in positive documents are stored.  The rows of a :func:`labelled_bag`
+    name their labels and are not joined with ``ys``.  Returns the model tables,
+    each written once: ``tokens(token, n_t)``, ``positive(label, token, n_t1)`` and
     ``classes(label, n_pos, n_neg, tot1, tot0, v)``.
     """
     if smoothing <= 0:
         raise ValueError("smoothing must be positive")
     if materialize_input:  # read by the token totals and the positive counts
         bow = materialize(bow)
-    tokens = bow.groupBy("token").agg(F.sum("n").alias("n_t"))
-    pos_ids = ys.where(F.col("y") == 1).select(id_col, label)
-    positive = (bow.join(pos_ids, id_col).groupBy(label, "token")
-                .agg(F.sum("n").alias("n_t1")))
+    tokens = materialize(bow.groupBy("token").agg(F.sum("n").alias("n_t")))
+    if "labels" in bow.columns:
+        seen = bow.select(F.explode("labels").alias(label), "token", "n")
+    else:
+        seen = bow.join(ys.where(F.col("y") == 1).select(id_col, label), id_col)
+    positive = materialize(seen.groupBy(label, "token").agg(F.sum("n").alias("n_t1")))
     totals = tokens.agg(F.sum("n_t").alias("tot"), F.count(F.lit(1)).alias("v"))
     per_label = ys.groupBy(label).agg(F.count_if(F.col("y") == 1).alias("n_pos"),
                                       F.count_if(F.col("y") == 0).alias("n_neg"))
@@ -90,39 +93,56 @@ def naive_bayes_fit(bow: DataFrame, ys: DataFrame, smoothing: float = 1.0,
     classes = (with_scalars(per_label.join(tot1, label, "left"), totals)
                .withColumn("tot1", F.coalesce("tot1", F.lit(0)))
                .withColumn("tot0", F.col("tot") - F.col("tot1")).drop("tot"))
-    return {"tokens": tokens, "positive": positive, "classes": classes,
+    return {"tokens": tokens, "positive": positive, "classes": materialize(classes),
             "smoothing": smoothing, "label": label}
 
 
 def naive_bayes_predict(model: dict, bow: DataFrame, id_col: str = ID,
-                        docs: DataFrame | None = None) -> DataFrame:
+                        docs: DataFrame | None = None, frequent_bytes: int = 32 << 20) -> DataFrame:
     """(id, label, score1, score0, y_pred); y_pred = 1 when the positive class
     scores higher.  With ``docs`` every document has a row per label: one
     without a known token is scored by the priors.
 
     score_c = log prior_c + sum_t n_t log(count_tc + s) - N log(total_c + s V).
     Tokens a label never saw among positives contribute log(s) to class 1 and
-    the label-free log(n_t + s) to class 0, so the per-label work is a join
-    with the sparse positive table only; the label-free part is one sum per
-    document.
+    the label-free log(n_t + s) to class 0, so the label-free part is one sum per
+    document.  A token's counts are one row with a column per label (labels come
+    from a top-k list), a document's sums likewise: a document's tokens are not
+    multiplied by the labels.  Frequent tokens (``frequent_bytes`` of them) are broadcast
+    and summed where the documents' rows lie, and only rare ones are joined and
+    sent to their documents.
     """
     s, label = float(model["smoothing"]), model["label"]
     ls = F.lit(math.log(s))
-    known = materialize(bow.join(model["tokens"], "token"))  # two aggregates read it
-    base = known.groupBy(id_col).agg(
-        F.sum(F.col("n") * F.log(F.col("n_t") + s)).alias("_base"),
-        F.sum("n").alias("_len"))
+    names = [r[0] for r in model["classes"].where(F.col(label).isNotNull()).select(label).collect()]  # a top-k list
+    counts = model["positive"].groupBy("token").agg(
+        F.count(F.lit(1)).alias("_k"),
+        *[F.max(F.when(F.col(label) == F.lit(x), F.col("n_t1"))).alias(f"_c{i}") for i, x in enumerate(names)])
+    known = materialize(model["tokens"].join(counts, "token", "left"))     # read by the cut and both joins
+    gains = [c for i in range(len(names)) for c in (
+        (F.log(F.col(f"_c{i}") + s) - ls).alias(f"_p{i}"),
+        (F.log(F.col("n_t") - F.col(f"_c{i}") + s) - F.log(F.col("n_t") + s)).alias(f"_q{i}"))]
+    weights = known.select("token", "n_t", F.log(F.col("n_t") + s).alias("_b"), *gains)
+    bow = bow.select(id_col, "token", "n")
+    cut = _frequent_from(known.select(F.col("n_t").alias("n")), frequent_bytes // (16 * len(names) + 64))
+    if cut is None:
+        rows = bow.join(weights, "token")
+    else:
+        often = F.broadcast(known.where(F.col("n_t") >= cut).select("token"))
+        rows = bow.join(F.broadcast(weights.where(F.col("n_t") >= cut)), "token").unionByName(
+            bow.join(often, "token", "left_anti").join(weights.where(F.col("n_t") < cut), "token"))
+    sums = rows.groupBy(id_col).agg(
+        F.sum(F.col("n") * F.col("_b")).alias("_base"), F.sum("n").alias("_len"),
+        *[F.sum(F.col("n") * F.col(f"_{c}{i}")).alias(f"_{c}{i}") for i in range(len(names)) for c in "pq"])
+    listed = lambda c: F.array(*[f"_{c}{i}" for i in range(len(names))]).cast("array<double>").alias(f"_{c}")
+    base = sums.select(id_col, "_base", "_len", listed("p"), listed("q"))
     if docs is not None:
         base = docs.select(id_col).distinct().join(base, id_col, "left").select(
-            id_col, F.coalesce("_base", F.lit(0.0)).alias("_base"), F.coalesce("_len", F.lit(0)).alias("_len"))
-    sparse = (known.join(model["positive"], "token")
-              .groupBy(id_col, label).agg(
-                  F.sum(F.col("n") * (F.log(F.col("n_t1") + s) - ls)).alias("_d1"),
-                  F.sum(F.col("n") * (F.log(F.col("n_t") - F.col("n_t1") + s)
-                                      - F.log(F.col("n_t") + s))).alias("_d0")))
+            id_col, F.coalesce("_base", F.lit(0.0)).alias("_base"), F.coalesce("_len", F.lit(0)).alias("_len"), "_p", "_q")
+    place = F.coalesce(*[F.when(F.col(label) == F.lit(x), i) for i, x in enumerate(names)], F.lit(-1))
     # classes: one row per label (labels come from a top-k list).
-    grid = expand_small(base, model["classes"])
-    g = grid.join(sparse, [id_col, label], "left")
+    g = expand_small(base, model["classes"].withColumn("_at", place)).withColumn(
+        "_d1", F.get("_p", F.col("_at"))).withColumn("_d0", F.get("_q", F.col("_at")))
     n_docs = F.col("n_pos") + F.col("n_neg")
     score1 = (F.log(F.col("n_pos") / n_docs) + F.col("_len") * ls + F.coalesce("_d1", F.lit(0.0))
               - F.col("_len") * F.log(F.col("tot1") + s * F.col("v")))

@@ -69,19 +69,19 @@ def _setup(spark, sf_dir):
 
 
 def _nb(spark, sf_dir):
-    arts, mesh, top, ys = _setup(spark, sf_dir)
     from pubsift.session import materialize
 
-    # Train and test read it.  Fit and prediction add up its rows, so ids that repeat need no grouping.
-    bow = materialize(X.document_bag(arts))
-    split = C.train_test_split(arts.select("pmid"), 0.25, SEED)
+    arts, mesh = T.articles(spark, sf_dir), T.mesh(spark, sf_dir)
+    top = materialize(L.top_labels(mesh, K_LABELS))
+    split = materialize(C.train_test_split(arts.select("pmid"), 0.25, SEED))
     tr = split.where("split = 'train'").select("pmid")
     te = split.where("split = 'test'").select("pmid")
-    # bow is already written once; its training slice is a cheap re-scan.
-    model = L.naive_bayes_fit(bow.join(tr, "pmid", "left_semi"), ys.join(tr, "pmid", "left_semi"),
+    # Train and test read it; its rows know their split and labels, so none is joined by its document.
+    bow = materialize(L.labelled_bag(arts, mesh, top, split.select("pmid", "split").distinct()))
+    model = L.naive_bayes_fit(bow.where("split = 'train'"), L.class_rows(L.label_matrix(tr, mesh, top)),
                               materialize_input=False)
-    pred = L.naive_bayes_predict(model, bow.join(te, "pmid", "left_semi"), docs=te)
-    return pred, ys
+    pred = L.naive_bayes_predict(model, bow.where("split = 'test'"), docs=te)
+    return pred, L.class_rows(L.label_matrix(te, mesh, top))
 
 
 @query("top_labels", oracle="select meshid, n from top", ctes=SQL_LABELS)
